@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cambium.llm import minhash
+from cambium.llm import bpe, minhash
+
+
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = os.environ.get("CAMBIUM_TOKENIZERS", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,4 +22,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Near(k=4))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1}
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1,
+    "op8_bpe_encode_decode": op8,
+}
