@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cambium.scratch import written
+
 _OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
+#: Languages whose sampling shares (a name and a number each) may be broadcast.
+BROADCAST_LANGUAGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +47,8 @@ def learn(docs: DataFrame, profile: Profile = Profile()) -> dict[str, bytes]:
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, profile.piece).alias("piece"))
     share = rows.groupBy("lang").agg((2.0 * profile.texts / F.approx_count_distinct("h")).alias("share"))
-    rows = rows.join(share, "lang").where((F.col("h") / 2.0**64 + 0.5) < F.col("share")).groupBy("lang", "h").agg(F.min("piece").alias("piece"))
+    share = written(share, "languages")
+    rows = rows.join(F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share, "lang").where((F.col("h") / 2.0**64 + 0.5) < F.col("share")).groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     rows = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= profile.texts)
     out: dict[str, bytes] = {}
     for r in sorted(rows.select("lang", "n", "piece").collect()):

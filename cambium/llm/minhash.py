@@ -29,8 +29,9 @@ BLOCK = 512
 class Near:
     """k words a shingle; similarity in hundredths; bands of rows minima each; low bits kept of each minimum (a power of two).
 
-    With 32 bands of 4, a pair at similarity 0.8 shares no band once in 20 million; the estimate of such a pair, of 128 lanes, falls under
-    doubt = 0.55 once in 100 billion.
+    With 32 bands of 4, a pair at similarity 0.8 shares no band once in 20 million; the estimate of such a pair, of 128 lanes of 4 bits, falls under
+    doubt = 0.55 once in 100 billion. Where a bucket's head leaves pairs open, fine_lanes lanes of fine_bits bits estimate them more closely: under
+    fine_doubt = 0.72 once in 30 million.
     """
 
     k: int = 5
@@ -39,18 +40,19 @@ class Near:
     rows: int = 4
     bits: int = 4
     doubt: float = 0.55
+    fine_lanes: int = 1024
+    fine_bits: int = 2
+    fine_doubt: float = 0.72
 
     @property
     def lanes(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def longs(self) -> int:
-        return self.lanes * self.bits // 64
 
-    def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
-        rng = np.random.Generator(np.random.PCG64(7919))
-        return rng.integers(0, 2**32, self.lanes, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, self.lanes, dtype=np.uint32)
+def hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and addends of n hash functions."""
+    rng = np.random.Generator(np.random.PCG64(7919 + n))
+    return rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,7 +80,7 @@ def sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
-    a, b = near.multipliers()
+    a, b = hashers(near.lanes)
     for batch in batches:
         n = batch.num_rows
         count, digest, least = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, near.lanes), np.uint32)
@@ -95,24 +97,29 @@ def _signatures(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.Re
         sig = packed(least, near.bits)
         wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(count), *(pa.array(digest[:, j].copy().view(np.int64)) for j in (0, 1)), wide(keys.view(np.int64)), *(pa.array(np.ascontiguousarray(sig[:, j])) for j in range(near.longs))],
-            names=["doc_id", "n_shingles", "d0", "d1", "bands", *(f"s{j}" for j in range(near.longs))],
+            [batch.column(0), pa.array(count), *(pa.array(digest[:, j].copy().view(np.int64)) for j in (0, 1)), wide(keys.view(np.int64)), *(pa.array(np.ascontiguousarray(sig[:, j])) for j in range(sig.shape[1]))],
+            names=["doc_id", "n_shingles", "d0", "d1", "bands", *(f"s{j}" for j in range(sig.shape[1]))],
         )
 
 
-def likeness(near: Near, left: str, right: str) -> Column:
+def names(lanes: int, bits: int) -> list[str]:
+    """Columns of a packed signature."""
+    return [f"s{j}" for j in range(lanes * bits // 64)]
+
+
+def likeness(lanes: int, bits: int, left: str, right: str) -> Column:
     """Similarity from the count of equal lanes: two unequal minima agree in their low bits once in 2 ** bits, which is taken off."""
     unequal = F.lit(0)
-    lane = int("".join(["1".rjust(near.bits, "0")] * (64 // near.bits)), 2)
-    for j in range(near.longs):
-        x = F.col(f"{left}.s{j}").bitwiseXOR(F.col(f"{right}.s{j}"))
-        step = near.bits // 2
+    low = int("".join(["1".rjust(bits, "0")] * (64 // bits)), 2)
+    for s in names(lanes, bits):
+        x = F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))
+        step = bits // 2
         while step:
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
             step //= 2
-        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(lane)))
-    chance = 2.0**-near.bits
-    return (1 - unequal / near.lanes - chance) / (1 - chance)
+        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(low)))
+    chance = 2.0**-bits
+    return (1 - unequal / lanes - chance) / (1 - chance)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -129,15 +136,17 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
-    """Of the pairs (a, b) those whose full shingle sets are alike enough."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if (few := ids.limit(BROADCAST_IDS + 1).count()) <= BROADCAST_IDS:
+def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """node, shingles of the documents with these doc_ids, as a written table."""
+    ids = ids.distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    if not few:
-        return pairs
-    full = written(docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").mapInArrow(lambda batches: _sets(batches, near.k), "node long, shingles binary"), "sets")
+    own = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi")
+    return written(own.mapInArrow(lambda batches: _sets(batches, k), "node long, shingles binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, near: Near) -> DataFrame:
+    """Of the pairs (a, b) those whose full shingle sets are alike enough."""
     one, two = (full.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("a", "b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
     return joined.mapInArrow(lambda batches: _confirmed(batches, near.percent), "a long, b long")
@@ -148,6 +157,15 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets(batch.column(1), k)], pa.binary())], names=["node", "shingles"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch], lanes: int, bits: int) -> Iterator[pa.RecordBatch]:
+    a, b = hashers(lanes)
+    for batch in batches:
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        sig = packed(np.array([minima(x, a, b) for x in own], np.uint32).reshape(len(own), lanes), bits)
+        columns = [batch.column(0), pa.array([len(x) for x in own], pa.int64()), *(pa.array(np.ascontiguousarray(sig[:, j])) for j in range(sig.shape[1]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "n_shingles", *names(lanes, bits)])
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id long, text string; other columns are ignored).
 
@@ -160,36 +178,41 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     near copies costs as many pairs as it has members and no link between different components is left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig_columns = [f"s{j}" for j in range(near.longs)]
+    sig_columns, fine_columns = names(near.lanes, near.bits), names(near.fine_lanes, near.fine_bits)
     schema = "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, " + ", ".join(f"{s} long" for s in sig_columns)
     signed = written(docs.mapInArrow(lambda batches: _signatures(batches, near), schema), "signatures")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
-    member = written(full.select("doc_id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"]), "members")
+    own = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = own.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
+    member = written(own.select("doc_id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"]), "members")
     heads = member.where("doc_id = node").select("node", "d0", "d1").distinct()
-    head = written(full.join(heads, (full["doc_id"] == heads["node"]) & (full["d0"] == heads["d0"]) & (full["d1"] == heads["d1"]), "left_semi").withColumnRenamed("doc_id", "node").drop("d0", "d1"), "heads")
+    head = written(own.join(heads, (own["doc_id"] == heads["node"]) & (own["d0"] == heads["d0"]) & (own["d1"] == heads["d1"]), "left_semi").withColumnRenamed("doc_id", "node").drop("d0", "d1"), "heads")
 
     placed = head.select("node", F.explode("bands").alias("key"))
     bucket = placed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).where("first <> last")
     placed = written(placed.join(bucket.select("key", "first", "size"), "key"), "buckets")
 
-    alike = (likeness(near, "x", "y") >= near.doubt) & (100 * F.least("x.n_shingles", "y.n_shingles") >= near.percent * F.greatest("x.n_shingles", "y.n_shingles"))
+    sized = 100 * F.least("x.n_shingles", "y.n_shingles") >= near.percent * F.greatest("x.n_shingles", "y.n_shingles")
     side = head.select("node", "n_shingles", *sig_columns)
     star = placed.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(side.alias("x"), F.col("a") == F.col("x.node")).join(side.alias("y"), F.col("b") == F.col("y.node")).where(alike).select("a", "b").distinct()
-    linked = written(confirmed(docs, star, near), "linked")
+    star = star.join(side.alias("x"), F.col("a") == F.col("x.node")).join(side.alias("y"), F.col("b") == F.col("y.node"))
+    star = written(star.where((likeness(near.lanes, near.bits, "x", "y") >= near.doubt) & sized).select("a", "b"), "star")
+    full = full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("doc_id")), near.k)
+    linked = written(confirmed(star, full, near), "linked")
     label = components(linked)
 
     open_ = placed.where("size > 2").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_ = written(open_.join(mixed, "key", "left_semi").where("node <> first").join(side, "node"), "open")
+    open_ = written(open_.join(mixed, "key", "left_semi").where("node <> first"), "open")
     if open_.take(1):
+        full = full_sets(docs, open_.select(F.col("node").alias("doc_id")), near.k)
+        fine = full.mapInArrow(lambda batches: _fine(batches, near.fine_lanes, near.fine_bits), "node long, n_shingles long, " + ", ".join(f"{s} long" for s in fine_columns))
+        open_ = written(open_.join(fine, "node"), "open")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         x = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("x")
         y = open_.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
-        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label")) & alike)
-        cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        more = written(confirmed(docs, cross, near), "linked")
+        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label")) & sized & (likeness(near.fine_lanes, near.fine_bits, "x", "y") >= near.fine_doubt))
+        cross = written(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross")
+        more = written(confirmed(cross, full, near), "linked")
         if more.take(1):
             label = components(linked.union(more))
 

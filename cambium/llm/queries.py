@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.llm import bpe, langid, minhash
+from cambium.llm import bpe, fingerprints, langid, minhash
 
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -32,6 +32,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, langid.learn(docs.where("not held_out")), ["doc_id", "held_out"])
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -39,5 +43,6 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1,
     "op2_language_id": op2,
+    "op5_fingerprints": op5,
     "op8_bpe_encode_decode": op8,
 }
