@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.llm import bpe, fingerprints, langid, minhash
+from cambium.llm import bpe, decontaminate, fingerprints, html, langid, minhash, pii
 
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -36,6 +36,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: A secret in production; the session's setting comes first.
+PII_KEY = "cambium.pii.key"
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, PII_KEY), ["doc_id"])
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -44,5 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1,
     "op2_language_id": op2,
     "op5_fingerprints": op5,
+    "op6_pii_pseudonyms": op6,
+    "op7_benchmark_decontamination": op7,
     "op8_bpe_encode_decode": op8,
+    "op9_html_main_text": op9,
 }

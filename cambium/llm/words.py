@@ -20,6 +20,9 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
+#: The ASCII bytes that aren't letters or digits, for those who take words without punctuation.
+PLAIN = np.zeros(256, bool)
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = True
 _powers: dict[int, np.ndarray] = {}
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 1 << 20
@@ -70,9 +73,9 @@ def chunks(column: pa.Array, size: int = 0) -> Iterator[tuple[int, np.ndarray, n
         row = end
 
 
-def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(data: np.ndarray, at: np.ndarray, space: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where words begin and end, and where each row's words begin (one more at the end)."""
-    word = ~_space[data]
+    word = ~space[data]
     first, last = word.copy(), word.copy()
     if len(data):
         first[1:] &= ~word[:-1]
@@ -95,10 +98,10 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(x)
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, space: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray]:
     """Of each word of each row; where each row's words begin (one more at the end)."""
     data = _lower[data]
-    begin, end, rows = split(data, at)
+    begin, end, rows = split(data, at, space)
     return hashes(data, begin, end), rows
 
 
