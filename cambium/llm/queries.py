@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.llm import bpe, decontaminate, fingerprints, html, langid, minhash, pii
+from cambium.llm import bpe, decontaminate, fingerprints, html, langid, minhash, pii, unigram
 
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -56,6 +56,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(table(spark, sf_dir, "documents"), *unigram.vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1,
     "op2_language_id": op2,
@@ -64,4 +68,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_benchmark_decontamination": op7,
     "op8_bpe_encode_decode": op8,
     "op9_html_main_text": op9,
+    "op10_token_counts": op10,
 }
