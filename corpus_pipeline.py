@@ -1,10 +1,75 @@
-"""Stages that make a training corpus of documents."""
+"""Stages that make a training corpus of documents. Each is given what its predecessor kept; all but the last return the columns of documents.
+
+Whatever columns documents has travel as one struct, so a name that an operator adds can't clash with theirs. Null and empty texts have no language and go
+with the first stage; an empty table stays empty through all stages; of repeated rows of one doc_id one stays after the second.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cambium.llm import bpe, decontaminate, langid, minhash, pii
+from cambium.llm.queries import PII_KEY, TOKENIZERS, table
+from cambium.scratch import written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: SQL can express none of language identification, tiling, pseudonyms and BPE.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _whole(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without a letter, or as small by two languages' dictionaries, go. A missing lang is filled in."""
+    told = langid.classify(_whole(docs), langid.learn(docs), ["_row"]).where("not rejected")
+    return told.select("_row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8."""
+    near = minhash.near_duplicates(docs, minhash.Near(k=5))
+    gone = written(near.where("not kept").select("doc_id").distinct(), "gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.take(1):
+        return kept
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("doc_id", "_row.*").select(*docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate.judged(_whole(docs), table(spark, sf_dir, "benchmark"), ["_row"]).where("kept").select("_row.*")
+
+
+def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by pseudonyms; n_chars follows the text."""
+    made = pii.pseudonymize(_whole(docs), spark.conf.get(PII_KEY, PII_KEY), ["_row"]).select("_row.*", F.col("text").alias("_new"))
+    return made.withColumn("text", F.col("_new")).withColumn("n_chars", F.char_length("_new").cast("long")).select(*docs.columns)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the text that they decode to."""
+    return bpe.tokenize(docs, f"{TOKENIZERS}/byte_bpe_50k.json", ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii_pseudonyms", pii_pseudonyms),
+    ("bpe_tokens", bpe_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stage's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
