@@ -27,4 +27,16 @@ def near_sql(k: int, table: str = "documents", name: str = "near") -> str:
   FROM {table} d JOIN {name}_least USING (doc_id) LEFT JOIN {name}_size USING (doc_id))"""
 
 
-ORACLES = {"op1_minhash_near_dedup": f"WITH RECURSIVE {near_sql(4)}\nSELECT * FROM near"}
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, CAST(greatest(len(h) / 2 - 199, 0) AS BIGINT))) AS i FROM d)),
+twice AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS opens FROM w SEMI JOIN twice USING (m)),
+runs AS (SELECT doc_id, i, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM spans),
+cut AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
+ORACLES = {"op3_suffix_array_dedup": REPEATS, "op1_minhash_near_dedup": f"WITH RECURSIVE {near_sql(4)}\nSELECT * FROM near"}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.llm import bpe, decontaminate, fingerprints, html, langid, minhash, pii, unigram
+from cambium.llm import bpe, decontaminate, fingerprints, html, langid, minhash, pii, suffixes, unigram
 
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -32,6 +32,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, langid.learn(docs.where("not held_out")), ["doc_id", "held_out"])
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept_bytes")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1,
     "op2_language_id": op2,
+    "op3_suffix_array_dedup": op3,
     "op5_fingerprints": op5,
     "op6_pii_pseudonyms": op6,
     "op7_benchmark_decontamination": op7,
