@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     and is kept. Rows that share a doc_id count as one document. A null doc_id is linked with nothing: component_id is null and kept is true.
 
     Equal sets are merged first, so copies cost one signature row each and no pairs. In each bucket of a band, every member is compared with the
-    smallest one; only members that are then still in different components are compared with each other, in blocks, so a large group of
+    smallest one; only members that are then still in different components are compared with each other, in blocks and in the first band that they share, so a large group of
     near copies costs as many pairs as it has members and no link between different components is left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     heads = member.where("doc_id = node").select("node", "d0", "d1").distinct()
     head = written(own.join(heads, (own["doc_id"] == heads["node"]) & (own["d0"] == heads["d0"]) & (own["d1"] == heads["d1"]), "left_semi").withColumnRenamed("doc_id", "node").drop("d0", "d1"), "heads")
 
-    placed = head.select("node", F.explode("bands").alias("key"))
+    placed = head.select("node", F.posexplode("bands").alias("band", "key"))
     bucket = placed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).where("first <> last")
     placed = written(placed.join(bucket.select("key", "first", "size"), "key"), "buckets")
 
@@ -206,11 +206,12 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     if open_.take(1):
         full = full_sets(docs, open_.select(F.col("node").alias("doc_id")), near.k)
         fine = full.mapInArrow(lambda batches: _fine(batches, near.fine_lanes, near.fine_bits), "node long, n_shingles long, " + ", ".join(f"{s} long" for s in fine_columns))
-        open_ = written(open_.join(fine, "node"), "open")
+        open_ = open_.join(fine, "node").join(head.select("node", "bands"), "node")
+        open_ = written(open_.withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands"), "open")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         x = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("x")
         y = open_.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
-        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label")) & sized & (likeness(near.fine_lanes, near.fine_bits, "x", "y") >= near.fine_doubt))
+        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label")) & sized & (likeness(near.fine_lanes, near.fine_bits, "x", "y") >= near.fine_doubt) & ~F.arrays_overlap("x.before", "y.before"))
         cross = written(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross")
         more = written(confirmed(cross, full, near), "linked")
         if more.take(1):
