@@ -10,7 +10,7 @@ import codecs
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
@@ -18,14 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cambium.llm.memory import Memory
+
 #: White_Space of Unicode, as the tokenizer's own pattern takes \s.
 _S = "\t-\r \x85\xa0  -     　"
 #: A token never spans the end of a run of other characters and white space after it.
 _RUN = re.compile(f"[{_S}]*[^{_S}]+|[{_S}]+")
 #: The split pattern that belongs to this kind of vocabulary file.
 _PIECE = regex.compile(rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+""")
-#: Runs and neighbours remembered by one worker; when full, a memory starts anew.
-REMEMBERED = 400_000
 #: Bytes of a piece up to which it is encoded at once.
 SHORT = 256
 
@@ -37,20 +37,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Memory(dict):
-    """Values by key, computed when missing; bounded."""
-
-    def __init__(self, compute):
-        self.compute = compute
-
-    def __missing__(self, key):
-        value = self.compute(key)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Transducer:
     """Encoder and decoder of one vocabulary file (tokenizer.json with a BPE model on bytes)."""
 
@@ -62,18 +48,19 @@ class Transducer:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.rank: dict[tuple[bytes, bytes], int] = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes: dict[int, bytes] = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        own = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes: list[bytes] = [own.get(i, b"") for i in range(max(own) + 1)]
         self.longest = max(map(len, self.ids))
         self.lookahead = self._lookahead()
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.whole = {t for t in self.ids if self.merged(t) == [t]}
+        self.whole = {t: i for t, i in self.ids.items() if self.merged(t) == [t]}
         lengths: dict[bytes, set[int]] = {}
         for t in self.whole:
             lengths.setdefault(t[-2:], set()).add(len(t))
         self.by_end = {b: sorted(n | {1}, reverse=True) for b, n in lengths.items()}
         self.parts = {a + b: (a, b) for (a, b), _ in sorted(self.rank.items(), key=lambda m: -m[1])}
         self.made = {t: self.rank[x] for t, x in self.parts.items()}
-        self.fits: Memory = Memory(lambda pair: self._fits(*pair))
+        self.fits: Memory = Memory(lambda pair: self._fits(self.bytes[pair >> 20], self.bytes[pair & 0xFFFFF]))
         self.runs: Memory = Memory(self._run)
         self.pieces: Memory = Memory(lambda piece: tuple(self.encode_piece(piece)))
 
@@ -121,17 +108,16 @@ class Transducer:
 
     def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one piece that comes in blocks. Held at any time: as many bytes as the lookahead, and one last token for each."""
-        whole, fits, ids, longest, by_end = self.whole, self.fits, self.ids, self.longest, self.by_end
-        held, last, base, check = bytearray(), [b""], 0, 2 * longest
+        whole, fits, longest, by_end = self.whole, self.fits, self.longest, self.by_end
+        held, last, size, base, check = bytearray(), [0], [0], 0, 2 * longest
         for byte in chain.from_iterable(blocks):
             held.append(byte)
             i = len(last)
             for n in by_end.get(bytes(held[-2:]), (1,)):
-                if n <= i - base:
-                    t = bytes(held[i - n : i])
-                    if t in whole and (i - n == base or fits[last[i - n], t]):
-                        last.append(t)
-                        break
+                if n <= i - base and (t := whole.get(bytes(held[i - n : i]))) is not None and (i - n == base or fits[last[i - n] << 20 | t]):
+                    last.append(t)
+                    size.append(n)
+                    break
             else:
                 raise ValueError("the vocabulary lacks a byte")
             if i >= check:
@@ -139,62 +125,66 @@ class Transducer:
                 while len(ends) > 1:  # back from the latest end till all meet
                     top = max(ends)
                     ends.remove(top)
-                    ends.add(top - len(last[top]) if top > base else base)
+                    ends.add(top - size[top] if top > base else base)
                 if (settled := ends.pop()) > base:
-                    yield from self._back(last, settled, base)
+                    yield from self._back(last, size, settled, base)
                     # what was emitted goes; the last token before the cut stays, to judge neighbours
-                    cut = settled - len(last[settled])
-                    held, last, base = held[cut:], last[cut:], settled - cut
-                    last[0] = b""
+                    cut = settled - size[settled]
+                    held, last, size, base = held[cut:], last[cut:], size[cut:], settled - cut
                 check = len(last) + longest
-        yield from self._back(last, len(last) - 1, base)
+        yield from self._back(last, size, len(last) - 1, base)
 
-    def _back(self, last: list[bytes], end: int, base: int) -> list[int]:
+    def _back(self, last: list[int], size: list[int], end: int, base: int) -> list[int]:
         out = []
         while end > base:
-            out.append(self.ids[last[end]])
-            end -= len(last[end])
+            out.append(last[end])
+            end -= size[end]
         return out[::-1]
 
     def encode_piece(self, piece: str) -> list[int]:
+        """Ids of one piece. One no longer than the lookahead is settled only by its end: the longest tokens that fit are tried from the left; a place
+        that can't be left again isn't tried twice, as the tokens that lead to it are always the same."""
         text = piece.encode()
-        if text in self.whole:
-            return [self.ids[text]]
+        if (t := self.whole.get(text)) is not None:
+            return [t]
         if len(text) > SHORT:
             return list(self.stream([text]))
-        whole, fits, by_end = self.whole, self.fits, self.by_end
-        last = [b""]
-        for i in range(1, len(text) + 1):
-            for n in by_end.get(text[max(0, i - 2) : i], (1,)):
-                if n <= i:
-                    t = text[i - n : i]
-                    if t in whole and (n == i or fits[last[i - n], t]):
-                        last.append(t)
-                        break
-        return self._back(last, len(text), 0)
+        whole, fits, end, longest = self.whole, self.fits, len(text), self.longest
+        out, at, dead, n, i = [], [], set(), min(end - 1, longest), 0
+        while i < end:
+            while n and ((t := whole.get(text[i : i + n])) is None or i + n in dead or out and not fits[out[-1] << 20 | t]):
+                n -= 1
+            if n:
+                out.append(t)
+                at.append(i)
+                i += n
+                n = min(end - i, longest)
+            else:
+                dead.add(i)
+                out.pop()
+                n, i = i - at[-1] - 1, at.pop()
+        return out
 
     def _run(self, run: str) -> tuple[tuple[int, ...], str]:
         ids = tuple(chain.from_iterable(self.pieces[p] if len(p) <= SHORT else self.encode_piece(p) for p in _PIECE.findall(run)))
         return ids, ",".join(map(str, ids))
 
-    def encode(self, text: str) -> Iterator[tuple[tuple[int, ...], str]]:
-        """Ids, and the same as text, run by run. The strings of special tokens in a text become those tokens."""
+    def encode(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """Ids, and the same as text, of each run. The strings of special tokens in a text become those tokens."""
+        out = []
         for part in self.specials.split(text) if self.specials and any(s in text for s in self.special) else (text,):
             if part in self.special:
-                yield (self.special[part],), str(self.special[part])
-            else:
-                for run in _RUN.findall(part):
-                    yield self.runs[run] if len(run) <= SHORT else self._run(run)
+                out.append(((self.special[part],), str(self.special[part])))
+            elif runs := _RUN.findall(part):
+                out += map(self.runs.__getitem__, runs) if max(map(len, runs)) <= SHORT else [self.runs[r] if len(r) <= SHORT else self._run(r) for r in runs]
+        return out
 
-    def decode(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
+    def decode(self, ids: Sequence[int], block: int = 4096) -> Iterator[str]:
         """Text, block by block. The state between blocks is the bytes of one unfinished character; what isn't UTF-8 becomes U+FFFD."""
-        machine, held, of = codecs.getincrementaldecoder("utf-8")("replace"), [], self.bytes
-        for i in ids:
-            held.append(of[i])
-            if len(held) == block:
-                yield machine.decode(b"".join(held))
-                held.clear()
-        yield machine.decode(b"".join(held), True)
+        machine, of = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes.__getitem__
+        for i in range(0, len(ids), block):
+            yield machine.decode(b"".join(map(of, ids[i : i + block])))
+        yield machine.decode(b"", True)
 
 
 _open: dict[bytes, Transducer] = {}
@@ -216,10 +206,10 @@ def _tokens(batches: Iterator[pa.RecordBatch], source: bytes, keep: bool) -> Ite
             part = batch.slice(at, 256)
             count, digest, decoded, kept = [], [], [], []
             for text in part.column(1).to_pylist():
-                runs = list(own.encode(text or ""))
-                ids = list(chain.from_iterable(r[0] for r in runs))
+                by_run, shown = zip(*own.encode(text), strict=True) if text else ((), ())
+                ids = list(chain.from_iterable(by_run))
                 count.append(len(ids))
-                digest.append(hashlib.sha256(",".join([r[1] for r in runs]).encode()).hexdigest())
+                digest.append(hashlib.sha256(",".join(shown).encode()).hexdigest())
                 back = hashlib.sha256()
                 for block in own.decode(ids):
                     back.update(block.encode())
