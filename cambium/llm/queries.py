@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.llm import bpe, decontaminate, fingerprints, html, langid, minhash, pii, suffixes, unigram
+from cambium.llm import bpe, decontaminate, fingerprints, html, langid, lm, minhash, pii, suffixes, unigram
 
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -36,6 +36,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept_bytes")
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.coalesce(fold(5), F.lit(0)) == 1).alias("held_out"))
+    return lm.score(docs, "held_out")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1,
     "op2_language_id": op2,
     "op3_suffix_array_dedup": op3,
+    "op4_lm_scores": op4,
     "op5_fingerprints": op5,
     "op6_pii_pseudonyms": op6,
     "op7_benchmark_decontamination": op7,
