@@ -22,17 +22,22 @@ def _let(value: Column, body) -> Column:
 def sketch(text: Column, k: int = 5, share: int = 8) -> Column:
     """Ascending distinct 64-bit hashes, under a 1 / share part of the range, of text's shingles of k words; fewer words are one shingle, no word none.
 
-    A word is a run of characters other than space and \\x09-\\x0D, A-Z lower-cased.
+    A word is a run of characters other than space and \\x09-\\x0D, A-Z lower-cased. Where words leave no hash under the bound, one of them all, without the sign
+    bit and so over the bound, stands in: short texts are then alike only if they are equal.
     """
     words = F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    hashes = _let(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda h: F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))),
-            lambda i: F.when(F.size(h) >= k, F.xxhash64(*[F.get(h, i + j) for j in range(k)])).when(F.size(h) > 0, F.xxhash64(h)),
-        ),
-    )
-    return F.sort_array(F.array_distinct(F.filter(hashes, lambda x: x < -(2**63) + 2**64 // share)))
+
+    def shingles(h: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
+        every = F.transform(places, lambda i: F.when(F.size(h) >= k, F.xxhash64(*[F.get(h, i + j) for j in range(k)])).when(F.size(h) > 0, F.xxhash64(h)))
+        kept = F.sort_array(F.array_distinct(F.filter(every, lambda x: x < _bound(share))))
+        return _let(kept, lambda own: F.when((F.size(own) > 0) | (F.size(h) == 0), own).otherwise(F.array(F.xxhash64(h).bitwiseAND(F.lit(2**63 - 1)))))
+
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), shingles)
+
+
+def _bound(share: int) -> int:
+    return -(2**63) + 2**64 // share
 
 
 def hexadecimal(hashes: Column) -> Column:
@@ -41,7 +46,7 @@ def hexadecimal(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles; of two empty sketches it is 1 if the texts' shingles can't be told apart by them."""
+    """Estimated share of common shingles; two empty sketches, of texts without a word, are alike."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
@@ -51,20 +56,43 @@ def containment(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0))
 
 
-def merged(sketches: Column) -> Column:
-    """An aggregate: the sketch of all rows' texts together."""
-    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(sketches))))
+def merged(sketches: Column, share: int = 8) -> Column:
+    """An aggregate: the sketch of all rows' shingles together. Hashes that only stood in for an empty sketch go."""
+    return F.sort_array(F.array_distinct(F.filter(F.flatten(F.collect_set(sketches)), lambda x: x < _bound(share))))
+
+
+#: Ranges of doc_id that documents are dealt into, at most; so many numbers are sent with the plan.
+RANGES = 20_000
+
 
+def _range_of(k: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are k or less, by bisection."""
+    own = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>") if bounds else F.array().cast("array<long>")
 
-def successors(ids: DataFrame) -> DataFrame:
-    """(k long) to k, next: the next larger k, after the last the first; rows distinct. No task gets all ids: they are dealt by range, and only each range's first id meets on the driver."""
-    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(ids.distinct().repartitionByRange(parts, "k").select("k", F.spark_partition_id().alias("part")), "ids")
-    first = [tuple(r) for r in dealt.groupBy("part").agg(F.min("k")).orderBy("part").collect()]
-    after = [(part, first[(i + 1) % len(first)][1]) for i, (part, _) in enumerate(first)]
-    after = ids.sparkSession.createDataFrame(after, "part int, after long")
-    inside = dealt.withColumn("next", F.lead("k").over(W.partitionBy("part").orderBy("k")))
-    return inside.join(F.broadcast(after), "part").select("k", F.coalesce("next", "after").alias("next"))
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        return F.when(a["low"] >= a["high"], a).when(F.get(own, mid) <= k, F.struct((mid + 1).alias("low"), a["high"].alias("high"))).otherwise(F.struct(a["low"].alias("low"), mid.alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), step, lambda a: a["low"])
+
+
+def with_next(docs: DataFrame, k: int, share: int) -> DataFrame:
+    """(k long, one row each, text) to k, text, sketch, next_text, next_sketch; the next of the last is the first.
+
+    Texts are dealt once, by ranges of k that hold about as many rows each. The first row of each range also goes to the end of the range before it.
+    """
+    spark = docs.sparkSession
+    ranges = min(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ids = docs.select("k")
+    bounds = ids.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    place = _range_of(F.col("k"), sorted(set(bounds)))
+    first = [tuple(r) for r in ids.groupBy(place.alias("range")).agg(F.min("k")).orderBy("range").collect()]
+    before = spark.createDataFrame([(start, first[i - 1][0], i == 0) for i, (_, start) in enumerate(first)], "k long, range int, wrapped boolean")
+    own = docs.withColumn("range", place).withColumn("wrapped", F.lit(False)).withColumn("guest", F.lit(False))
+    guests = docs.join(F.broadcast(before), "k").withColumn("guest", F.lit(True))
+    dealt = own.unionByName(guests).repartition("range").withColumn("sketch", sketch(F.col("text"), k, share))
+    w = W.partitionBy("range").orderBy("wrapped", "k", "guest")
+    return dealt.select("k", "text", "sketch", "guest", F.lead("text").over(w).alias("next_text"), F.lead("sketch").over(w).alias("next_sketch")).where("not guest").drop("guest")
 
 
 def fingerprints(docs: DataFrame, k: int = 5, share: int = 8) -> DataFrame:
@@ -72,29 +100,23 @@ def fingerprints(docs: DataFrame, k: int = 5, share: int = 8) -> DataFrame:
 
     The edited text is the text with its last floor(n_chars / 4) characters replaced by the first as many (or all) of the next document, in ascending
     doc_id, after the last the first. Null text is empty. The next document is that with the smallest larger doc_id, of several rows there
-    the one with the smallest text; a null doc_id counts as the smallest long.
-
-    Where each document's successor is comes from a range partitioning of the ids alone; texts and sketches move by doc_id once, and heads of texts once more.
+    the one with the smallest text; a null doc_id counts as the smallest long. A single document follows itself.
     """
     least = F.lit(-(2**63))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("sketch", sketch(F.col("text"), k, share))
-    follows = written(successors(docs.select("k")), "next")
-    needs = docs.select("k", F.floor(F.char_length("text") / 4).cast("int").alias("need")).distinct()
-    needs = needs.join(follows, "k").select(F.col("k").alias("of"), "need", F.col("next").alias("k"))
-    one = docs
-    repeated = docs.groupBy("k").count().where("count > 1").select("k")
-    if repeated.take(1):
-        repeated = written(repeated, "repeated")
-        same = docs.join(repeated, "k", "left_semi").groupBy("k").agg(F.min("text").alias("text"))
-        one = docs.join(repeated, "k", "left_anti").unionByName(same.withColumn("sketch", sketch(F.col("text"), k, share)))
-    heads = needs.join(one, "k").select(F.col("of").alias("k"), "need", F.substring("text", F.lit(1), F.col("need")).alias("head"), F.col("sketch").alias("next_sketch"))
-    own = docs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("need", F.floor(F.col("n_chars") / 4).cast("int"))
-    own = own.join(heads, ["k", "need"])
-    own = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("need")), F.col("head")))
+    repeated = written(docs.groupBy("k").count().where("count > 1").select("k"), "repeated")
+    if not repeated.take(1):
+        own = with_next(docs, k, share)
+    else:
+        same = docs.join(repeated, "k", "left_semi")
+        one = written(with_next(docs.join(repeated, "k", "left_anti").unionByName(same.groupBy("k").agg(F.min("text").alias("text"))), k, share), "next")
+        of_same = same.withColumn("sketch", sketch(F.col("text"), k, share)).join(one.select("k", "next_text", "next_sketch"), "k")
+        own = one.join(repeated, "k", "left_anti").unionByName(of_same)
+    n = F.char_length("text")
+    own = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring("next_text", F.lit(1), F.floor(n / 4).cast("int"))))
     own = own.withColumn("edited_sketch", sketch(F.col("edited"), k, share))
     return own.select(
-        F.nullif(F.col("k"), least).alias("doc_id"), "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+        F.nullif(F.col("k"), least).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
         hexadecimal(F.col("sketch")).alias("fingerprint"), hexadecimal(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
