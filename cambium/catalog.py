@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cambium.plans import duplicate_queries
+
 FLAGSHIP = "duplicate_summary"
+_parts = (duplicate_queries.catalog,)
+QUERIES = {k: v for part in _parts for k, v in part.queries.items()}
+ORACLES = {k: v for part in _parts for k, v in part.oracles.items()}

@@ -1,0 +1,249 @@
+"""Reproducible selection: hash orders, nested cohorts, quotas, splits by group, pairing, matching."""
+
+from __future__ import annotations
+
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Mapping, Sequence
+from hashlib import sha256
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from cambium.functions import scalars as S
+
+
+def hashed(seed: object, value: object) -> str:
+    """What scalars.digest computes, for work on the driver."""
+    return sha256(f"{seed}:{value}".encode()).hexdigest()
+
+
+def unit_score(release: str, seed: object, unit: Column | str) -> Column:
+    return S.score(F.lit(release), F.lit(str(seed)), S.col(unit))
+
+
+def select_units(frame: DataFrame, unit: str, task: str, limit: int, seed: object, release: str) -> DataFrame:
+    """All tasks of the first limit units by hash, with unit_rank from 1, in order of unit_rank and task. The limit is the feature: only so many units meet in one task."""
+    units = frame.select(unit).distinct().withColumn("unit_score", unit_score(release, seed, unit)).orderBy("unit_score", unit).limit(limit)
+    ranked = units.withColumn("unit_rank", F.row_number().over(W.orderBy("unit_score", unit)))
+    return frame.join(ranked, unit).orderBy("unit_rank", task)
+
+
+def one_per_group(frame: DataFrame, group: str, *order: Column | str) -> DataFrame:
+    """The first row of each group in an order that ends in a unique column."""
+    return frame.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def representatives(frame: DataFrame, group: str, label: str, evidence: Column, seed: object, sample: str) -> DataFrame:
+    """A row for each group: the rarest label by distinct groups, then evidence, then digest."""
+    support = frame.groupBy(label).agg(F.count_distinct(group).alias("label_support"))
+    return one_per_group(frame.join(support, label), group, "label_support", evidence, S.digest(seed, sample), sample)
+
+
+def downsampled(frame: DataFrame, label: str, row_id: str, seed: object) -> DataFrame:
+    """As many rows of each label as the rarest has, the first by digest, with their place."""
+    rarest = frame.groupBy(label).count().agg(F.min("count").alias("_rarest"))
+    own = frame.withColumn("place", F.row_number().over(W.partitionBy(label).orderBy(S.digest(seed, row_id), row_id)))
+    return own.crossJoin(F.broadcast(rarest)).where("place <= _rarest").drop("_rarest")
+
+
+def apportioned(weights: DataFrame, key: str, weight: str, total: Column | int, least: int = 0) -> DataFrame:
+    """(key, weight, quota): total shared out in proportion, least each first, the rest by largest remainder, ties by key. One row a key: small."""
+    total = F.lit(total) if isinstance(total, int) else total
+    every = W.partitionBy()
+    own = weights.withColumn("_n", F.count("*").over(every)).withColumn("_sum", F.sum(weight).over(every))
+    own = own.withColumn("_rest", total - F.col("_n") * least)
+    own = own.withColumn("_exact", F.col(weight).cast("double") * F.col("_rest") / F.col("_sum")).withColumn("_floor", F.floor("_exact"))
+    own = own.withColumn("_left", F.col("_rest") - F.sum("_floor").over(every)).withColumn("_place", F.row_number().over(W.orderBy(F.round(F.col("_exact") - F.col("_floor"), 9).desc(), key)))
+    return own.select(key, weight, (F.lit(least) + F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("int")).cast("long").alias("quota"))
+
+
+def capacities(total: int, ratios: Mapping[str, float]) -> dict[str, int]:
+    """Rows of each split: largest remainders, ties in the order given."""
+    if any(r <= 0 for r in ratios.values()) or abs(sum(ratios.values()) - 1) > 1e-9:
+        raise ValueError("ratios must be positive and sum to 1")
+    exact = {k: total * r for k, r in ratios.items()}
+    out = {k: int(x) for k, x in exact.items()}
+    for k in sorted(ratios, key=lambda k: (-(exact[k] - out[k]), list(ratios).index(k)))[: total - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def balanced_order(units: DataFrame, unit: str, stratum: str, source: str, seed: object, release: str) -> DataFrame:
+    """units with position: strata take turns, within a stratum its sources do, and within a source hashes order; any prefix is a nested cohort."""
+    key = lambda *parts: S.score(F.lit(release), F.lit(str(seed)), *[F.col(p) for p in parts])
+    own = units.withColumn("turn", F.row_number().over(W.partitionBy(stratum, source).orderBy(key(unit), unit)))
+    own = own.withColumn("turn_of_stratum", F.row_number().over(W.partitionBy(stratum).orderBy("turn", key(stratum, source), source)))
+    return own.withColumn("stratum_key", key(stratum))
+
+
+def hash_split(group: Column | str, ratios: Mapping[str, float], seed: object) -> Column:
+    """The split of a group by the share of the digest's range, row by row: what holds for any number of groups."""
+    place = F.conv(F.substring(S.digest(seed, group), 1, 8), 16, 10).cast("double") / 2.0**32
+    out, above = F.lit(list(ratios)[-1]), 1.0
+    for name in reversed(list(ratios)[:-1]):
+        above -= ratios[list(ratios)[list(ratios).index(name) + 1]]
+        out = F.when(place < above, F.lit(name)).otherwise(out)
+    return out
+
+
+def group_features(frame: DataFrame, group: str, primary: Mapping[str, Column], secondary: Mapping[str, Column], weight: float = 0.25) -> DataFrame:
+    """(group, features: map from feature to weight): distinct values over the group's rows; secondary ones count less, and missing_or_unknown stands in where none is told."""
+    every = [(f"primary:{k}:", c, 1.0) for k, c in primary.items()] + [(f"secondary:{k}:", c, weight) for k, c in secondary.items()]
+    sets = frame.groupBy(group).agg(*[F.collect_set(F.when(S.informative(c) if p.startswith("secondary") else c.isNotNull(), c.cast("string"))).alias(f"_{i}") for i, (p, c, _) in enumerate(every)])
+    parts = [
+        F.transform(F.when(F.size(f"_{i}") > 0, F.col(f"_{i}")).otherwise(F.array(F.lit("missing_or_unknown"))), lambda v, p=p, w=w: F.struct(F.concat(F.lit(p), v).alias("feature"), F.lit(w).alias("weight")))
+        for i, (p, _, w) in enumerate(every)
+    ]
+    return sets.select(group, F.concat(*parts).alias("features"))
+
+
+def greedy_assignment(groups: Iterable[tuple[str, Sequence[tuple[str, float]]]], ratios: Mapping[str, float], seed: object) -> dict[str, str]:
+    """A split for each group: groups with the rarest primary feature first, each to the open split whose deviation from its targets grows least, ties by digest.
+
+    The deviation of a feature is (count / target) squared about 1; a candidate is weighed as if it added 1, and then adds its weight.
+    """
+    features = {g: dict(f) for g, f in groups}
+    support = Counter(f for own in features.values() for f in own)
+    order = sorted(features, key=lambda g: (min((support[f] for f in features[g] if f.startswith("primary:")), default=0), -len(features[g]), hashed(seed, g)))
+    room = capacities(len(features), ratios)
+    counts: dict[str, Counter] = {s: Counter() for s in ratios}
+    out = {}
+    for g in order:
+
+        def cost(split: str, g: str = g) -> float:
+            total = 0.0
+            for f, w in features[g].items():
+                target = max(1.0, support[f] * ratios[split])
+                have = counts[split][f]
+                total += w * (((have + 1 - target) / target) ** 2 - ((have - target) / target) ** 2)
+            return total
+
+        out[g] = min((cost(s), hashed(seed, f"{g}:{s}"), s) for s in ratios if room[s] > 0)[2]
+        room[out[g]] -= 1
+        counts[out[g]].update(features[g])
+    return out
+
+
+def greedy_split(features: DataFrame, group: str, ratios: Mapping[str, float], seed: object, block: int = 200_000) -> DataFrame:
+    """(group, split) by greedy_assignment. Each choice depends on all before it, so groups are dealt by digest into blocks of about block groups, and each block is split by
+    itself in one task; up to block groups that is the one global assignment."""
+    blocks = max(1, -(-features.count() // block))
+    own = features.withColumn("_block", F.pmod(F.xxhash64(group), F.lit(blocks)).cast("int")).withColumn("_g", F.col(group).cast("string"))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        split = greedy_assignment(((g, [(x["feature"], x["weight"]) for x in f]) for g, f in zip(part["_g"], part["features"], strict=True)), ratios, seed)
+        return pd.DataFrame({group: part[group], "split": part["_g"].map(split)})
+
+    kind = features.schema[group].dataType.simpleString()
+    return own.groupBy("_block").applyInPandas(one, f"{group} {kind}, split string")
+
+
+def exact_subset(sizes: Mapping[str, int], target: int, seed: object) -> set[str]:
+    """Whole groups whose sizes sum to target, by dynamic programming in hash order, the first way to each sum kept. An error if there is none."""
+    way: dict[int, tuple[int, str] | None] = {0: None}
+    for g in sorted(sizes, key=lambda g: (hashed(seed, g), g)):
+        for reached in sorted(way, reverse=True):
+            if (to := reached + sizes[g]) <= target and to not in way:
+                way[to] = (reached, g)
+    if target not in way:
+        raise ValueError(f"no whole groups of {target} rows")
+    out = set()
+    while (step := way[target]) is not None:
+        target = step[0]
+        out.add(step[1])
+    return out
+
+
+def matching(wishes: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """A partner of its own for each, from its list in order of preference, by augmenting paths; those without one are left out."""
+    taken: dict[str, str] = {}
+
+    def place(who: str, seen: set[str]) -> bool:
+        for other in wishes[who]:
+            if other not in seen:
+                seen.add(other)
+                if other not in taken or place(taken[other], seen):
+                    taken[other] = who
+                    return True
+        return False
+
+    for who in wishes:
+        place(who, set())
+    return {who: other for other, who in taken.items()}
+
+
+def matched(frame: DataFrame, row_id: str, label: str, seed: object) -> DataFrame:
+    """(row_id, donor): each row gets another label's row as its donor, each row serves at most once. Rows are ordered by label and digest and shifted by the size of the largest label: with no
+    label over half of all rows this is a perfect matching without a search, for any number of rows. Rows that would meet their own label get null."""
+    sizes = frame.groupBy(label).agg(F.count("*").alias("_size"))
+    start = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(W.orderBy(label).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    total = sizes.agg(F.sum("_size").alias("_total"), F.max("_size").alias("_most"))
+    own = frame.select(row_id, label).join(F.broadcast(start), label).crossJoin(F.broadcast(total))
+    own = own.withColumn("_at", F.col("_start") + F.row_number().over(W.partitionBy(label).orderBy(S.digest(seed, row_id), row_id)) - 1)
+    donors = own.select(F.col(row_id).alias("donor"), F.col(label).alias("_donor_label"), F.pmod(F.col("_at") - F.col("_most"), F.col("_total")).alias("_at"))
+    return own.join(donors, "_at").select(row_id, F.when(F.col("_donor_label") != F.col(label), F.col("donor")).alias("donor"))
+
+
+def distractors(frame: DataFrame, row_id: str, label: str, seed: object, others: int = 1) -> DataFrame:
+    """frame's rows with distractors: others of the remaining labels, dealt in turn in hash order, so each is used as often as any other, give or take one, for a label's rows."""
+    labels = frame.select(label).distinct().agg(F.array_sort(F.collect_set(label)).alias("_labels"))
+    own = frame.crossJoin(F.broadcast(labels)).withColumn("_rest", F.array_except("_labels", F.array(label)))
+    own = own.withColumn("_n", F.row_number().over(W.partitionBy(label).orderBy(S.digest(seed, row_id), row_id)) - 1)
+    pick = F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda i: F.get(F.col("_rest"), F.pmod(F.col("_n") * others + i, F.size("_rest")).cast("int")))
+    return own.withColumn("distractors", pick).drop("_labels", "_rest", "_n")
+
+
+def paired_tasks(frame: DataFrame, row_id: str, label: str, seed: object, others: int = 2) -> DataFrame:
+    """Two tasks a row of the downsampled frame: high shows the label among all labels, low among its distractors only; candidates in hash order."""
+    own = distractors(downsampled(frame, label, row_id, seed), row_id, label, seed, others)
+    labels = own.select(label).distinct().agg(F.collect_set(label).alias("_all"))
+    own = own.crossJoin(F.broadcast(labels)).withColumn("pair_id", S.stable_id("PAIR", row_id, 16))
+    own = own.withColumn("difficulty", F.explode(F.array(F.lit("low"), F.lit("high")))).withColumn("task_id", S.stable_id("TASK", F.concat_ws(":", "pair_id", "difficulty"), 16))
+    given = F.when(F.col("difficulty") == "low", F.concat(F.array(F.col(label)), F.col("distractors"))).otherwise(F.col("_all"))
+    keyed = F.transform(given, lambda c: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("task_id"), c), 256).alias("k"), c.alias("c")))
+    return own.withColumn("candidates", F.transform(F.array_sort(keyed), lambda x: x["c"])).withColumn("candidate_count", F.size("candidates").cast("short")).drop("_all", "place", "distractors")
+
+
+def chunked(frame: DataFrame, n: int, *order: str) -> DataFrame:
+    """frame with batch: runs of n rows in a total order, numbered without a single sorting task, by counts over a range partitioning."""
+    dealt = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    from cambium.scratch import written
+
+    dealt = written(dealt, "ordered")
+    sizes = dealt.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    own = dealt.join(F.broadcast(sizes.drop("count")), "_part").withColumn("_at", F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy("_row")) - 1)
+    return own.withColumn("batch", F.floor(F.col("_at") / n).cast("long")).drop("_part", "_row", "_before", "_at")
+
+
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def water_filled(sizes: Mapping[str, int], total: int, cap: int) -> dict[str, int]:
+    """As equal shares of total as sizes and a cap allow: shares rise together, in order of name, until total is reached."""
+    out = dict.fromkeys(sorted(sizes), 0)
+    while sum(out.values()) < total and (room := [k for k in out if out[k] < min(cap, sizes[k])]):
+        low = min(out[k] for k in room)
+        for k in room:
+            if out[k] == low and sum(out.values()) < total:
+                out[k] += 1
+    return out
+
+
+def proportional_fill(full: Mapping[str, int], chosen: Mapping[str, int], target: int) -> list[str]:
+    """The order in which labels are added one row at a time, each time that with the largest deficit against its share, ties by name."""
+    have, out, total = defaultdict(int, chosen), [], sum(full.values())
+    while sum(have.values()) < target:
+        size = sum(have.values()) + 1
+        room = [k for k in sorted(full) if have[k] < full[k]]
+        if not room:
+            break
+        best = max(room, key=lambda k: full[k] / total * size - have[k])
+        have[best] += 1
+        out.append(best)
+    return out
