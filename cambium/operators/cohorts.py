@@ -92,10 +92,12 @@ def group_features(frame: DataFrame, group: str, primary: Mapping[str, Column],
     """(group, features: map from feature to weight): distinct values over the group's rows; secondary ones count less, and missing_or_unknown stands in where none is told."""
     every = [(f"primary:{k}:", c, 1.0) for k, c in primary.items()] + [(f"secondary:{k}:", c, weight) for k, c in secondary.items()]
     sets = frame.groupBy(group).agg(*[F.collect_set(F.when(S.informative(c) if p.startswith("secondary") else c.isNotNull(), c.cast("string"))).alias(f"_{i}") for i, (p, c, _) in enumerate(every)])
-    parts = [
-        F.transform(F.when(F.size(f"_{i}") > 0, F.col(f"_{i}")).otherwise(F.array(F.lit("missing_or_unknown"))), lambda v, p=p, w=w: F.struct(F.concat(F.lit(p), v).alias("feature"), F.lit(w).alias("weight")))
-        for i, (p, _, w) in enumerate(every)
-    ]
+
+    def named(i: int, prefix: str, w: float) -> Column:
+        values = F.when(F.size(f"_{i}") > 0, F.col(f"_{i}")).otherwise(F.array(F.lit("missing_or_unknown")))
+        return F.transform(values, lambda v: F.struct(F.concat(F.lit(prefix), v).alias("feature"), F.lit(w).alias("weight")))
+
+    parts = [named(i, prefix, w) for i, (prefix, _, w) in enumerate(every)]
     return sets.select(group, F.concat(*parts).alias("features"))
 
 

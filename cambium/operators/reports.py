@@ -74,7 +74,7 @@ def checks(frame: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 def unique(frame: DataFrame, *keys: str) -> DataFrame:
     """(rule, violations): keys that are there more than once."""
-    return frame.groupBy(*keys).count().agg(F.lit("unique_" + "_".join(keys)).alias("rule"), F.count_if("count > 1").alias("violations"))
+    return frame.groupBy(*keys).count().agg(F.lit("unique_" + "_".join(keys)).alias("rule"), F.count_if(F.col("count") > 1).alias("violations"))
 
 
 def missing(left: DataFrame, right: DataFrame, key: str, rule: str) -> DataFrame:

@@ -62,7 +62,7 @@ def subgroup_accuracy(frame: DataFrame, group: str, hit: str, unit: str, label:
 
 def paired(frame: DataFrame, pair: str, condition: str, value: str, names: Sequence[str]) -> DataFrame:
     """One row a pair with a column for each condition, and complete: each is there once."""
-    own = frame.groupBy(pair).pivot(condition, list(names)).agg(F.max(value).alias("v"), F.count("*").alias("n"))
+    own = frame.groupBy(pair).pivot(condition, list(names)).agg(F.max(value).alias("v"), F.count(F.lit(1)).alias("n"))
     whole = F.lit(True)
     for n in names:
         whole = whole & (F.coalesce(F.col(f"{n}_n"), F.lit(0)) == 1)
