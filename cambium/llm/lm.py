@@ -23,7 +23,7 @@ from cambium.scratch import written
 
 _U = np.uint64
 #: Bytes of text in a chunk; a longer text is a chunk by itself.
-CHUNK = 12 << 20
+CHUNK = 4 << 20
 DISCOUNT = 0.75
 #: Hashes of the end of a text and of the sign before its first word.
 END, START = 0x5DEECE66D1234567, 0x2545F4914F6CDD1D
