@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm import words
+from cambium.llm.frames import with_text
+from cambium.llm.memory import kept
 
 #: Words of benchmark passages that are sent to the executors at once, as 24 bytes each; a longer benchmark is taken in blocks.
 BLOCK = 2_000_000
@@ -116,18 +118,14 @@ class Benchmark:
             yield from out
 
 
-_open: list = []
-
-
-def _judged(batches: Iterator[pa.RecordBatch], rows: list, tiling: Tiling) -> Iterator[pa.RecordBatch]:
-    if not _open or _open[0] is not rows:
-        _open[:] = rows, Benchmark(rows, tiling)
+def _judged(batches: Iterator[pa.RecordBatch], rows: list, tiling: Tiling, place: int, n: int) -> Iterator[pa.RecordBatch]:
+    own: Benchmark = kept(("benchmark", hash(tuple(rows)), tiling), lambda: Benchmark(rows, tiling))
     for batch in batches:
-        found = list(_open[1].judge(batch.column(batch.num_columns - 1)))
+        found = list(own.judge(batch.column(place)))
         best = [max(x, key=lambda c: (c[0], -(c[1] or 0)), default=(0.0, None, 0)) for x in found]
         over = [sum(c[0] >= tiling.coverage for c in x) for x in found]
         columns = [pa.array([b[0] for b in best], pa.float64()), pa.array([b[1] if b[2] else None for b in best], pa.int64()), pa.array([b[2] for b in best], pa.int64()), pa.array(over, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "coverage", "item_id", "n_tiles", "n_items"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=[*batch.schema.names[:n], "coverage", "item_id", "n_tiles", "n_items"])
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], tiling: Tiling = Tiling()) -> DataFrame:
@@ -138,13 +136,12 @@ def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], tiling: Tilin
     Documents are read whole and aren't shuffled; the benchmark is sent to the executors in blocks of BLOCK words.
     """
     sent = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    names = docs.select(*keep).columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "coverage double, item_id long, n_tiles long, n_items long"])
+    own, place, schema = with_text(docs, keep)
     out, block, held = None, [], 0
 
     def one(rows: list) -> DataFrame:
-        own = docs.sparkSession.sparkContext.broadcast(rows)
-        return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(lambda batches: _judged(batches, own.value, tiling), schema)
+        passages = docs.sparkSession.sparkContext.broadcast(rows)
+        return own.mapInArrow(lambda batches: _judged(batches, passages.value, tiling, place, len(keep)), f"{schema}, coverage double, item_id long, n_tiles long, n_items long")
 
     for row in sent.toLocalIterator():
         block.append((row["item_id"], row["text"]))
@@ -154,6 +151,6 @@ def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], tiling: Tilin
     if out is None:
         out = one(block)
     else:  # several blocks: the best of each row's
-        out = out.unionByName(one(block)).groupBy(*names).agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("item_id"), "n_tiles")).alias("best"), F.sum("n_items").alias("n_items"))
-        out = out.select(*names, "best.coverage", (-F.col("best.item_id")).alias("item_id"), "best.n_tiles", "n_items")
+        out = out.unionByName(one(block)).groupBy(*keep).agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("item_id"), "n_tiles")).alias("best"), F.sum("n_items").alias("n_items"))
+        out = out.select(*keep, "best.coverage", (-F.col("best.item_id")).alias("item_id"), "best.n_tiles", "n_items")
     return out.withColumn("contaminated", F.col("n_items") > 0).withColumn("kept", F.col("n_items") == 0)

@@ -14,7 +14,8 @@ from math import e, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from cambium.llm.frames import with_text
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,12 +177,12 @@ def main_text(html: str | None) -> str:
     return "\n".join(filter(None, (" ".join("".join(b).split()) for b in blocks)))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], place: int, n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            text = [main_text(h) for h in part.column(part.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=[*part.schema.names[:-1], "text", "n_chars"])
+            text = [main_text(h) for h in part.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=[*part.schema.names[:n], "text", "n_chars"])
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -190,5 +191,5 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     A block's white space is one space each, blocks are joined by a newline in page order. A null or empty page, or one without text, gives an empty text.
     Pages are read whole; there is no shuffle, and repeated rows give repeated results. No column of keep may be called text or n_chars.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema), "text string, n_chars long"])
-    return pages.select(*keep, F.col("html").cast("string").alias("_html")).mapInArrow(_texts, schema)
+    rows, place, schema = with_text(pages, keep, "html")
+    return rows.mapInArrow(lambda batches: _texts(batches, place, len(keep)), f"{schema}, text string, n_chars long")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cambium.llm.frames import with_text
+from cambium.llm.memory import kept
 from cambium.scratch import written
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -91,21 +93,16 @@ class Classifier:
         return size[0][1], 1 / (1 + exp(-20 * margin)), margin
 
 
-_open: list = []
-
-
-def _predict(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes], profile: Profile) -> Iterator[pa.RecordBatch]:
-    if not _open or _open[0] is not dictionaries:
-        _open[:] = dictionaries, Classifier(dictionaries, profile)
-    own: Classifier = _open[1]
+def _predict(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes], profile: Profile, place: int, n: int) -> Iterator[pa.RecordBatch]:
+    own: Classifier = kept(("langid", sorted((k, hash(v)) for k, v in dictionaries.items()), profile), lambda: Classifier(dictionaries, profile))
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            lang, score, margin = zip(*map(own.best, part.column(part.num_columns - 1).to_pylist()), strict=True)
+            lang, score, margin = zip(*map(own.best, part.column(place).to_pylist()), strict=True)
             rejected = [x == UNKNOWN or m < profile.narrow for x, m in zip(lang, margin, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())],
-                names=[*part.schema.names[:-1], "lang_pred", "score", "margin", "rejected"],
+                [*part.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())],
+                names=[*part.schema.names[:n], "lang_pred", "score", "margin", "rejected"],
             )
 
 
@@ -116,7 +113,5 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], p
     profile.dictionary bytes at most for each language, are sent to the executors. No column of keep may have the name of an added one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    added = "lang_pred string, score double, margin double, rejected boolean"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), added])
-    return rows.mapInArrow(lambda batches: _predict(batches, sent.value, profile), schema)
+    rows, place, schema = with_text(docs, keep)
+    return rows.mapInArrow(lambda batches: _predict(batches, sent.value, profile, place, len(keep)), f"{schema}, lang_pred string, score double, margin double, rejected boolean")

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm import words
-from cambium.llm.components import components
+from cambium.llm.memory import release
+from cambium.operators.graph import components
 from cambium.scratch import written
 
 #: Ids of documents that may be broadcast to fetch their texts: 8 bytes each. More are fetched by a shuffled join.
@@ -80,6 +81,7 @@ def sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
+    release()
     a, b = hashers(near.lanes)
     for batch in batches:
         n = batch.num_rows

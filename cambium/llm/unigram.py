@@ -12,9 +12,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from cambium.llm.memory import Memory
+from cambium.llm.frames import with_text
+from cambium.llm.memory import Memory, kept
 
 #: Fixed values of the tokenizer: the sign for a space, and what an unknown character scores under the worst piece.
 SPACE, PENALTY = "▁", 10.0
@@ -79,18 +79,13 @@ class Counter:
         return sum(counts), sum(scores)
 
 
-_open: list = []
-
-
-def _counted(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
-    if not _open or _open[0] is not sent.value:
-        _open[:] = sent.value, Counter(*sent.value)
-    own: Counter = _open[1]
+def _counted(batches: Iterator[pa.RecordBatch], sent: Broadcast, place: int, n: int) -> Iterator[pa.RecordBatch]:
+    own: Counter = kept(("unigram", hash(tuple(sent.value[0])), sent.value[1]), lambda: Counter(*sent.value))
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            made = list(map(own.count, part.column(part.num_columns - 1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.float64())], names=[*part.schema.names[:-1], "n_tokens", "score"])
+            made = list(map(own.count, part.column(place).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.float64())], names=[*part.schema.names[:n], "n_tokens", "score"])
 
 
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], to_bytes: bool, keep: list[str]) -> DataFrame:
@@ -100,6 +95,6 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], to_bytes: boo
     sent to the executors. No column of keep may be called n_tokens or score.
     """
     sent = docs.sparkSession.sparkContext.broadcast((pieces, to_bytes))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_tokens long, score double"])
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(lambda batches: _counted(batches, sent), schema)
+    rows, place, schema = with_text(docs, keep)
+    return rows.mapInArrow(lambda batches: _counted(batches, sent, place, len(keep)), f"{schema}, n_tokens long, score double")
 

@@ -21,13 +21,15 @@ ORACLE_SQL = None
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    """All columns but the text as one, and the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), F.col("text").cast("string").alias("text"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter, or as small by two languages' dictionaries, go. A missing lang is filled in."""
-    told = langid.classify(_whole(docs), langid.learn(docs), ["_row"]).where("not rejected")
-    return told.select("_row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = langid.classify(_whole(docs), langid.learn(docs), ["_row", "text"]).where("not rejected")
+    lang = F.coalesce(F.col("_row.lang"), F.col("lang_pred")).alias("lang")
+    return told.select(*[lang if c == "lang" else F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +46,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    return decontaminate.judged(_whole(docs), table(spark, sf_dir, "benchmark"), ["_row"]).where("kept").select("_row.*")
+    return decontaminate.judged(_whole(docs), table(spark, sf_dir, "benchmark"), ["_row", "text"]).where("kept").select("_row.*", "text").select(*docs.columns)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms; n_chars follows the text."""
-    made = pii.pseudonymize(_whole(docs), spark.conf.get(PII_KEY, PII_KEY), ["_row"]).select("_row.*", F.col("text").alias("_new"))
-    return made.withColumn("text", F.col("_new")).withColumn("n_chars", F.char_length("_new").cast("long")).select(*docs.columns)
+    made = pii.pseudonymize(_whole(docs), spark.conf.get(PII_KEY, PII_KEY), ["_row"])
+    chars = F.char_length("text").cast("long").alias("n_chars")
+    return made.select(*[chars if c == "n_chars" else F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
