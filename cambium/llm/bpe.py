@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cambium.llm.memory import Memory
+from cambium.llm.memory import Memory, kept
 
 #: White_Space of Unicode, as the tokenizer's own pattern takes \s.
 _S = "\t-\r \x85\xa0  -     　"
@@ -58,11 +58,15 @@ class Transducer:
         for t in self.whole:
             lengths.setdefault(t[-2:], set()).add(len(t))
         self.by_end = {b: sorted(n | {1}, reverse=True) for b, n in lengths.items()}
+        by_start: dict[bytes, set[int]] = {}
+        for t in self.whole:
+            by_start.setdefault(t[:3], set()).add(len(t))
+        self.starts: Memory = Memory(lambda start: tuple(sorted(by_start.get(start, set()) | {n for n in (1, 2) if start[:n] in self.whole and n <= len(start)}, reverse=True)))
         self.parts = {a + b: (a, b) for (a, b), _ in sorted(self.rank.items(), key=lambda m: -m[1])}
         self.made = {t: self.rank[x] for t, x in self.parts.items()}
         self.fits: Memory = Memory(lambda pair: self._fits(self.bytes[pair >> 20], self.bytes[pair & 0xFFFFF]))
-        self.runs: Memory = Memory(self._run)
-        self.pieces: Memory = Memory(lambda piece: tuple(self.encode_piece(piece)))
+        self.pieces: Memory = Memory(self._piece)
+        self.shown = list(map(str, range(len(self.bytes))))
 
     def _lookahead(self) -> int:
         """Bytes after a token that settle it.
@@ -149,34 +153,38 @@ class Transducer:
             return [t]
         if len(text) > SHORT:
             return list(self.stream([text]))
-        whole, fits, end, longest = self.whole, self.fits, len(text), self.longest
-        out, at, dead, n, i = [], [], set(), min(end - 1, longest), 0
+        get, fits, starts, end = self.whole.get, self.fits, self.starts, len(text)
+        out, at, dead, i, before = [], [], set(), 0, -1
+        sizes = iter(starts[text[:3]])
         while i < end:
-            while n and ((t := whole.get(text[i : i + n])) is None or i + n in dead or out and not fits[out[-1] << 20 | t]):
-                n -= 1
-            if n:
-                out.append(t)
-                at.append(i)
-                i += n
-                n = min(end - i, longest)
+            for n in sizes:
+                if (k := i + n) <= end and (t := get(text[i:k])) is not None and (before < 0 or fits[before | t]) and k not in dead:
+                    break
             else:
                 dead.add(i)
                 out.pop()
-                n, i = i - at[-1] - 1, at.pop()
+                before = out[-1] << 20 if out else -1
+                i, sizes = at.pop()
+                continue
+            out.append(t)
+            before = t << 20
+            at.append((i, sizes))
+            i = k
+            sizes = iter(starts[text[i : i + 3]])
         return out
 
-    def _run(self, run: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(chain.from_iterable(self.pieces[p] if len(p) <= SHORT else self.encode_piece(p) for p in _PIECE.findall(run)))
-        return ids, ",".join(map(str, ids))
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+        ids = tuple(self.encode_piece(piece))
+        return ids, ",".join(map(self.shown.__getitem__, ids))
 
     def encode(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids, and the same as text, of each run. The strings of special tokens in a text become those tokens."""
+        """Ids, and the same as text, of each piece. The strings of special tokens in a text become those tokens."""
         out = []
         for part in self.specials.split(text) if self.specials and any(s in text for s in self.special) else (text,):
             if part in self.special:
                 out.append(((self.special[part],), str(self.special[part])))
-            elif runs := _RUN.findall(part):
-                out += map(self.runs.__getitem__, runs) if max(map(len, runs)) <= SHORT else [self.runs[r] if len(r) <= SHORT else self._run(r) for r in runs]
+            elif pieces := _PIECE.findall(part):
+                out += map(self.pieces.__getitem__, pieces) if max(map(len, pieces)) <= SHORT else [self.pieces[p] if len(p) <= SHORT else self._piece(p) for p in pieces]
         return out
 
     def decode(self, ids: Sequence[int], block: int = 4096) -> Iterator[str]:
@@ -187,16 +195,9 @@ class Transducer:
         yield machine.decode(b"", True)
 
 
-_open: dict[bytes, Transducer] = {}
-
-
 def transducer(source: bytes) -> Transducer:
     """One for each worker process."""
-    key = hashlib.sha256(source).digest()
-    if key not in _open:
-        _open.clear()
-        _open[key] = Transducer(source)
-    return _open[key]
+    return kept(("bpe", hashlib.sha256(source).digest()), lambda: Transducer(source))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], source: bytes, keep: bool) -> Iterator[pa.RecordBatch]:
