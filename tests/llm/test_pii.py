@@ -1,0 +1,92 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from cambium.llm import pii
+
+KEY = "k"
+
+
+def noise(tweak, n):
+    digests = "".join(hashlib.sha512(f"{KEY}|{b}|{tweak}".encode()).hexdigest() for b in range((max(n - 1, 0)) // 32 + 1))
+    return [int(digests[4 * i : 4 * i + 4], 16) for i in range(n)]
+
+
+def permuted(values, radices, tweak, back=False):
+    """The same network on the driver, in either direction."""
+    cut = -(-len(values) // 2)
+    left, right, a, b = list(values[:cut]), list(values[cut:]), radices[:cut], radices[cut:]
+    for r in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        half, radix, other = (left, a, right) if r % 2 == 0 else (right, b, left)
+        h = noise(f"{tweak}|{r}|{','.join(map(str, other))}", max(len(half), 1))
+        half[:] = [(x + (-1 if back else 1) * h[i]) % radix[i] for i, x in enumerate(half)]
+    return left + right
+
+
+def one(spark, text):
+    return pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY, ["doc_id"]).first()
+
+
+def luhn(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def test_feistel_is_a_permutation_with_an_inverse(spark):
+    values, radices = [1, 255, 0, 17], [256] * 4
+    got = spark.range(1).select(pii.feistel(F.array(*map(F.lit, values)), F.array(*map(F.lit, radices)), KEY, F.lit("ip"))).first()[0]
+    assert got == permuted(values, radices, "ip") and permuted(got, radices, "ip", back=True) == values
+    pairs = spark.range(27 * 100).select(pii.feistel(F.array((F.col("id") % 27).cast("int"), (F.col("id") / 27).cast("int")), F.array(F.lit(27), F.lit(100)), KEY, F.lit("d")).alias("v"))
+    assert pairs.distinct().count() == 2700
+
+
+@pytest.mark.parametrize(("text", "kind", "shape"), [
+    ("Write to anna.b-7@mail3.example.com.", "email", r"Write to [a-z]{4}\.[a-z]-\d@mail3\.example\.com\."),
+    ("card 4845168114407329, ok", "card", r"card \d{16}, ok"),
+    ("card 4111-1111-1111-1111", "card", r"card \d{4}-\d{4}-\d{4}-\d{4}"),
+    ("from 97.51.17.173.", "ip", r"from \d+\.\d+\.\d+\.\d+\."),
+    ("call +1 (017) 555-7713 now", "phone", r"call \+1 \(\d{3}\) \d{3}-\d{4} now"),
+    ("call (555) 123-4567 or not", "phone", r"call \(\d{3}\) \d{3}-\d{4} or not"),
+    ("ssn 123-45-6789", "ssn", r"ssn \d{3}-\d\d-\d{4}"),
+    ("born 1984-02-29", "date", r"born \d{4}-\d\d-\d\d"),
+    ("born 28/02/1983", "date", r"born \d\d/\d\d/\d{4}"),
+    ("IBAN GB82 WEST 1234 5698 7654 32", "iban", r"IBAN GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d"),
+    ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "secret", r'token = "[0-9a-z]{40}"'),
+])
+def test_each_kind_keeps_its_format(spark, text, kind, shape):
+    row = one(spark, text)
+    assert row["text"] != text and re.fullmatch(shape, row["text"]) and row["pii_kinds"] == kind and row["n_pii"] == 1
+
+
+@pytest.mark.parametrize("text", ["card 9807915762804490", "v 300.1.1.1", "1.2.3.4.5", "30.02.1983", "000-11-2222", "DE88370400440532013000", "12345678", "a@b", "item 1234-5678", "", "plain text", "x" * 100_000])
+def test_what_is_not_valid_stays(spark, text):
+    row = one(spark, text)
+    assert row["text"] == text and row["n_pii"] == 0 and row["pii_kinds"] == ""
+
+
+def test_cards_stay_valid_and_equal_values_stay_linked(spark):
+    text = "4845168114407329 7536784127813050 4845168114407329 u@x.org u@x.org 1.2.3.4 1.2.3.4"
+    rows = [(1, text), (2, "again 4845168114407329 and u@x.org"), (2, "again 4845168114407329 and u@x.org")]
+    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY, ["doc_id"]).orderBy("doc_id").collect()
+    a, b, c, d, e, f, g = out[0]["text"].split()
+    assert a == c != b and d == e and f == g and luhn(a) and luhn(b) and out[0]["n_pii"] == 7
+    assert out[1]["text"] == out[2]["text"] == f"again {a} and {d}"
+
+
+def test_numbers_beside_each_other(spark):
+    row = one(spark, "+1 (826) 555-4081 190.137.223.204 4845168114407329 9807915762804490")
+    assert row["n_pii"] == 3 and row["text"].endswith(" 9807915762804490") and "190.137.223.204" not in row["text"]
+
+
+def test_nulls_clashing_columns_and_empty_table(spark):
+    frame = spark.createDataFrame([(1, None, "a", 5), (None, "u@x.org", "b", 6)], "doc_id long, text string, _found string, n int")
+    got = {r["doc_id"]: r for r in pii.pseudonymize(frame, KEY, ["doc_id", "n"]).collect()}
+    assert got[1]["text"] is None and got[1]["n_pii"] == 0 and got[None]["n_pii"] == 1 and got[None]["n"] == 6
+    assert pii.pseudonymize(frame.limit(0), KEY, ["doc_id"]).count() == 0
+
+
+def test_native_plan(spark, sf):
+    plan = pii.pseudonymize(spark.read.parquet(f"{sf}/documents.parquet"), KEY, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
