@@ -271,7 +271,7 @@ def without_repeats(docs: DataFrame, keep: list[str], width: int = 200) -> DataF
     heads = long_.join(_few(copies.select(*key)), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
     texts = once.unionByName(heads)
     runs = written(texts.mapInArrow(lambda batches: _anchors(batches, width), "t0 long, t1 long, low long, size int, anchor long, context long"), "anchors")
-    twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    twice = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
     runs = written(runs.join(twice, "anchor"), "runs")
     contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("t0", "t1", "low", "size")))
     contexts = written(contexts, "contexts")
