@@ -31,7 +31,8 @@ def wilson(hits: Column, n: Column, level: float = 0.95) -> tuple[Column, Column
     middle = p + F.try_divide(F.lit(z * z / 2), n)
     half = z * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z / 4), n * n))
     zero = F.lit(0.0)
-    return F.coalesce(F.greatest(zero, F.try_divide(middle - half, scale)), zero), F.coalesce(F.least(F.lit(1.0), F.try_divide(middle + half, scale)), zero)
+    some = lambda c: F.when(n > 0, c).otherwise(zero)
+    return some(F.greatest(zero, F.try_divide(middle - half, scale))), some(F.least(F.lit(1.0), F.try_divide(middle + half, scale)))
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:

@@ -58,6 +58,11 @@ def bands(bits: int, threshold: int) -> list[tuple[int, int]]:
     return [(edges[i], edges[i + 1] - edges[i]) for i in range(n)]
 
 
+def _low(width: int) -> int:
+    """A long whose width lowest bits are set."""
+    return -1 if width == 64 else (1 << width) - 1
+
+
 def near_pairs(codes: DataFrame, threshold: int, code: str = "code", bits: int = 64) -> DataFrame:
     """(id, code) to (a, b, distance) for all a < b within threshold bits, without comparing all with all: by the pigeonhole principle they agree in one of
     threshold + 1 bands. Equal codes are compared once: pairs are found between distinct codes, and then given to their ids.
@@ -66,7 +71,7 @@ def near_pairs(codes: DataFrame, threshold: int, code: str = "code", bits: int =
     """
     own = codes.where(F.col(code).isNotNull())
     distinct = own.select(F.col(code).alias("code")).distinct()
-    parts = [F.shiftrightunsigned(F.col("code"), s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in bands(bits, threshold)]
+    parts = [F.shiftrightunsigned(F.col("code"), s).bitwiseAND(F.lit(_low(w))) for s, w in bands(bits, threshold)]
     placed = distinct.select("code", F.posexplode(F.array(*parts)).alias("band", "part"))
     x, y = placed.alias("x"), placed.alias("y")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.code") < F.col("y.code"))
@@ -74,7 +79,7 @@ def near_pairs(codes: DataFrame, threshold: int, code: str = "code", bits: int =
     diff = F.col("x.code").bitwiseXOR(F.col("y.code"))
     earlier = F.lit(False)
     for i, (s, w) in enumerate(bands(bits, threshold)):
-        earlier = earlier | ((F.col("x.band") > i) & (F.shiftrightunsigned(diff, s).bitwiseAND(F.lit((1 << w) - 1)) == 0))
+        earlier = earlier | ((F.col("x.band") > i) & (F.shiftrightunsigned(diff, s).bitwiseAND(F.lit(_low(w))) == 0))
     apart = x.join(y, same & (distance <= threshold) & ~earlier).select(F.col("x.code").alias("p"), F.col("y.code").alias("q"), distance.alias("distance"))
     left, right = own.select(F.col("id").alias("i"), F.col(code).alias("p")), own.select(F.col("id").alias("j"), F.col(code).alias("q"))
     unequal = apart.join(left, "p").join(right, "q").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")

@@ -36,6 +36,15 @@ _KINDS = {"reference_diagnoses": T.ArrayType(DIAGNOSIS, False), "diagnosis_grada
 MANIFEST = T.StructType([T.StructField(f.rstrip("!"), _KINDS.get(f.rstrip("!"), T.StringType()), not f.endswith("!")) for f in MANIFEST_FIELDS])
 
 
+def relaxed(kind: T.DataType) -> T.DataType:
+    """kind with null allowed inside it: what a cast can reach; what must not be null is checked on rows."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(relaxed(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, relaxed(f.dataType)) for f in kind])
+    return kind
+
+
 def csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """A CSV with a header as text columns, found by name; null where the file lacks one."""
     have = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -75,10 +84,11 @@ def manifest(frame: DataFrame, dataset_id: str, version: str, values: Mapping[st
     own = own.withColumn("exclusion_reason", reason).withColumn("include", F.col("exclusion_reason").isNull()).withColumn("leakage_group_id", F.col("group_id"))
     if "reference_diagnoses" not in own.columns:
         one = F.struct(F.coalesce("disease_original", F.lit("")).alias("disease_original"), "disease_id", F.coalesce("canonical_source_label", F.lit("")).alias("canonical_source_label"), "mapping_status", F.lit(1).alias("rank"), F.lit(None).cast("double").alias("weight"), F.lit(dataset_id).alias("source")) if "disease_original" in own.columns else None
-        own = own.withColumn("reference_diagnoses", F.when(told, F.array(one)).otherwise(F.array().cast(T.ArrayType(DIAGNOSIS, False))) if one is not None else F.array().cast(T.ArrayType(DIAGNOSIS, False)))
+        none = F.array().cast(relaxed(T.ArrayType(DIAGNOSIS)))
+        own = own.withColumn("reference_diagnoses", F.when(told, F.array(one)).otherwise(none) if one is not None else none)
     if "source_metadata" not in own.columns:
         own = own.withColumn("source_metadata", F.lit("{}"))
-    return own.select(*[(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in MANIFEST])
+    return own.select(*[(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(relaxed(f.dataType)).alias(f.name) for f in MANIFEST])
 
 
 def zip_members(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:

@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 
 from cambium.functions.responses import canonical_json
 from cambium.operators.cohorts import chunked, union_all
-from cambium.sources.readers import MANIFEST
+from cambium.sources.readers import MANIFEST, relaxed
 
 TERMINAL = ("ok", "truncated_output", "format_invalid", "schema_invalid", "semantic_noncompliant")
 
 
 def conformed(frame: DataFrame, schema: T.StructType) -> DataFrame:
     """frame's columns as schema has them, in its order; a missing column or one that can't be cast is an error."""
-    return frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return frame.select(*[F.col(f.name).cast(relaxed(f.dataType)).alias(f.name) for f in schema])
 
 
 def write_manifest(frame: DataFrame, path: str, schema: T.StructType = MANIFEST) -> int:

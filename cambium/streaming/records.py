@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 
 def events(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
-    """New files of a folder, files at a time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    """New files of a folder, files at a time. Times without a zone are taken in the session's, as watermarks need one."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return stream.select(*[F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in schema])
 
 
 def once(stream: DataFrame, key: str, time: str, late: str = "10 minutes") -> DataFrame:
