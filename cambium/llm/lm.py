@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm import words
+from cambium.llm.frames import in_arrow
 from cambium.llm.trie import Trie, probabilities
 from cambium.scratch import written
 
@@ -34,6 +36,15 @@ def _binary(x: np.ndarray, kind: type) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
+def _packed(x: np.ndarray, kind: type) -> bytes:
+    """Small numbers, which fill few of their bytes; hashes don't shrink."""
+    return zstandard.ZstdCompressor(level=1).compress(_binary(x, kind))
+
+
+def _unpacked(raw: pa.Buffer | bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
 def _chunk(part: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int]], name: int) -> pa.RecordBatch:
     """One row for several runs of documents: distinct tokens, tokens by their place among those, and for each text its row, size and whether it is learned from."""
     hashes, sizes, held = [], [], []
@@ -55,10 +66,11 @@ def _chunk(part: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int]],
     ids = pa.concat_arrays([b.column(0).slice(first, n) for b, _, _, first, n in part])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([_binary(size, np.int64)], pa.binary()), pa.array([_binary(held, np.uint8)], pa.binary()),
-            pa.array([_binary(distinct, np.uint64)], pa.binary()), pa.array([_binary(count, np.int64)], pa.binary()), pa.array([_binary(token, np.int32)], pa.binary()), pa.array([int(size[~held].sum())], pa.int64()),
+            pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([_packed(size, np.int64)], pa.binary()), pa.array([_packed(held, np.uint8)], pa.binary()),
+            pa.array([_binary(distinct, np.uint64)], pa.binary()), pa.array([_packed(count, np.int64)], pa.binary()), pa.array([_packed(token, np.int32)], pa.binary()),
+            pa.array([int(size[~held].sum())], pa.int64()), pa.array([int((~held).sum())], pa.int64()),
         ],
-        names=["chunk", "doc_id", "size", "held", "words", "counts", "tokens", "n"],
+        names=["chunk", "doc_id", "size", "held", "words", "counts", "tokens", "n", "texts"],
     )
 
 
@@ -76,7 +88,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _column(batch: pa.RecordBatch, name: str, i: int, kind: type) -> np.ndarray:
-    return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+    raw = batch.column(name)[i].as_buffer()
+    return np.frombuffer(raw, kind) if name == "words" else _unpacked(raw, kind)
 
 
 def _dealt(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -96,7 +109,7 @@ def _word_requests(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[p
     for batch in batches:
         for i in range(batch.num_rows):
             chunk, distinct, count = batch.column("chunk")[i].as_py(), _column(batch, "words", i, np.uint64), _column(batch, "counts", i, np.int64)
-            rows = [(chunk, s, _binary(distinct[at], np.uint64), _binary(count[at], np.int64)) for s, at in _dealt(_word_shard(distinct, shards), shards)]
+            rows = [(chunk, s, _binary(distinct[at], np.uint64), _packed(count[at], np.int64)) for s, at in _dealt(_word_shard(distinct, shards), shards)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "shard", "words", "counts"])
 
@@ -125,12 +138,12 @@ def _word_shards(batches: Iterator[pa.RecordBatch], frequent: float) -> Iterator
     for shard, rows in _by_shard(batches):
         distinct, place = np.unique(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]), return_inverse=True)
         count = np.zeros(len(distinct), np.int64)
-        np.add.at(count, place, np.concatenate([np.frombuffer(r[3], np.int64) for r in rows]))
+        np.add.at(count, place, np.concatenate([_unpacked(r[3], np.int64) for r in rows]))
         hot = np.flatnonzero(count > frequent)
         at, out = 0, [(None, shard, None, int((count > 0).sum()), distinct[hot].view(np.int64).tolist(), count[hot].tolist())]
         for r in rows:
             n = len(r[2]) // 8
-            out.append((r[0], shard, _binary(count[place[at : at + n]], np.int64), None, None, None))
+            out.append((r[0], shard, _packed(count[place[at : at + n]], np.int64), None, None, None))
             at += n
         yield _reply(out, kinds, names)
 
@@ -174,7 +187,7 @@ def _bigram_requests(batches: Iterator[pa.RecordBatch], shards: int, frequent: d
                 context = own.context[at]
                 edge = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
                 word = np.ascontiguousarray((own.words[own.word[at]] & _HALF).view(np.uint8).reshape(-1, 8)[:, :6])
-                rows.append((batch.column("chunk")[i].as_py(), s, _binary(own.words[context[edge]], np.uint64), _binary(np.diff(np.append(edge, len(context))), np.int32), word.tobytes(), _binary(count[at], np.int32)))
+                rows.append((batch.column("chunk")[i].as_py(), s, _binary(own.words[context[edge]], np.uint64), _packed(np.diff(np.append(edge, len(context))), np.int32), word.tobytes(), _packed(count[at], np.int32)))
             if rows:
                 yield _reply(rows, kinds, ["chunk", "shard", "contexts", "sizes", "words", "counts"])
 
@@ -202,14 +215,14 @@ def _bigram_shards(batches: Iterator[pa.RecordBatch], discount: float, frequent:
     names, kinds = ["chunk", "shard", "shares", "rests", "frequent", "fanout"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
     hot = np.array(sorted(frequent), np.uint64)
     for shard, rows in _by_shard(batches):
-        contexts, sizes = [np.frombuffer(r[2], np.uint64) for r in rows], [np.frombuffer(r[3], np.int32) for r in rows]
+        contexts, sizes = [np.frombuffer(r[2], np.uint64) for r in rows], [_unpacked(r[3], np.int32) for r in rows]
         after = [_six(r[4]) for r in rows]
-        trie = shard_trie(np.concatenate([np.repeat(c, n) for c, n in zip(contexts, sizes, strict=True)]), np.concatenate(after), np.concatenate([np.frombuffer(r[5], np.int32) for r in rows]).astype(np.int64), discount, frequent)
+        trie = shard_trie(np.concatenate([np.repeat(c, n) for c, n in zip(contexts, sizes, strict=True)]), np.concatenate(after), np.concatenate([_unpacked(r[5], np.int32) for r in rows]).astype(np.int64), discount, frequent)
         fanout = trie.fanout(hot)
         yield _reply([(None, shard, None, None, hot[fanout > 0].view(np.int64).tolist(), fanout[fanout > 0].tolist())], kinds, names)
         for r, c, n, w in zip(rows, contexts, sizes, after, strict=True):
             share, rest = trie.query(c, n, w)
-            yield _reply([(r[0], shard, share.tobytes(), rest.tobytes(), None, None)], kinds, names)
+            yield _reply([(r[0], shard, _packed(share, np.uint16), _packed(rest, np.uint16), None, None)], kinds, names)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], shards: int, frequent: dict[int, int], fair: float, rest_of: dict[int, float], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
@@ -219,12 +232,12 @@ def _scores(batches: Iterator[pa.RecordBatch], shards: int, frequent: dict[int,
             count = np.zeros(len(own.words), np.int64)
             answers = {a["shard"]: a["counts"] for a in batch.column("of_words")[i].as_py()}
             for s, at in _dealt(_word_shard(own.words[:-1], shards), shards):
-                count[at] = np.frombuffer(answers[s], np.int64)
+                count[at] = _unpacked(answers[s], np.int64)
             base = (count + 0.5) / (total + 0.5 * (distinct + 1))
             share, rest = np.zeros(len(own.keys), np.uint16), np.zeros(len(own.keys), np.uint16)
             answers = {a["shard"]: a for a in batch.column("of_bigrams")[i].as_py()}
             for s, at in own.parts():
-                share[at], rest[at] = np.frombuffer(answers[s]["shares"], np.uint16), np.frombuffer(answers[s]["rests"], np.uint16)
+                share[at], rest[at] = _unpacked(answers[s]["shares"], np.uint16), _unpacked(answers[s]["rests"], np.uint16)
             left = probabilities(rest)
             for h, r in rest_of.items():
                 j = np.flatnonzero(own.words == _U(h))
@@ -255,24 +268,24 @@ def score(docs: DataFrame, held_out: str, discount: float = DISCOUNT) -> DataFra
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(held_out), F.lit(True)).alias("held"), F.col("text").cast("string").alias("text"))
-    chunks = written(rows.mapInArrow(_chunks, "chunk long, doc_id array<long>, size binary, held binary, words binary, counts binary, tokens binary, n long"), "chunks")
-    total, texts = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("length(replace(hex(held), '01', ''))") / 2), F.lit(0))).first()
+    chunks = written(in_arrow(rows, _chunks, "chunk long, doc_id array<long>, size binary, held binary, words binary, counts binary, tokens binary, n long, texts long"), "chunks")
+    total, texts = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
     fair = max(1.0, total / (4 * shards))
 
-    asked = chunks.select("chunk", "words", "counts").mapInArrow(lambda b: _word_requests(b, shards), "chunk long, shard int, words binary, counts binary")
+    asked = in_arrow(chunks.select("chunk", "words", "counts"), lambda b: _word_requests(b, shards), "chunk long, shard int, words binary, counts binary")
     of_words = asked.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
-    of_words = written(of_words.mapInArrow(lambda b: _word_shards(b, fair), "chunk long, shard int, counts binary, distinct long, frequent array<long>, times array<long>"), "words")
+    of_words = written(in_arrow(of_words, lambda b: _word_shards(b, fair), "chunk long, shard int, counts binary, distinct long, frequent array<long>, times array<long>"), "words")
     told = of_words.where("chunk is null").select("distinct", "frequent", "times").collect()  # a row a shard, and all in all less than four frequent words a shard
     distinct = sum(r["distinct"] for r in told)
     frequent = {h & 0xFFFFFFFFFFFFFFFF: n for r in told for h, n in zip(r["frequent"], r["times"], strict=True)}
     frequent.pop(END, None)
     if texts > fair:
-        frequent[START] = int(texts)
+        frequent[START] = texts
 
     parts = chunks.select("chunk", "size", "held", "words", "tokens")
-    asked = parts.mapInArrow(lambda b: _bigram_requests(b, shards, frequent, fair), "chunk long, shard int, contexts binary, sizes binary, words binary, counts binary")
+    asked = in_arrow(parts, lambda b: _bigram_requests(b, shards, frequent, fair), "chunk long, shard int, contexts binary, sizes binary, words binary, counts binary")
     of_bigrams = asked.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
-    of_bigrams = written(of_bigrams.mapInArrow(lambda b: _bigram_shards(b, discount, frequent), "chunk long, shard int, shares binary, rests binary, frequent array<long>, fanout array<long>"), "bigrams")
+    of_bigrams = written(in_arrow(of_bigrams, lambda b: _bigram_shards(b, discount, frequent), "chunk long, shard int, shares binary, rests binary, frequent array<long>, fanout array<long>"), "bigrams")
     fanout: dict[int, int] = {}
     for r in of_bigrams.where("chunk is null").select("frequent", "fanout").toLocalIterator():
         for h, n in zip(r["frequent"], r["fanout"], strict=True):
@@ -282,4 +295,4 @@ def score(docs: DataFrame, held_out: str, discount: float = DISCOUNT) -> DataFra
     by = lambda df, name, *cols: df.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("shard", *cols)).alias(name))
     whole = chunks.select("chunk", "doc_id", "size", "held", "words", "tokens").join(by(of_words, "of_words", "counts"), "chunk").join(by(of_bigrams, "of_bigrams", "shares", "rests"), "chunk")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.mapInArrow(lambda b: _scores(b, shards, frequent, fair, rest_of, total, distinct), schema)
+    return in_arrow(whole, lambda b: _scores(b, shards, frequent, fair, rest_of, total, distinct), schema)
