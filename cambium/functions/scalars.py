@@ -204,3 +204,40 @@ def choice(cases: Sequence[tuple[str, Column]], otherwise: str | None) -> Column
     for name, c in reversed(cases):
         out = F.when(c, F.lit(name)).otherwise(out)
     return out
+
+
+def weighted_list(c: Column | str) -> Column:
+    """An array of (label, weight, rank) of a text such as {'a': 0.2, 'b': 0.8}: by falling weight, equal ones as they were written. Null for other texts."""
+    entries = F.map_entries(F.from_json(F.regexp_replace(col(c), "'", '"'), "map<string,double>"))
+    placed = F.transform(entries, lambda e, i: F.struct((-e["value"]).alias("w"), i.alias("i"), e["key"].alias("label")))
+    return F.transform(F.array_sort(placed), lambda e, i: F.struct(e["label"].alias("label"), (-e["w"]).alias("weight"), (i + 1).alias("rank")))
+
+
+def id_set(c: Column | str, fallback: Column | None = None) -> Column:
+    """Distinct ids in a text of a list, however it was printed; the fallback where there is none."""
+    ids = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit("[A-Za-z0-9_.-]*[A-Za-z0-9_]"), F.lit(0))))
+    return ids if fallback is None else F.when(F.size(ids) > 0, ids).otherwise(fallback)
+
+
+def rendered(template: str, fields: Mapping[str, Column]) -> Column:
+    """template with {{ name }} and {{name}} replaced."""
+    out = F.lit(template)
+    for name, value in fields.items():
+        for mark in (f"{{{{ {name} }}}}", f"{{{{{name}}}}}"):
+            out = F.replace(out, F.lit(mark), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def bullets(items: Column) -> Column:
+    """An array of texts as lines with a dash."""
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+def first_contained(c: Column | str, names: Sequence[str], otherwise: str | None = None) -> Column:
+    """The first of names that a text has; longer names that have shorter ones in them come first."""
+    return choice([(n, F.coalesce(F.lower(col(c)).contains(n.lower()), F.lit(False))) for n in names], otherwise)
+
+
+def leading_letter(c: Column | str, allowed: Column) -> Column:
+    letter = F.upper(F.regexp_extract(col(c), r"^\s*([A-Za-z])(?![A-Za-z])", 1))
+    return F.when(F.array_contains(allowed, letter), letter)
