@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cambium.llm.frames import in_arrow
 from cambium.llm.memory import Memory, kept
 
 #: White_Space of Unicode, as the tokenizer's own pattern takes \s.
@@ -230,4 +231,5 @@ def tokenize(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     with open(path, "rb") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _tokens(batches, source.value, ids), schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return in_arrow(rows, lambda batches: _tokens(batches, source.value, ids), schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm import words
-from cambium.llm.frames import with_text
+from cambium.llm.frames import in_arrow, with_text
 from cambium.llm.memory import kept
 
 #: Words of benchmark passages that are sent to the executors at once, as 24 bytes each; a longer benchmark is taken in blocks.
@@ -141,7 +141,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], tiling: Tilin
 
     def one(rows: list) -> DataFrame:
         passages = docs.sparkSession.sparkContext.broadcast(rows)
-        return own.mapInArrow(lambda batches: _judged(batches, passages.value, tiling, place, len(keep)), f"{schema}, coverage double, item_id long, n_tiles long, n_items long")
+        return in_arrow(own, lambda batches: _judged(batches, passages.value, tiling, place, len(keep)), f"{schema}, coverage double, item_id long, n_tiles long, n_items long")
 
     for row in sent.toLocalIterator():
         block.append((row["item_id"], row["text"]))

@@ -15,7 +15,7 @@ from math import e, log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cambium.llm.frames import with_text
+from cambium.llm.frames import in_arrow, with_text
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -192,4 +192,4 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     Pages are read whole; there is no shuffle, and repeated rows give repeated results. No column of keep may be called text or n_chars.
     """
     rows, place, schema = with_text(pages, keep, "html")
-    return rows.mapInArrow(lambda batches: _texts(batches, place, len(keep)), f"{schema}, text string, n_chars long")
+    return in_arrow(rows, lambda batches: _texts(batches, place, len(keep)), f"{schema}, text string, n_chars long")

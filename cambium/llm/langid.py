@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cambium.llm.frames import with_text
+from cambium.llm.frames import in_arrow, with_text
 from cambium.llm.memory import kept
 from cambium.scratch import written
 
@@ -114,4 +114,4 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], p
     """
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
     rows, place, schema = with_text(docs, keep)
-    return rows.mapInArrow(lambda batches: _predict(batches, sent.value, profile, place, len(keep)), f"{schema}, lang_pred string, score double, margin double, rejected boolean")
+    return in_arrow(rows, lambda batches: _predict(batches, sent.value, profile, place, len(keep)), f"{schema}, lang_pred string, score double, margin double, rejected boolean")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm import words
+from cambium.llm.frames import in_arrow
 from cambium.llm.memory import release
 from cambium.operators.graph import components
 from cambium.scratch import written
@@ -144,14 +145,14 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     own = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi")
-    return written(own.mapInArrow(lambda batches: _sets(batches, k), "node long, shingles binary"), "sets")
+    return written(in_arrow(own, lambda batches: _sets(batches, k), "node long, shingles binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, near: Near) -> DataFrame:
     """Of the pairs (a, b) those whose full shingle sets are alike enough."""
     one, two = (full.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("a", "b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
-    return joined.mapInArrow(lambda batches: _confirmed(batches, near.percent), "a long, b long")
+    return in_arrow(joined, lambda batches: _confirmed(batches, near.percent), "a long, b long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -182,7 +183,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig_columns, fine_columns = names(near.lanes, near.bits), names(near.fine_lanes, near.fine_bits)
     schema = "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, " + ", ".join(f"{s} long" for s in sig_columns)
-    signed = written(docs.mapInArrow(lambda batches: _signatures(batches, near), schema), "signatures")
+    signed = written(in_arrow(docs, lambda batches: _signatures(batches, near), schema), "signatures")
     own = signed.where("n_shingles > 0 and doc_id is not null")
     classes = own.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
     member = written(own.select("doc_id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"]), "members")
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     open_ = written(open_.join(mixed, "key", "left_semi").where("node <> first"), "open")
     if open_.take(1):
         full = full_sets(docs, open_.select(F.col("node").alias("doc_id")), near.k)
-        fine = full.mapInArrow(lambda batches: _fine(batches, near.fine_lanes, near.fine_bits), "node long, n_shingles long, " + ", ".join(f"{s} long" for s in fine_columns))
+        fine = in_arrow(full, lambda batches: _fine(batches, near.fine_lanes, near.fine_bits), "node long, n_shingles long, " + ", ".join(f"{s} long" for s in fine_columns))
         open_ = open_.join(fine, "node").join(head.select("node", "bands"), "node")
         open_ = written(open_.withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands"), "open")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm import words
+from cambium.llm.frames import in_arrow
 from cambium.scratch import written
 
 #: Bytes of an anchor; windows are of at least 2 * GRAM bytes.
@@ -270,7 +271,7 @@ def without_repeats(docs: DataFrame, keep: list[str], width: int = 200) -> DataF
     once = long_.join(_few(copies.select(*key)), key, "left_anti").select(*key, "text")
     heads = long_.join(_few(copies.select(*key)), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
     texts = once.unionByName(heads)
-    runs = written(texts.mapInArrow(lambda batches: _anchors(batches, width), "t0 long, t1 long, low long, size int, anchor long, context long"), "anchors")
+    runs = written(in_arrow(texts, lambda batches: _anchors(batches, width), "t0 long, t1 long, low long, size int, anchor long, context long"), "anchors")
     twice = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
     runs = written(runs.join(twice, "anchor"), "runs")
     contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("t0", "t1", "low", "size")))
@@ -280,10 +281,10 @@ def without_repeats(docs: DataFrame, keep: list[str], width: int = 200) -> DataF
     open_ = contexts.join(open_, "anchor").select(*key, F.struct("low", "size", "anchor", (F.col("m") > MANY).alias("many")).alias("asked"))
     asked = written(open_.groupBy(*key).agg(F.collect_list("asked").alias("asked")), "asked")
     own = texts.join(_few(asked.select(*key)), key, "left_semi").join(asked, key).select(*key, F.encode("text", "utf-8").alias("text"), "asked")
-    cut = written(own.mapInArrow(_cut, "t0 long, t1 long, low long, anchor long, many boolean, bytes binary"), "cut")
+    cut = written(in_arrow(own, _cut, "t0 long, t1 long, low long, anchor long, many boolean, bytes binary"), "cut")
     few = cut.where("not many").select(*key, "low", "anchor", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    spans = few.mapInArrow(lambda batches: _sorted(batches, width), "t0 long, t1 long, low long, size long")
-    window = cut.where("many").select(*key, "low", "bytes").mapInArrow(lambda batches: _windows(batches, width), "t0 long, t1 long, low long, window binary")
+    spans = in_arrow(few, lambda batches: _sorted(batches, width), "t0 long, t1 long, low long, size long")
+    window = in_arrow(cut.where("many").select(*key, "low", "bytes"), lambda batches: _windows(batches, width), "t0 long, t1 long, low long, window binary")
     window = window.join(window.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "window").select(*key, "low", F.lit(width).cast("long").alias("size"))
     spans = settled.unionByName(spans).unionByName(window).groupBy(*key).agg(F.collect_set(F.struct("low", "size")).alias("spans"))
     spans = written(spans.join(copies.select(*key), key, "left_anti"), "spans")
@@ -298,5 +299,5 @@ def without_repeats(docs: DataFrame, keep: list[str], width: int = 200) -> DataF
         F.sha2(F.when(F.col("_whole"), empty).otherwise(F.encode("text", "utf-8")), 256).alias("kept_sha256"), F.when(F.col("_whole"), empty).otherwise(F.encode("text", "utf-8")).alias("kept_bytes"),
     )
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"])
-    cut_out = rest.where("copies = 0").join(spans, key).select(*keep, F.encode("text", "utf-8").alias("text"), "spans").mapInArrow(_removed, schema)
+    cut_out = in_arrow(rest.where("copies = 0").join(spans, key).select(*keep, F.encode("text", "utf-8").alias("text"), "spans"), _removed, schema)
     return plain.unionByName(cut_out)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from cambium.llm.frames import with_text
+from cambium.llm.frames import in_arrow, with_text
 from cambium.llm.memory import Memory, kept
 
 #: Fixed values of the tokenizer: the sign for a space, and what an unknown character scores under the worst piece.
@@ -96,5 +96,5 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], to_bytes: boo
     """
     sent = docs.sparkSession.sparkContext.broadcast((pieces, to_bytes))
     rows, place, schema = with_text(docs, keep)
-    return rows.mapInArrow(lambda batches: _counted(batches, sent, place, len(keep)), f"{schema}, n_tokens long, score double")
+    return in_arrow(rows, lambda batches: _counted(batches, sent, place, len(keep)), f"{schema}, n_tokens long, score double")
 
