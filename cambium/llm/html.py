@@ -35,10 +35,14 @@ _ENDS_P = _BLOCK - frozenset("body html head td th tr tbody thead tfoot caption
 _NOISE = frozenset("head script style noscript template textarea title xmp noembed noframes iframe nav footer aside form button select input menu dialog svg object audio video canvas search datalist".split())
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination"
-    r"|popup|promos?|promotions?|related|replies|reply|respond|share|sharing|sidebar|side-bar|signup|skip|social|sponsors?|sponsored|subscribe|subscription|toolbar|widgets?)(?=$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination"
+    r"|popup|promos?|promotions?|related|replies|reply|respond|share|sharing|sidebar|side-bar|signup|skip|social|sponsors?|sponsored|subscribe|subscription|toolbar|widgets?)(?=$|[_-])",
     re.I,
 )
+#: Words of a class that tell of something else's presence, and names that within an article are its own.
+_ABOUT, _OWN_NAME = re.compile(r"(?:no|with|without|has|is|js)[_-]", re.I), re.compile(r"(?:^|[_-])(?:header|masthead)(?=$|[_-])", re.I)
+#: How a node is noise: as what it is, or only by its name, which doesn't count if the page's first article lies in it.
+SURE, BY_NAME = 2, 1
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -46,28 +50,31 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "thinnest", "score", "noise")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
+    def __init__(self, tag: str, parent: Node | None, noise: int):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.children: list[Node | str] = []
 
 
-def noisy(tag: str, attributes: str, open_: list[Node]) -> bool:
-    if tag in _NOISE or tag == "header" and not any(n.tag == "article" for n in open_):
-        return True
+def noisy(tag: str, attributes: str, in_article: bool) -> int:
+    if tag in _NOISE or tag == "header" and not in_article:
+        return SURE
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
     own = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
         own.setdefault(name.lower(), "".join(values))
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or own.get("role", "").lower() in _NOISE_ROLE or _HIDDEN.search(own.get("style", "")):
-        return True
-    return tag not in ("article", "main") and any(_NOISE_NAME.search(unescape(own.get(a, ""))) for a in ("class", "id"))
+        return SURE
+    if tag in ("article", "main"):
+        return 0
+    names = unescape(f"{own.get('class', '')} {own.get('id', '')}").split()
+    return BY_NAME * any(_NOISE_NAME.search(n) and not _ABOUT.match(n) and not (in_article and _OWN_NAME.search(n)) for n in names)
 
 
 def parse(html: str) -> Node:
     """The page's tree. Elements that were left open end with the element around them; a tag, comment or reference cut off by the end of the page is none."""
-    root = Node("html", None, False)
-    open_, at, count = [root], 0, Counter(["html"])
+    root = Node("html", None, 0)
+    open_, at, count, first = [root], 0, Counter(["html"]), True
 
     def close(i: int) -> None:
         count.subtract(n.tag for n in open_[i:])
@@ -105,7 +112,11 @@ def parse(html: str) -> Node:
                     last = i
             if last:
                 close(last)
-        node = Node(tag, open_[-1], noisy(tag, m[3], open_))
+        if first and tag in ("article", "main"):
+            first = False
+            for n in open_:
+                n.noise = n.noise if n.noise == SURE else 0
+        node = Node(tag, open_[-1], noisy(tag, m[3], count["article"] > 0))
         open_[-1].children.append(node)
         if tag in _RAW:
             end = _RAW[tag].search(html, at)

@@ -31,6 +31,12 @@ def test_boilerplate_goes():
     assert html.main_text(PAGE) == "Title\nFirst para with link and é ok a < b.\nCap\nSecond line\none\ntwo"
 
 
+def test_names_of_what_holds_the_article():
+    page = "<body><div class='layout with-sidebar'><div id='menu-page'><div class='widget'><article><div class='entry-header'><h1>T</h1></div><p>Some words of the text.</p></article></div></div></div><div class='related'><article>Teaser</article></div><div class='side-bar'>x</div></body>"
+    assert html.main_text(page) == "T\nSome words of the text."
+    assert html.main_text("<body><nav><article>not this</article></nav><p>but this text here</p></body>") == "but this text here"
+
+
 def test_density_alone_finds_the_article():
     assert html.main_text(SOUP).split("\n")[0].startswith("Lorem") and html.main_text(SOUP).endswith("commodo.") and "Related" not in html.main_text(SOUP) and "Home" not in html.main_text(SOUP)
 
