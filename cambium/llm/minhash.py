@@ -139,12 +139,14 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """ids of 8 bytes, to be broadcast if they are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """node, shingles of the documents with these doc_ids, as a written table."""
-    ids = ids.distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    own = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi")
+    own = docs.where(F.col("doc_id").isNotNull()).join(few(ids.distinct()), "doc_id", "left_semi")
     return written(in_arrow(own, lambda batches: _sets(batches, k), "node long, shingles binary"), "sets")
 
 
@@ -204,16 +206,18 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     label = components(linked)
 
     open_ = placed.where("size > 2").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_ = written(open_.join(mixed, "key", "left_semi").where("node <> first"), "open")
+    open_ = written(open_, "open")
+    mixed = written(open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "mixed")
+    open_ = written(open_.join(few(mixed), "key", "left_semi").where("node <> first"), "open")
     if open_.take(1):
         full = full_sets(docs, open_.select(F.col("node").alias("doc_id")), near.k)
         fine = in_arrow(full, lambda batches: _fine(batches, near.fine_lanes, near.fine_bits), "node long, n_shingles long, " + ", ".join(f"{s} long" for s in fine_columns))
         open_ = open_.join(fine, "node").join(head.select("node", "bands"), "node")
         open_ = written(open_.withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands"), "open")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        x = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("x")
-        y = open_.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced by size
+        x = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).repartition(parts, "key", "block").alias("x")
+        y = open_.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).repartition(parts, "key", "block").alias("y")
         cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label")) & sized & (likeness(near.fine_lanes, near.fine_bits, "x", "y") >= near.fine_doubt) & ~F.arrays_overlap("x.before", "y.before"))
         cross = written(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross")
         more = written(confirmed(cross, full, near), "linked")
