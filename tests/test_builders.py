@@ -36,51 +36,51 @@ def test_registry():
 def test_csv_and_archives(spark, tmp_path, mapping):
     (tmp_path / "t.csv").write_text("image,label,tone,patient,biopsed\na.png,Acne,3,P1,True\nb.png,psoriasis,0,,False\n")
     zips = [archive(tmp_path / "1.zip", imgs__a_dot_png="1"), archive(tmp_path / "2.zip", imgs__b_dot_png="2")]
-    got = rows(builders.BUILDERS["csv_and_archives"](spark, str(tmp_path / "t.csv"), zips, "pad", "1", mapping, patient="patient", pathology="biopsed"))
-    assert got["a.png"]["group_id"] == "pad_P1" and got["b.png"]["group_id"] == "pad_b.png" and got["a.png"]["diagnosis_basis"] == "pathology" and got["b.png"]["skin_tone"] is None and got["a.png"]["image_uri"].endswith("1.zip::imgs/a.png") and got["b.png"]["disease_id"] == "D2"
+    got = rows(builders.BUILDERS["csv_and_archives"](spark, str(tmp_path / "t.csv"), zips, "one", "1", mapping, patient="patient", pathology="biopsed"))
+    assert got["a.png"]["group_id"] == "one_P1" and got["b.png"]["group_id"] == "one_b.png" and got["a.png"]["diagnosis_basis"] == "pathology" and got["b.png"]["skin_tone"] is None and got["a.png"]["image_uri"].endswith("1.zip::imgs/a.png") and got["b.png"]["disease_id"] == "D2"
     with pytest.raises(ValueError, match="isn't there"):
-        builders.csv_and_archives(spark, str(tmp_path / "t.csv"), zips[:1], "pad", "1", mapping)
+        builders.csv_and_archives(spark, str(tmp_path / "t.csv"), zips[:1], "one", "1", mapping)
     archive(tmp_path / "3.zip", other__a_dot_png="3")
     with pytest.raises(ValueError, match="twice"):
-        builders.csv_and_archives(spark, str(tmp_path / "t.csv"), [*zips, str(tmp_path / "3.zip")], "pad", "1", mapping)
+        builders.csv_and_archives(spark, str(tmp_path / "t.csv"), [*zips, str(tmp_path / "3.zip")], "one", "1", mapping)
 
 
 def test_csv_and_folder(spark, tmp_path, mapping):
     (tmp_path / "img").mkdir()
     (tmp_path / "img" / "a.png").write_bytes(b"x")
     (tmp_path / "t.csv").write_text("image,label,id\na.png,acne,7\n")
-    got = rows(builders.csv_and_folder(spark, str(tmp_path / "t.csv"), str(tmp_path / "img"), "ddi", "1", mapping))
-    assert got["a.png"]["sample_id"] == "DDI_000007" and got["a.png"]["include"]
+    got = rows(builders.csv_and_folder(spark, str(tmp_path / "t.csv"), str(tmp_path / "img"), "two", "1", mapping))
+    assert got["a.png"]["sample_id"] == "TWO_000007" and got["a.png"]["include"]
 
 
 def test_parquet_cases(spark, tmp_path, mapping):
     spark.createDataFrame([("c1", "x.png", None, "{'Psoriasis': 0.2, 'Acne': 0.8}", "YES", "AGE_80_OR_ABOVE"), ("c2", "y.png", "z.png", "{}", "no", "?")], "case_id string, i1 string, i2 string, weights string, ok string, age string").write.parquet(str(tmp_path / "p"))
-    got = rows(builders.parquet_cases(spark, str(tmp_path / "p"), "scin", "1", mapping, ["i1", "i2"], "weights", ["ok"], "age"))
+    got = rows(builders.parquet_cases(spark, str(tmp_path / "p"), "three", "1", mapping, ["i1", "i2"], "weights", ["ok"], "age"))
     assert set(got) == {"x.png", "y.png", "z.png"} and [(d["disease_id"], d["rank"]) for d in got["x.png"]["reference_diagnoses"]] == [("D1", 1), ("D2", 2)]
     assert got["x.png"]["include"] and got["x.png"]["age_group_standardized"] == "70_and_over" and got["y.png"]["exclusion_reason"] == "missing_label" and not got["y.png"]["diagnosis_gradable"]
 
 
 def test_archive_folders_and_csv_in_archive(spark, tmp_path, mapping):
     folder = archive(tmp_path / "f.zip", train__acne__1_dot_png="1")
-    got = rows(builders.archive_folders(spark, folder, "net", "1", mapping))
+    got = rows(builders.archive_folders(spark, folder, "four", "1", mapping))
     assert got["train/acne/1.png"]["disease_id"] == "D1" and got["train/acne/1.png"]["exclusion_reason"] == "source_excluded"
     inner = archive(tmp_path / "i.zip", meta_dot_csv="image,label,age\n1.png,acne,4.5\n2.png,acne,30\n", pre__1_dot_png="1", pre__2_dot_png="2", augmented__1_dot_png="3")
-    got = rows(builders.csv_in_archive(spark, inner, "meta.csv", "skin", "1", mapping, root="pre/"))
+    got = rows(builders.csv_in_archive(spark, inner, "meta.csv", "seven", "1", mapping, root="pre/"))
     assert got["1.png"]["age_years"] is None and got["1.png"]["age_group_standardized"] == "under_18" and got["2.png"]["age_years"] == 30 and got["1.png"]["image_uri"].endswith("::pre/1.png")
 
 
 def test_captioned_and_lesions(spark, tmp_path, mapping):
     (tmp_path / "c.csv").write_text("filename,source,caption,disease\nyoutube/v1_frame_2.png,youtube,clinical photo,acne\nyoutube/v1_frame_9.png,youtube,a histology slide,acne\npubmed/PMC12_3.png,pubmed,words,No\nreddit/r_1.png,reddit,words,acne\n")
-    out = builders.captioned(spark, str(tmp_path / "c.csv"), "derm", "1", mapping, "histolog|diagram", "clinical (photo|image)", ["reddit"], ["youtube", "pubmed"], {"youtube": "y.zip", "pubmed": "p.zip", "reddit": "r.zip"}, "no")
+    out = builders.captioned(spark, str(tmp_path / "c.csv"), "five", "1", mapping, "histolog|diagram", "clinical (photo|image)", ["reddit"], ["youtube", "pubmed"], {"youtube": "y.zip", "pubmed": "p.zip", "reddit": "r.zip"}, "no")
     got = rows(out)
     a, b, c, d = (got[k] for k in ("youtube/v1_frame_2.png", "youtube/v1_frame_9.png", "pubmed/PMC12_3.png", "reddit/r_1.png"))
     assert a["include"] and a["group_id"] == b["group_id"] != c["group_id"] and b["exclusion_reason"] == "explicit_excluded" and c["exclusion_reason"] == "insufficient_evidence" and c["disease_original"] is None and d["include"] and a["image_uri"] == "zip://y.zip::v1_frame_2.png"
     with pytest.raises(Exception, match="no archive"):
-        builders.captioned(spark, str(tmp_path / "c.csv"), "derm", "1", mapping, "x", "y", [], [], {"youtube": "y.zip"}).collect()
+        builders.captioned(spark, str(tmp_path / "c.csv"), "five", "1", mapping, "x", "y", [], [], {"youtube": "y.zip"}).collect()
     (tmp_path / "l.csv").write_text("image,image_type,patient,lesion,diagnosis,age\n1,clinical: x,P,L,acne,40\n2,dermoscopic,P,L,acne,40\n3,clinical,,L,acne,-1\n")
-    got = rows(builders.lesion_csv(spark, str(tmp_path / "l.csv"), "hiba", "1", mapping))
-    assert set(got) == {"1", "3"} and got["1"]["group_id"] == "hiba_P" and got["3"]["group_id"] == "hiba_L" and got["3"]["age_years"] is None
-    assert builders.training_rows(builders.lesion_csv(spark, str(tmp_path / "l.csv"), "hiba", "1", mapping)).first()["training_task"] == "mapped_diagnosis"
+    got = rows(builders.lesion_csv(spark, str(tmp_path / "l.csv"), "six", "1", mapping))
+    assert set(got) == {"1", "3"} and got["1"]["group_id"] == "six_P" and got["3"]["group_id"] == "six_L" and got["3"]["age_years"] is None
+    assert builders.training_rows(builders.lesion_csv(spark, str(tmp_path / "l.csv"), "six", "1", mapping)).first()["training_task"] == "mapped_diagnosis"
 
 
 def test_joins(spark):
