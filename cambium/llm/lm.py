@@ -273,7 +273,7 @@ def score(docs: DataFrame, held_out: str, discount: float = DISCOUNT) -> DataFra
     fair = max(1.0, total / (4 * shards))
 
     asked = in_arrow(chunks.select("chunk", "words", "counts"), lambda b: _word_requests(b, shards), "chunk long, shard int, words binary, counts binary")
-    of_words = asked.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
+    of_words = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "chunk")
     of_words = written(in_arrow(of_words, lambda b: _word_shards(b, fair), "chunk long, shard int, counts binary, distinct long, frequent array<long>, times array<long>"), "words")
     told = of_words.where("chunk is null").select("distinct", "frequent", "times").collect()  # a row a shard, and all in all less than four frequent words a shard
     distinct = sum(r["distinct"] for r in told)
@@ -284,7 +284,7 @@ def score(docs: DataFrame, held_out: str, discount: float = DISCOUNT) -> DataFra
 
     parts = chunks.select("chunk", "size", "held", "words", "tokens")
     asked = in_arrow(parts, lambda b: _bigram_requests(b, shards, frequent, fair), "chunk long, shard int, contexts binary, sizes binary, words binary, counts binary")
-    of_bigrams = asked.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
+    of_bigrams = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "chunk")
     of_bigrams = written(in_arrow(of_bigrams, lambda b: _bigram_shards(b, discount, frequent), "chunk long, shard int, shares binary, rests binary, frequent array<long>, fanout array<long>"), "bigrams")
     fanout: dict[int, int] = {}
     for r in of_bigrams.where("chunk is null").select("frequent", "fanout").toLocalIterator():
