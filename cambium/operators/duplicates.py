@@ -91,6 +91,7 @@ def star(frame: DataFrame, key: Column, kind: str) -> DataFrame:
     """Edges from the first sample of each key to its others: what links a group without naming all its pairs. Null keys link nothing."""
     rows = frame.select("sample_id", key.alias("key")).where("key is not null").distinct()
     first = rows.groupBy("key").agg(F.min("sample_id").alias("a"), F.max("sample_id").alias("z")).where("a <> z").select("key", "a")
+    first = written(first, "first")  # read from a table, the join can be split where a key has very many rows
     return rows.join(first, "key").where("a <> sample_id").select("a", F.col("sample_id").alias("b"), F.lit(kind).alias("kind"))
 
 
