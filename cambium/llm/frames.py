@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, unless the session sets its own; a longer row is a batch by itself. Each is held several times: in the JVM, in Python, and as what is made of it.
-BATCH = 4 << 20
+BATCH = 2 << 20
 _SETTING, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "64m", "67108864")
 
 

@@ -23,7 +23,7 @@ from cambium.scratch import written
 
 #: Ids of documents that may be broadcast to fetch their texts: 8 bytes each. More are fetched by a shuffled join.
 BROADCAST_IDS = 200_000
-#: Members of a bucket that one task takes from one side in the comparison of what the bucket's head left open.
+#: Members of a bucket that are compared with as many others at once, where the bucket's head left pairs open: what a task needs doesn't grow with the bucket.
 BLOCK = 512
 
 
@@ -187,13 +187,15 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     schema = "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, " + ", ".join(f"{s} long" for s in sig_columns)
     signed = written(in_arrow(docs, lambda batches: _signatures(batches, near), schema), "signatures")
     own = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = own.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
+    # sums by key are tables of their own before rows are joined to them: a join that reads them from their shuffle can't be split where a key has very many rows
+    classes = written(own.groupBy("d0", "d1").agg(F.min("doc_id").alias("node")), "classes")
     member = written(own.select("doc_id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"]), "members")
     heads = member.where("doc_id = node").select("node", "d0", "d1").distinct()
     head = written(own.join(heads, (own["doc_id"] == heads["node"]) & (own["d0"] == heads["d0"]) & (own["d1"] == heads["d1"]), "left_semi").withColumnRenamed("doc_id", "node").drop("d0", "d1"), "heads")
 
     placed = head.select("node", F.posexplode("bands").alias("band", "key"))
     bucket = placed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).where("first <> last")
+    bucket = written(bucket, "bucket")
     placed = written(placed.join(bucket.select("key", "first", "size"), "key"), "buckets")
 
     sized = 100 * F.least("x.n_shingles", "y.n_shingles") >= near.percent * F.greatest("x.n_shingles", "y.n_shingles")
@@ -216,9 +218,10 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         open_ = written(open_.withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands"), "open")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced by size
-        x = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).repartition(parts, "key", "block").alias("x")
-        y = open_.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).repartition(parts, "key", "block").alias("y")
-        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label")) & sized & (likeness(near.fine_lanes, near.fine_bits, "x", "y") >= near.fine_doubt) & ~F.arrays_overlap("x.before", "y.before"))
+        own, other = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+        x = open_.withColumn("block", own).withColumn("with", other).repartition(parts, "key", "block", "with").alias("x")
+        y = open_.withColumn("with", own).withColumn("block", other).repartition(parts, "key", "block", "with").alias("y")
+        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.with") == F.col("y.with")) & (F.col("x.label") < F.col("y.label")) & sized & (likeness(near.fine_lanes, near.fine_bits, "x", "y") >= near.fine_doubt) & ~F.arrays_overlap("x.before", "y.before"))
         cross = written(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross")
         more = written(confirmed(cross, full, near), "linked")
         if more.take(1):

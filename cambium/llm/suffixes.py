@@ -22,7 +22,7 @@ from cambium.scratch import written
 #: Bytes of an anchor; windows are of at least 2 * GRAM bytes.
 GRAM = 32
 #: Bytes of contexts that are sorted at once; an anchor with more contexts than MANY is judged by hashes of its windows instead, which any number of tasks can count.
-SORTED, MANY = 2 << 20, 4096
+SORTED, MANY = 1 << 20, 4096
 #: Texts, 16 bytes each, that may be broadcast to pick out those to read again.
 BROADCAST_TEXTS = 200_000
 #: Windows whose anchors are sought at once; places among them take PLACE bits of a sort key.

@@ -25,7 +25,7 @@ PLAIN = np.zeros(256, bool)
 PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = True
 _powers: dict[int, np.ndarray] = {}
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
