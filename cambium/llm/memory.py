@@ -6,7 +6,7 @@ from collections.abc import Callable
 from typing import Any
 
 #: Values that one worker remembers: as many since the last turn, and as many of those before it.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 class Memory(dict):
