@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm.frames import in_arrow
-from cambium.llm.memory import Memory, kept
+from cambium.llm.memory import REMEMBERED, Memory, kept
 
 #: White_Space of Unicode, as the tokenizer's own pattern takes \s.
 _S = "\t-\r \x85\xa0  -     　"
@@ -41,7 +41,7 @@ def byte_letters() -> dict[str, int]:
 class Transducer:
     """Encoder and decoder of one vocabulary file (tokenizer.json with a BPE model on bytes)."""
 
-    def __init__(self, source: bytes):
+    def __init__(self, source: bytes, remembered: int = REMEMBERED):
         spec = json.loads(source)
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
@@ -65,8 +65,8 @@ class Transducer:
         self.starts: Memory = Memory(lambda start: tuple(sorted(by_start.get(start, set()) | {n for n in (1, 2) if start[:n] in self.whole and n <= len(start)}, reverse=True)))
         self.parts = {a + b: (a, b) for (a, b), _ in sorted(self.rank.items(), key=lambda m: -m[1])}
         self.made = {t: self.rank[x] for t, x in self.parts.items()}
-        self.fits: Memory = Memory(lambda pair: self._fits(self.bytes[pair >> 20], self.bytes[pair & 0xFFFFF]))
-        self.pieces: Memory = Memory(self._piece)
+        self.fits: Memory = Memory(lambda pair: self._fits(self.bytes[pair >> 20], self.bytes[pair & 0xFFFFF]), remembered)
+        self.pieces: Memory = Memory(self._piece, remembered)
         self.shown = list(map(str, range(len(self.bytes))))
 
     def _lookahead(self) -> int:
@@ -196,13 +196,13 @@ class Transducer:
         yield machine.decode(b"", True)
 
 
-def transducer(source: bytes) -> Transducer:
+def transducer(source: bytes, remembered: int = REMEMBERED) -> Transducer:
     """One for each worker process."""
-    return kept(("bpe", hashlib.sha256(source).digest()), lambda: Transducer(source))
+    return kept(("bpe", hashlib.sha256(source).digest(), remembered), lambda: Transducer(source, remembered))
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], source: bytes, keep: bool) -> Iterator[pa.RecordBatch]:
-    own = transducer(source)
+def _tokens(batches: Iterator[pa.RecordBatch], source: bytes, keep: bool, remembered: int = REMEMBERED) -> Iterator[pa.RecordBatch]:
+    own = transducer(source, remembered)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -222,7 +222,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], source: bytes, keep: bool) -> Ite
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep)
 
 
-def tokenize(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if ids, the ids themselves, for each row of docs (doc_id, text; other columns are ignored).
 
     path: a tokenizer.json on the driver (a few MB; its bytes are sent to the executors). Null is empty text: no tokens. Texts are encoded whole, special
@@ -232,4 +232,4 @@ def tokenize(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_arrow(rows, lambda batches: _tokens(batches, source.value, ids), schema)
+    return in_arrow(rows, lambda batches: _tokens(batches, source.value, ids, remembered), schema)

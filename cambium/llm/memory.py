@@ -6,20 +6,20 @@ from collections.abc import Callable
 from typing import Any
 
 #: Values that one worker remembers: as many since the last turn, and as many of those before it.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 
 
 class Memory(dict):
     """Values by key, computed when missing. When it is full, what wasn't asked for since it was last full is forgotten."""
 
-    def __init__(self, compute: Callable):
-        self.compute, self.before = compute, {}
+    def __init__(self, compute: Callable, size: int = REMEMBERED):
+        self.compute, self.size, self.before = compute, size, {}
 
     def __missing__(self, key):
         value = self.before.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.size:
             self.before = dict(self)
             self.clear()
         self[key] = value

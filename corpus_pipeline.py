@@ -58,7 +58,7 @@ def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text that they decode to."""
-    return bpe.tokenize(docs, f"{TOKENIZERS}/byte_bpe_50k.json", ids=True)
+    return bpe.tokenize(docs, f"{TOKENIZERS}/byte_bpe_50k.json", ids=True, remembered=100_000)  # workers outlive the stage, and what they remember with it
 
 
 STAGES: list[tuple[str, Stage]] = [
