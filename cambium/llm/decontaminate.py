@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 from cambium.llm import words
 from cambium.llm.frames import in_arrow, with_text
 from cambium.llm.memory import kept
+from cambium.scratch import written
 
 #: Words of benchmark passages that are sent to the executors at once, as 24 bytes each; a longer benchmark is taken in blocks.
 BLOCK = 2_000_000
+#: The column that tells rows apart where several blocks are judged.
+_NUMBER = "_number"
 
 
 @dataclass(frozen=True)
@@ -133,24 +137,41 @@ def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], tiling: Tilin
 
     docs has text, benchmark item_id (long) and text; other columns of the benchmark are ignored. Words are runs without space and ASCII punctuation, A-Z
     lower-cased. Null or empty texts, and an empty benchmark, contaminate nothing: coverage 0, item_id null. Of equal coverages the smallest item_id is told.
-    Documents are read whole and aren't shuffled; the benchmark is sent to the executors in blocks of BLOCK words.
+    Documents are read whole; the benchmark is sent to the executors in blocks of BLOCK words. Rows out are rows in, also of equal rows. With one block documents
+    aren't shuffled; with several they are written once with a number of their own, and joined by it with what the blocks found.
     """
     sent = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     own, place, schema = with_text(docs, keep)
-    out, block, held = None, [], 0
+    found = "coverage double, item_id long, n_tiles long, n_items long"
 
-    def one(rows: list) -> DataFrame:
+    def one(rows: list, frame: DataFrame, place: int, n: int, schema: str) -> DataFrame:
         passages = docs.sparkSession.sparkContext.broadcast(rows)
-        return in_arrow(own, lambda batches: _judged(batches, passages.value, tiling, place, len(keep)), f"{schema}, coverage double, item_id long, n_tiles long, n_items long")
+        return in_arrow(frame, lambda batches: _judged(batches, passages.value, tiling, place, n), f"{schema}, {found}")
+
+    parts, block, held = [], [], 0
+    numbered = None
+
+    def add() -> None:
+        hits = one(block, numbered.select(_NUMBER, numbered.columns[place]), 1, 1, f"`{_NUMBER}` bigint").where("n_tiles > 0")
+        parts.append(hits.withColumn("_block", F.lit(len(parts))))
 
     for row in sent.toLocalIterator():
+        if held >= BLOCK:  # and more to come
+            if numbered is None:
+                numbered = written(own.withColumn(_NUMBER, F.monotonically_increasing_id()), "numbered")
+            add()
+            block, held = [], 0
         block.append((row["item_id"], row["text"]))
         held += len(row["text"]) // 2 + 1
-        if held >= BLOCK:
-            out, block, held = one(block) if out is None else out.unionByName(one(block)), [], 0
-    if out is None:
-        out = one(block)
-    else:  # several blocks: the best of each row's
-        out = out.unionByName(one(block)).groupBy(*keep).agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("item_id"), "n_tiles")).alias("best"), F.sum("n_items").alias("n_items"))
-        out = out.select(*keep, "best.coverage", (-F.col("best.item_id")).alias("item_id"), "best.n_tiles", "n_items")
+    if numbered is None:
+        out = one(block, own, place, len(keep), schema)
+    else:  # several blocks: the best of each row's, of equal ones as one block would tell
+        add()
+        best = F.max(F.struct("coverage", (-F.coalesce("item_id", F.lit(0))).alias("place"), (-F.col("_block")).alias("block"), "item_id", "n_tiles")).alias("_best")
+        met = reduce(DataFrame.unionByName, parts).groupBy(_NUMBER).agg(best, F.sum("n_items").alias("_items"))
+        zero = F.lit(0).cast("long")
+        out = numbered.join(met, _NUMBER, "left").select(
+            *[F.col(c) for c in numbered.columns[: len(keep)]], F.coalesce("_best.coverage", F.lit(0.0)).alias("coverage"), F.col("_best.item_id").alias("item_id"),
+            F.coalesce("_best.n_tiles", zero).alias("n_tiles"), F.coalesce("_items", zero).alias("n_items"),
+        )
     return out.withColumn("contaminated", F.col("n_items") > 0).withColumn("kept", F.col("n_items") == 0)

@@ -69,6 +69,22 @@ def test_empty_tables_and_repeated_rows(spark):
     assert decontaminate.judged(rows, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"), ["doc_id", "text"]).where("contaminated").count() == 3
 
 
+def test_rows_stay_apart_with_several_blocks(spark, monkeypatch):
+    """Rows that share an id, have none, or are equal are judged by themselves, and maps travel along."""
+    rows = [(1, "one two three four five six"), (1, "clean"), (None, "clean"), (None, "clean"), (None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None)]
+    docs = spark.createDataFrame([(i, t, {"x": 1}) for i, t in rows], "doc_id long, text string, m map<string,int>")
+    bench = spark.createDataFrame([(5, "one two three four five six"), (None, "a b c d e f"), (4, "a b c d e f"), (6, None)], "item_id long, text string")
+
+    def judged(keep):
+        return sorted((tuple(r) for r in decontaminate.judged(docs, bench, keep).collect()), key=repr)
+
+    want = {tuple(k): judged(k) for k in (["doc_id"], ["doc_id", "text"], ["doc_id", "m", "text"])}
+    assert [sum(r[-2] for r in x) for x in want.values()] == [4] * 3
+    monkeypatch.setattr(decontaminate, "BLOCK", 1)
+    for k, x in want.items():
+        assert judged(list(k)) == x and len(x) == len(rows)
+
+
 def test_planted_passages(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [r["text"][:60] for r in bench.collect()]
