@@ -238,20 +238,29 @@ def perceptual_hash(pixels: np.ndarray) -> int:
 def screened(rows: DataFrame, protected: DataFrame, train: DataFrame, threshold: int = 4) -> DataFrame:
     """rows (sample_id, ord, sha, code) with screen: protected_exact, protected_near, train_exact, train_near or kept, the first that holds.
 
-    Train grows by the rows before in order: an image that an earlier row has is train_exact. train_near looks at earlier rows and train that remain; it is only a flag.
-    protected and train have sha and code.
+    Train grows by the rows before in order (of equal ord by sample_id) that are kept or train_near: a later row with the image of one is train_exact, one with a near
+    code train_near, which is only a flag. Rows near a protected code or equal to a train image don't grow it. protected and train have sha and code; nulls match nothing.
     """
-    pe = rows.join(protected.select("sha").distinct(), "sha", "left_semi").select("sample_id", F.lit(True).alias("pe"))
-
-    def near(other: DataFrame, name: str) -> DataFrame:
-        both = rows.select(F.concat(F.lit("r"), F.col("sample_id").cast("string")).alias("id"), "code").unionByName(other.select(F.concat(F.lit("t"), F.col("sha")).alias("id"), "code").distinct())
-        pairs = near_pairs(both, threshold)
-        hit = pairs.where(F.col("a").startswith("r") & F.col("b").startswith("t")).select(F.substring("a", 2, 1 << 20).alias("key"))
-        return hit.distinct().withColumn(name, F.lit(True))
-
-    first = F.row_number().over(W.partitionBy("sha").orderBy("ord"))
-    own = rows.withColumn("copy", F.col("sha").isNotNull() & (first > 1)).withColumn("key", F.col("sample_id").cast("string"))
-    te = rows.join(train.select("sha").distinct(), "sha", "left_semi").select("sample_id", F.lit(True).alias("te"))
-    own = own.join(pe, "sample_id", "left").join(te, "sample_id", "left").join(near(protected, "pn"), "key", "left").join(near(train, "tn"), "key", "left")
-    cases = [("protected_exact", F.col("pe").isNotNull()), ("protected_near", F.col("pn").isNotNull()), ("train_exact", F.col("te").isNotNull() | F.col("copy")), ("train_near", F.col("tn").isNotNull())]
-    return own.select(*rows.columns, S.choice(cases, "kept").alias("screen"))
+    at = F.struct("ord", "sample_id")
+    codes = lambda f: f.where("code is not null").select("code").distinct()
+    own, held, base = codes(rows), codes(protected), codes(train)
+    every = written(own.unionByName(held).unionByName(base).distinct(), "codes")
+    pairs = written(near_pairs(every.select(F.col("code").alias("id"), "code"), threshold).select("a", "b"), "near")
+    # near codes of each code, itself among them
+    reach = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(every.select(F.col("code").alias("a"), F.col("code").alias("b")))
+    of = lambda found, name: reach.join(found.withColumnRenamed("code", "b"), "b").select(F.col("a").alias("code"), F.lit(True).alias(name)).distinct()
+    mark = lambda f, name: f.where("sha is not null").select("sha").distinct().withColumn(name, F.lit(True))
+
+    told = rows.join(mark(protected, "pe"), "sha", "left").join(mark(train, "te"), "sha", "left").join(of(held, "pn"), "code", "left")
+    told = written(told.select(*rows.columns, "pe", "pn", "te"), "told")
+    free = told.where("pe is null and pn is null")
+    first = free.where("sha is not null").groupBy("sha").agg(F.min(at).alias("first"))
+    # the rows that train grows by, as the first of each code
+    grown = free.where("te is null").join(first, "sha", "left").where(F.col("first").isNull() | (F.col("first") == at)).where("code is not null").groupBy("code").agg(F.min(at).alias("at"))
+    earliest = reach.join(grown.withColumnRenamed("code", "b"), "b").groupBy("a").agg(F.min("at").alias("earliest")).withColumnRenamed("a", "code")
+    out = told.join(first, "sha", "left").join(of(base, "tn"), "code", "left").join(earliest, "code", "left")
+    cases = [
+        ("protected_exact", F.col("pe").isNotNull()), ("protected_near", F.col("pn").isNotNull()), ("train_exact", F.col("te").isNotNull() | (F.col("first") < at)),
+        ("train_near", F.col("tn").isNotNull() | (F.col("earliest") < at)),
+    ]
+    return out.select(*rows.columns, S.choice(cases, "kept").alias("screen"))

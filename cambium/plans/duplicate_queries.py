@@ -10,6 +10,7 @@ from cambium.operators import duplicates as D
 from cambium.operators import reports as R
 from cambium.operators.graph import components
 from cambium.plans.common import Catalog, table
+from cambium.scratch import written
 
 catalog = Catalog()
 SHA = "sha256(coalesce(text, ''))"
@@ -229,6 +230,15 @@ def training_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.screened(rows, part("src0"), part("src1")).select(F.col("sample_id").alias("doc_id"), "screen")
 
 
+@catalog.add()
+def training_screen_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """training_screen with all its rules: codes are the documents' simhashes."""
+    docs = written(hashed(spark, sf_dir).select("doc_id", "source", "sha").join(simhash(spark, sf_dir).withColumnRenamed("id", "doc_id"), "doc_id", "left"), "coded")
+    part = lambda s: docs.where(F.col("source") == s).select("sha", "code")
+    rows = docs.where(~F.col("source").isin("src0", "src1")).select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("ord"), "sha", "code")
+    return D.screened(rows, part("src0"), part("src1")).select(F.col("sample_id").alias("doc_id"), "screen")
+
+
 @catalog.add("""
 SELECT p.c_custkey, p.c_mktsegment FROM customer p WHERE c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.c_custkey AND o.o_orderpriority = '1-URGENT')
 AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.c_custkey AND o.o_orderstatus = 'P')""")

@@ -16,6 +16,7 @@ from cambium.operators import duplicates as D
 from cambium.operators import reports as R
 from cambium.operators import scoring as M
 from cambium.operators.graph import components
+from cambium.plans import duplicate_queries as Q
 
 
 def one(spark, *columns, rows=((0,),), schema="x int"):
@@ -115,6 +116,55 @@ def test_screen(spark):
     assert got == {"1": "protected_exact", "2": "protected_near", "3": "train_exact", "4": "train_near", "5": "train_exact", "6": "kept", "7": "kept"}
 
 
+def screen_by_hand(rows, protected, train, threshold=4):
+    """One row after the other, as the reference has it."""
+    near = lambda c, codes: c is not None and any(d is not None and bin((c ^ d) & (2**64 - 1)).count("1") <= threshold for d in codes)
+    shas, codes, out = {s for s, _ in train if s is not None}, [c for _, c in train], {}
+    for i, _, sha, code in sorted(rows, key=lambda r: (r[1], r[0])):
+        if sha is not None and sha in {s for s, _ in protected}:
+            out[i] = "protected_exact"
+        elif near(code, [c for _, c in protected]):
+            out[i] = "protected_near"
+        elif sha in shas:
+            out[i] = "train_exact"
+        else:
+            out[i] = "train_near" if near(code, codes) else "kept"
+            codes.append(code)
+            shas |= {sha} - {None}
+    return out
+
+
+def test_screen_grows_by_earlier_rows(spark):
+    rng = random.Random(3)
+    centres = [rng.getrandbits(63) for _ in range(12)]
+
+    def some(n):
+        made = []
+        for _ in range(n):
+            code = rng.choice(centres)
+            for _ in range(rng.randint(0, 3)):
+                code ^= 1 << rng.randint(0, 62)
+            made.append((None if rng.random() < 0.05 else f"s{code}", None if rng.random() < 0.05 else code))
+        return made
+
+    protected, train, incoming = some(3), some(3), some(150)
+    rows = [(f"{i:03d}", rng.randint(0, 120), *r) for i, r in enumerate(incoming)]
+    part = lambda x: spark.createDataFrame(x, "sha string, code long")
+    got = {r["sample_id"]: r["screen"] for r in D.screened(spark.createDataFrame(rows, "sample_id string, ord long, sha string, code long"), part(protected), part(train)).collect()}
+    want = screen_by_hand(rows, protected, train)
+    assert got == want and set(want.values()) == {"protected_exact", "protected_near", "train_exact", "train_near", "kept"}
+    two = spark.createDataFrame([("1", 1, "a", 0b1), ("2", 2, "b", 0b11)], "sample_id string, ord long, sha string, code long")
+    assert {r["sample_id"]: r["screen"] for r in D.screened(two, part([]), part([])).collect()} == {"1": "kept", "2": "train_near"}
+
+
+def test_screen_of_documents_by_hand(spark, sf):
+    docs = Q.hashed(spark, sf).join(Q.simhash(spark, sf).withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "source", "sha", "code").collect()
+    part = lambda s: [(r["sha"], r["code"]) for r in docs if r["source"] == s]
+    rows = [(r["doc_id"], r["doc_id"], r["sha"], r["code"]) for r in docs if r["source"] not in ("src0", "src1")]
+    want = screen_by_hand(rows, part("src0"), part("src1"))
+    assert {r["doc_id"]: r["screen"] for r in Q.training_screen_near(spark, sf).collect()} == want and "train_near" in want.values()
+
+
 def split_frame(spark, n=30):
     rows = [(f"SAMPLE_{i}", f"GROUP_{min(i, n - 1) if i < n else 0}", f"D{i % 5}", f"s{i % 3}", "adult" if i % 2 else None) for i in range(n + 1)]
     return spark.createDataFrame(rows, "sample_id string, leakage_group_id string, disease_id string, dataset_id string, age string")
