@@ -1,4 +1,4 @@
-"""Threshold-scaled sketches of documents in DataFrame functions: every shingle hash under a fixed share of the hash space is kept.
+"""Threshold-scaled sketches of documents in DataFrame functions: every shingle hash under a fixed share of the hash space is kept; the fingerprints keep all.
 
 Sketches of parts merge by union, and the share of one in another estimates containment whatever the two sizes are.
 """
@@ -30,14 +30,15 @@ def sketch(text: Column, k: int = 5, share: int = 8) -> Column:
     def shingles(h: Column) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
         every = F.transform(places, lambda i: F.when(F.size(h) >= k, F.xxhash64(*[F.get(h, i + j) for j in range(k)])).when(F.size(h) > 0, F.xxhash64(h)))
-        kept = F.sort_array(F.array_distinct(F.filter(every, lambda x: x < _bound(share))))
+        kept = F.sort_array(F.array_distinct(F.filter(every, lambda x: _under(x, share))))
         return _let(kept, lambda own: F.when((F.size(own) > 0) | (F.size(h) == 0), own).otherwise(F.array(F.xxhash64(h).bitwiseAND(F.lit(2**63 - 1)))))
 
     return _let(F.transform(words, lambda w: F.xxhash64(w)), shingles)
 
 
-def _bound(share: int) -> int:
-    return -(2**63) + 2**64 // share
+def _under(x: Column, share: int) -> Column:
+    """Whether a hash lies under a 1 / share part of the range; with share 1 all do."""
+    return x.isNotNull() if share == 1 else x < -(2**63) + 2**64 // share
 
 
 def hexadecimal(hashes: Column) -> Column:
@@ -58,7 +59,7 @@ def containment(a: Column, b: Column) -> Column:
 
 def merged(sketches: Column, share: int = 8) -> Column:
     """An aggregate: the sketch of all rows' shingles together. Hashes that only stood in for an empty sketch go."""
-    return F.sort_array(F.array_distinct(F.filter(F.flatten(F.collect_set(sketches)), lambda x: x < _bound(share))))
+    return F.sort_array(F.array_distinct(F.filter(F.flatten(F.collect_set(sketches)), lambda x: _under(x, share))))
 
 
 #: Ranges of doc_id that documents are dealt into, at most; so many numbers are sent with the plan.
@@ -95,12 +96,13 @@ def with_next(docs: DataFrame, k: int, share: int) -> DataFrame:
     return dealt.select("k", "text", "sketch", "guest", F.lead("text").over(w).alias("next_text"), F.lead("sketch").over(w).alias("next_sketch")).where("not guest").drop("guest")
 
 
-def fingerprints(docs: DataFrame, k: int = 5, share: int = 8) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 5, share: int = 1) -> DataFrame:
     """A row for each row of docs (doc_id long, text string; other columns are ignored): n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 4) characters replaced by the first as many (or all) of the next document, in ascending
     doc_id, after the last the first. Null text is empty. The next document is that with the smallest larger doc_id, of several rows there
-    the one with the smallest text; a null doc_id counts as the smallest long. A single document follows itself.
+    the one with the smallest text; a null doc_id counts as the smallest long. A single document follows itself. With share 1 likenesses are those of the whole
+    sets of shingles, for short texts as for long ones; a larger share estimates them, and is far off where a text has few shingles.
     """
     least = F.lit(-(2**63))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

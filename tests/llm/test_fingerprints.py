@@ -50,6 +50,44 @@ def test_likeness(spark, sf):
     assert sum(r["near_edited"] for r in large) / len(large) > 0.5 > 0.05 > sum(r["near_next"] for r in large) / len(large)
 
 
+def shingles(text, k=5):
+    """Shingles of k words; fewer words are one."""
+    low = text.translate({c: c + 32 for c in range(65, 91)})
+    for space in "\t\n\v\f\r":
+        low = low.replace(space, " ")
+    words = [w for w in low.split(" ") if w]
+    return {tuple(words[i : i + k]) for i in range(max(len(words) - k, 0) + 1)} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_error_by_length_against_whole_sets(spark, sf):
+    """near_edited is the likeness of the whole sets, for texts of any number of words."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(10**9 + i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate(n for n in range(1, 31) for _ in range(3))]
+    by_id = dict(docs)
+    ids = sorted(by_id)
+    assert len(ids) == len(docs)
+    errors, near, short = {}, 0, 0
+    for r in run(spark, docs):
+        text, after = by_id[r["doc_id"]], by_id[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
+        n = len(text) // 4
+        own, want = shingles(text), shingles(text[: len(text) - n] + after[:n])
+        errors.setdefault(min(len(text.split()) // 10, 10), []).append(abs(r["near_edited"] - alike(own, want)))
+        assert len(r["fingerprint"]) == 16 * len(own)
+        if 10 <= len(text.split()) < 30 and alike(own, want) >= 0.3:
+            short, near = short + 1, near + (r["near_edited"] >= 0.3)
+    assert {1, 2} <= set(errors) and max(max(e) for e in errors.values()) < 1e-12 and near == short > 0
+
+
+def test_whole_sketches_merge(spark):
+    row = spark.createDataFrame([("a b c d e f", "e f g h i j k"), ("one two", "")], "a string, b string").select(F.explode(F.array(*[fingerprints.sketch(F.col(x), share=1) for x in "ab"])).alias("s"))
+    parts, made = [set(r["s"]) for r in row.collect()], row.agg(fingerprints.merged(F.col("s"), 1).alias("m")).first()["m"]
+    assert made == sorted(set().union(*parts)) and len(made) == 2 + 3 + 1
+
+
 def test_sketch_estimates_and_merges(spark):
     words = [f"w{i}" for i in range(8000)]
     frame = spark.createDataFrame([(" ".join(words), " ".join(words[:4000]), " ".join(words[3996:]))], "a string, b string, c string").select(*[fingerprints.sketch(F.col(x)).alias(x) for x in "abc"])
