@@ -217,6 +217,37 @@ def contamination_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.distinct().groupBy("doc_id").agg(F.count("*").alias("items"), F.min("item_id").alias("first_item"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("reasons"))
 
 
+
+WORDS = r"' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+
+
+@catalog.add(f"""
+WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents), b AS (SELECT item_id, {WORDS} AS words FROM benchmark)
+SELECT doc_id, count(DISTINCT item_id) AS items, min(item_id) AS first_item, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS reasons
+FROM d JOIN b ON contains(d.words, b.words) WHERE trim(b.words) <> '' GROUP BY doc_id""")
+def contamination_audit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all words of a benchmark passage in a row, whatever case, spacing and punctuation."""
+    return whole_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def whole_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, items, first_item, reasons of documents that hold whole passages. Both meet on a hash of a passage's first five words, or all of fewer; then the whole passage is sought."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    padded = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    items = benchmark.select("item_id", words.alias("w")).where(F.size("w") > 0)
+    items = items.select("item_id", padded.alias("passage"), F.least(F.size("w"), F.lit(5)).alias("k"), F.xxhash64(F.slice("w", 1, 5)).alias("h"))
+    own = docs.select("doc_id", words.alias("w"))
+    hits = None
+    for k in [r["k"] for r in items.select("k").distinct().collect()]:
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.slice("w", i, k))))  # noqa: B023
+        named = own.where(F.size("w") >= k).select("doc_id", F.explode(grams).alias("h")).join(items.where(F.col("k") == k).select("item_id", "passage", "h"), "h")
+        hits = named.drop("h") if hits is None else hits.unionByName(named.drop("h"))
+    if hits is None:
+        hits = own.select("doc_id").join(items.select("item_id", "passage")).limit(0)
+    hits, text = hits.distinct().alias("x"), own.select("doc_id", padded.alias("own")).alias("y")
+    found = hits.join(text, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & F.contains(F.col("own"), F.col("passage"))).select("x.doc_id", "item_id").distinct()
+    return found.groupBy("doc_id").agg(F.count("*").alias("items"), F.min("item_id").alias("first_item"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("reasons"))
+
 @catalog.add(f"""
 WITH t AS (SELECT doc_id, source, {SHA} AS sha, {FIRST} AS place FROM documents), p AS (SELECT DISTINCT sha FROM t WHERE source = 'src0'), b AS (SELECT DISTINCT sha FROM t WHERE source = 'src1')
 SELECT doc_id, CASE WHEN sha IN (SELECT sha FROM p) THEN 'protected_exact' WHEN sha IN (SELECT sha FROM b) OR n > 1 THEN 'train_exact' ELSE 'kept' END AS screen

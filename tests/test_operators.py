@@ -165,6 +165,13 @@ def test_screen_of_documents_by_hand(spark, sf):
     assert {r["doc_id"]: r["screen"] for r in Q.training_screen_near(spark, sf).collect()} == want and "train_near" in want.values()
 
 
+def test_whole_passages(spark):
+    passage = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "Before. " + passage.upper().replace(" ", ",  ") + "! After"), (2, passage[:100]), (3, "tiny Phrase"), (4, None), (5, "xtiny phrase"), (None, passage)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, passage), (8, "Tiny, phrase"), (9, ""), (10, None)], "item_id long, text string")
+    assert {tuple(r) for r in Q.whole_passages(docs, bench).collect()} == {(1, 1, 7, "7"), (3, 1, 8, "8"), (None, 1, 7, "7")}
+
+
 def split_frame(spark, n=30):
     rows = [(f"SAMPLE_{i}", f"GROUP_{min(i, n - 1) if i < n else 0}", f"D{i % 5}", f"s{i % 3}", "adult" if i % 2 else None) for i in range(n + 1)]
     return spark.createDataFrame(rows, "sample_id string, leakage_group_id string, disease_id string, dataset_id string, age string")
