@@ -13,10 +13,12 @@ _own: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). A folder of our own only where the setting is unset, as in tests on one machine."""
+    """The cluster's shared folder (spark.checkpoint.dir). A folder of our own only where the setting is unset and all runs on one machine, as in tests."""
     global _own
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="cambium-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
