@@ -1,12 +1,11 @@
 """Documents that hold benchmark passages, by greedy string tiling.
 
-Windows of shared tokens are the seeds that name a document and a passage; the longest common runs are then marked again and again without overlap, so
-a passage is found though its parts come in another order, and the share of its tokens that are marked decides.
+Windows of shared tokens are the seeds that join a document and a passage; running Karp-Rabin hashes of ever shorter windows then mark the longest common
+runs without overlap, so a passage is found though its parts come in another order, and the share of its tokens that are marked decides.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -25,6 +24,8 @@ from cambium.scratch import written
 BLOCK = 2_000_000
 #: The column that tells rows apart where several blocks are judged.
 _NUMBER = "_number"
+#: Stands between the stretches of a document that hold seeds; no word has it but by a chance of 2 ** -64.
+_BETWEEN = np.uint64(0x7FB5D329728EA185)
 
 
 @dataclass(frozen=True)
@@ -35,45 +36,89 @@ class Tiling:
     coverage: float = 0.5
 
 
-def matches(p: np.ndarray, t: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """All maximal common runs of k tokens or more, as (-length, place in p, place in t).
+class _Running:
+    """Karp-Rabin hashes of all windows of any length over one sequence of tokens, from one pass of running sums, and which tokens are free."""
+
+    def __init__(self, tokens: np.ndarray, free: np.ndarray):
+        self.tokens, self.free = tokens, free
+        self.sums = np.zeros(len(tokens) + 1, np.uint64)
+        np.cumsum(tokens * words.powers(words._INVERSE, len(tokens)), out=self.sums[1:])
+        self.taken()
+
+    def taken(self) -> None:
+        self.marked = np.concatenate([[0], np.cumsum(~self.free)])
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all windows of n free tokens, and their hashes."""
+        if len(self.tokens) < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.flatnonzero(self.marked[n:] == self.marked[:-n])
+        return at, words.mix((self.sums[at + n] - self.sums[at]) * words.powers(words._BASE, len(self.sums))[at])
+
+    def mark(self, at: int, n: int) -> None:
+        self.free[at : at + n] = False
 
-    Hashes of all windows of k tokens, each made from running sums, meet by sorting; windows that follow one another on a diagonal make one run.
-    """
-    if min(len(p), len(t)) < k:
-        return []
-    hp, ht = (words.shingles(x, np.array([0, len(x)]), k)[0] for x in (p, t))
-    order = np.argsort(hp, kind="stable")
-    low, high = np.searchsorted(hp[order], ht, "left"), np.searchsorted(hp[order], ht, "right")
-    at_t = np.repeat(np.arange(len(ht)), high - low)
-    at_p = order[np.arange(len(at_t)) - np.repeat(np.cumsum(high - low) - high, high - low)]
-    out = []
-    order = np.lexsort((at_p, at_t - at_p))
-    for i, j in zip(at_p[order].tolist(), at_t[order].tolist(), strict=True):
-        if out and out[-1][2] - out[-1][1] == j - i and out[-1][1] - out[-1][0] - k + 1 == i:
-            out[-1] = (out[-1][0] - 1, out[-1][1], out[-1][2])
-        else:
-            out.append((-k, i, j))
-    return out
+
+def _shared(p: _Running, t: _Running, n: int) -> bool:
+    return bool(np.isin(p.windows(n)[1], t.windows(n)[1]).any())
+
+
+def _longest(p: _Running, t: _Running, low: int, high: int) -> int:
+    """The largest window length from low to high that both have, by bisection; under low if there is none."""
+    if high < low or not _shared(p, t, low):
+        return low - 1
+    if _shared(p, t, high):
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if _shared(p, t, mid) else (low, mid)
+    return low
 
 
 def tiles(p: np.ndarray, t: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling as (length, place in p, place in t): the longest run whose tokens are all unmarked, of equally long ones that first in p, then in t, is marked till none of k tokens is left."""
-    heap, out = matches(p, t, k), []
-    heapq.heapify(heap)
-    in_p, in_t = np.zeros(len(p), bool), np.zeros(len(t), bool)
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        free = ~(in_p[i : i + n] | in_t[j : j + n])
-        if free.all():
-            in_p[i : i + n] = in_t[j : j + n] = True
-            out.append((n, i, j))
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if b - a >= k:
-                heapq.heappush(heap, (a - b, i + a, j + a))
+    """Greedy tiling as (length, place in p, place in t): the longest common run of unmarked tokens, of equally long ones that first in p, then in t, is marked till none of k tokens is left.
+
+    The search length falls from the longest to k; at each, hashes of the free windows meet, and equal hashes are held against the tokens themselves. Held
+    is a few numbers for each token, however often either repeats itself: as tokens of t are only ever taken, each of its windows is passed over once.
+    """
+    out: list[tuple[int, int, int]] = []
+    if min(len(p), len(t)) < k:
+        return out
+    own = _Running(p, np.ones(len(p), bool))
+    # of t only what lies in a window of k tokens that p has too: the seeds
+    whole = _Running(t, np.ones(len(t), bool))
+    at, seeds = whole.windows(k)
+    at = at[np.isin(seeds, own.windows(k)[1])]
+    edge = np.zeros(len(t) + 1, np.int32)
+    edge[at] += 1
+    edge[at + k] -= 1
+    covered = np.cumsum(edge[:-1]) > 0
+    place = np.flatnonzero(covered | np.concatenate([[False], covered[:-1]]))  # with one token after each stretch, which isn't free
+    rest = _Running(t[place], covered[place])
+    n = _longest(own, rest, k, min(len(p), len(place)))
+    while n >= k:
+        where, hashes = rest.windows(n)
+        order = np.argsort(hashes, kind="stable")
+        where, hashes = where[order], hashes[order]
+        starts, wanted = own.windows(n)
+        first, last = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+        passed: dict[int, int] = {}
+        for i, a, b in zip(*(x[first < last].tolist() for x in (starts, first, last)), strict=True):
+            if not own.free[i : i + n].all():
+                continue
+            j = passed.get(a, a)
+            while j < b and not (rest.free[where[j]] and rest.free[where[j] + n - 1]):  # tiles at this length are as long: one that meets a window takes an end of it
+                j += 1
+            passed[a] = j
+            while j < b and not (rest.free[where[j] : where[j] + n].all() and (own.tokens[i : i + n] == rest.tokens[where[j] : where[j] + n]).all()):
+                j += 1
+            if j < b:
+                own.mark(i, n)
+                rest.mark(int(where[j]), n)
+                out.append((n, i, int(place[where[j]])))
+        own.taken()
+        rest.taken()
+        n = _longest(own, rest, k, n - 1)
     return out
 
 
@@ -85,40 +130,70 @@ class Benchmark:
         texts = pa.array([r[1] for r in rows], pa.string())
         found = [(w[at[i] : at[i + 1]], r) for first, data, own in words.chunks(texts) for w, at in [words.word_hashes(data, own, words.PLAIN)] for i, r in enumerate(range(first, first + len(at) - 1))]
         self.passages = [(rows[r][0], w) for w, r in found if len(w)]
+        self.size = np.array([len(w) for _, w in self.passages], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+        #: By length the hashes of all windows in order, and the place of each among the words of all passages.
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.table: dict[int, np.ndarray] = {}
         for k in {min(tiling.least, len(w)) for _, w in self.passages}:
             own = [(words.shingles(w, np.array([0, len(w)]), k)[0], i) for i, (_, w) in enumerate(self.passages) if min(tiling.least, len(w)) == k]
-            seed, of = np.concatenate([s for s, _ in own]), np.concatenate([np.full(len(s), i) for s, i in own])
+            seed, of = np.concatenate([s for s, _ in own]), np.concatenate([self.begin[i] + np.arange(len(s)) for s, i in own])
             order = np.argsort(seed, kind="stable")
             self.seeds[k] = seed[order], of[order]
             self.table[k] = np.zeros(1 << 22, bool)
             self.table[k][(seed & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def candidates(self, tokens: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(row, passage) that share a seed, each once."""
-        found = []
-        for k, (seed, of) in self.seeds.items():
+    def candidates(self, tokens: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[tuple[float, int]]]]:
+        """Rows that share a seed with a passage; where in the row shared seeds lie; the passages, with the share of their words that lies in shared seeds, the largest first.
+
+        A row's equal windows count once, so what is held is no more than the benchmark's windows, however often a row repeats one.
+        """
+        hits = []
+        for k, (seed, _) in self.seeds.items():
             windows, at = words.shingles(tokens, rows, k)
             hit = np.flatnonzero(self.table[k][(windows & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            low, high = np.searchsorted(seed, windows[hit], "left"), np.searchsorted(seed, windows[hit], "right")
-            many = high - low
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - high, many)
-            row = np.searchsorted(at, np.repeat(hit, many), "right") - 1
-            found.append(np.unique(row * len(self.passages) + of[place]))
-        for x in np.concatenate([np.zeros(0, np.int64), *found]).tolist():
-            yield divmod(x, len(self.passages))
+            hit = hit[seed[np.minimum(np.searchsorted(seed, windows[hit]), len(seed) - 1)] == windows[hit]]
+            row = np.searchsorted(at, hit, "right") - 1
+            hits.append((k, windows[hit], row, hit - at[row]))
+        for r in np.unique(np.concatenate([np.zeros(0, np.int64), *(h[2] for h in hits)])).tolist():
+            near = np.zeros(int(rows[r + 1] - rows[r]), bool)
+            found = []
+            for k, windows, row, place in hits:
+                own = slice(*np.searchsorted(row, [r, r + 1]))
+                edge = np.zeros(len(near) + 1, np.int32)
+                np.add.at(edge, place[own], 1)
+                np.add.at(edge, np.minimum(place[own] + k, len(near)), -1)
+                near |= np.cumsum(edge[:-1]) > 0
+                seed, of = self.seeds[k]
+                once = np.unique(windows[own])
+                low, high = np.searchsorted(seed, once, "left"), np.searchsorted(seed, once, "right")
+                at = np.sort(of[np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)])
+                if not len(at):
+                    continue
+                new = np.minimum(np.append(np.diff(at), k), k)  # words that a window has and the next shared one hasn't
+                passage = np.searchsorted(self.begin, at, "right") - 1
+                edge = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+                found += zip((np.add.reduceat(new, edge) / self.size[passage[edge]]).tolist(), passage[edge].tolist(), strict=True)
+            yield r, near, sorted(found, key=lambda x: (-x[0], x[1]))
 
     def judge(self, column: pa.Array) -> Iterator[list[tuple[float, int | None, int]]]:
-        """For each row the passages it shares a seed with: coverage, item_id, tiles."""
+        """For each row coverage, item_id, tiles of the passages it shares a seed with, but for those that are neither the best nor covered enough."""
         for _, data, at in words.chunks(column):
             tokens, rows = words.word_hashes(data, at, words.PLAIN)
             out: list[list] = [[] for _ in range(len(rows) - 1)]
-            for row, i in self.candidates(tokens, rows):
-                item, own = self.passages[i]
-                made = tiles(own, tokens[rows[row] : rows[row + 1]], min(self.tiling.least, len(own)))
-                if made:
-                    out[row].append((sum(n for n, _, _ in made) / len(own), item, len(made)))
+            for row, near, found in self.candidates(tokens, rows):
+                keep = np.flatnonzero(near | np.concatenate([[False], near[:-1]]))
+                own = np.where(near[keep], tokens[rows[row] : rows[row + 1]][keep], _BETWEEN)
+                best = 0.0
+                for most, i in found:
+                    if most < min(best, self.tiling.coverage):  # it can neither be the best nor count
+                        break
+                    item, passage = self.passages[i]
+                    made = tiles(passage, own, min(self.tiling.least, len(passage)))
+                    if made:
+                        share = sum(n for n, _, _ in made) / len(passage)
+                        best = max(best, share)
+                        out[row].append((share, item, len(made)))
             yield from out
 
 

@@ -31,6 +31,46 @@ def test_tiling_against_brute_force():
         assert decontaminate.tiles(np.array(p, np.uint64), np.array(t, np.uint64), k) == naive(p, t, k)
 
 
+def test_bounded_on_long_repetitive_texts():
+    import time
+    import tracemalloc
+
+    rng = random.Random(4)
+    one, two = np.uint64(11), np.uint64(12)
+    cases = [([one] * 200, [one] * 200_000), ([one] * 200, ([one] * 99 + [two]) * 2000), ([one, two] * 100, [one] * 100_000 + [two, one] * 50_000), ([rng.choice([one, two]) for _ in range(200)], [rng.choice([one, two]) for _ in range(100_000)])]
+    for p, t in cases:
+        tracemalloc.start()
+        start = time.process_time()
+        made = decontaminate.tiles(np.array(p, np.uint64), np.array(t, np.uint64), 5)
+        took, most = time.process_time() - start, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert took < 20 and most < 200 * len(t) and sum(n for n, _, _ in made) > 190
+        assert all(p[i : i + n] == t[j : j + n] for n, i, j in made)
+
+
+def test_query_against_naive_tiling(spark):
+    """Every passage against every document, without seeds or hashes of windows."""
+    rng = random.Random(6)
+    bench = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 25)))) for i in range(12)] + [(3, "a b c"), (20, None)]
+    docs = []
+    for i in range(60):
+        own = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))]
+        if i % 3 == 0:
+            own += bench[i % 12][1].split()[rng.randint(0, 9) :] + ["z"] + bench[i % 12][1].split()[:12]
+        docs.append((i, " ".join(own)))
+    got = {d: tuple(r) for d, r in run(spark, docs, bench).items()}
+    for d, text in docs:
+        found = []
+        for item, passage_ in bench:
+            p = (passage_ or "").split()
+            made = naive(p, text.split(), min(5, len(p))) if p else []
+            if made:
+                found.append((sum(n for n, _, _ in made) / len(p), item, len(made)))
+        best = max(found, key=lambda c: (c[0], -c[1]), default=(0.0, None, 0))
+        over = sum(c[0] >= 0.5 for c in found)
+        assert got[d][:3] == (d, best[0], best[1]) and got[d][4] == over and got[d][5] == (over > 0)
+
+
 def passage(seed, n=40):
     rng = random.Random(seed)
     return [f"word{rng.randint(0, 10**6)}" for _ in range(n)]
