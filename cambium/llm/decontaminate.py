@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm import words
-from cambium.llm.frames import in_arrow, with_text
+from cambium.llm.frames import in_arrow, unclashed, with_text
 from cambium.llm.memory import kept
 from cambium.scratch import written
 
@@ -213,8 +213,10 @@ def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], tiling: Tilin
     docs has text, benchmark item_id (long) and text; other columns of the benchmark are ignored. Words are runs without space and ASCII punctuation, A-Z
     lower-cased. Null or empty texts, and an empty benchmark, contaminate nothing: coverage 0, item_id null. Of equal coverages the smallest item_id is told.
     Documents are read whole; the benchmark is sent to the executors in blocks of BLOCK words. Rows out are rows in, also of equal rows. With one block documents
-    aren't shuffled; with several they are written once with a number of their own, and joined by it with what the blocks found.
+    aren't shuffled; with several they are written once with a number of their own, and joined by it with what the blocks found. A column of keep with the
+    name of an added one is an error.
     """
+    unclashed(keep, "coverage", "item_id", "n_tiles", "n_items", "contaminated", "kept", _NUMBER)
     sent = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     own, place, schema = with_text(docs, keep)
     found = "coverage double, item_id long, n_tiles long, n_items long"

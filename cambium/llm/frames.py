@@ -14,6 +14,12 @@ BATCH = 2 << 20
 _SETTING, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "64m", "67108864")
 
 
+def unclashed(keep: list[str], *added: str) -> None:
+    """An error if a column that is kept has the name of one that is added."""
+    if both := sorted({c for c in keep if c.lower() in added}):
+        raise ValueError(f"rename {', '.join(both)}: the result has columns of its own called so")
+
+
 def with_text(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, int, str]:
     """The columns keep of docs and the text as a string, only once where keep has it; its place; the schema of keep."""
     if text in keep:

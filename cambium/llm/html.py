@@ -15,7 +15,7 @@ from math import e, log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cambium.llm.frames import in_arrow, with_text
+from cambium.llm.frames import in_arrow, unclashed, with_text
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -200,7 +200,8 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of pages, then text and n_chars (code points) of the main text of html.
 
     A block's white space is one space each, blocks are joined by a newline in page order. A null or empty page, or one without text, gives an empty text.
-    Pages are read whole; there is no shuffle, and repeated rows give repeated results. No column of keep may be called text or n_chars.
+    Pages are read whole; there is no shuffle, and repeated rows give repeated results. A column of keep called text or n_chars is an error.
     """
+    unclashed(keep, "text", "n_chars")
     rows, place, schema = with_text(pages, keep, "html")
     return in_arrow(rows, lambda batches: _texts(batches, place, len(keep)), f"{schema}, text string, n_chars long")

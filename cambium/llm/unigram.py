@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from cambium.llm.frames import in_arrow, with_text
+from cambium.llm.frames import in_arrow, unclashed, with_text
 from cambium.llm.memory import Memory, kept
 
 #: Fixed values of the tokenizer: the sign for a space, and what an unknown character scores under the worst piece.
@@ -92,8 +92,9 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], to_bytes: boo
     """The columns keep of docs, then n_tokens and score, the best path's sum of piece scores, of the whole text.
 
     Null and empty texts have 0 tokens and score 0. An unknown character is one token, or if to_bytes one for each byte of it. There is no shuffle; the vocabulary is
-    sent to the executors. No column of keep may be called n_tokens or score.
+    sent to the executors. A column of keep called n_tokens or score is an error.
     """
+    unclashed(keep, "n_tokens", "score")
     sent = docs.sparkSession.sparkContext.broadcast((pieces, to_bytes))
     rows, place, schema = with_text(docs, keep)
     return in_arrow(rows, lambda batches: _counted(batches, sent, place, len(keep)), f"{schema}, n_tokens long, score double")

@@ -17,7 +17,6 @@ def small(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
     monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(suffixes, "BROADCAST_TEXTS", 0)
-    monkeypatch.setattr(langid, "BROADCAST_LANGUAGES", 0)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield

@@ -45,6 +45,65 @@ def test_equal_dictionaries_are_rejected(spark):
     assert row["rejected"] and row["lang_pred"] == "a" and row["score"] == 0.5
 
 
+def test_query_against_plain_compression(spark, sf):
+    """Every whole text with every dictionary, one by one; the dictionaries come from the rows that aren't held out."""
+    import zlib
+
+    import zstandard
+
+    from cambium.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d in rows}
+    own = langid.learn(docs.where(~F.col("doc_id").isin([d for d, h in held.items() if h])))
+    profile, ties = langid.Profile(), 0
+    for r in langid_query(spark, sf, queries):
+        text = rows[r["doc_id"]]["text"]
+        assert r["held_out"] == held[r["doc_id"]]
+        raw = langid.letters(text or "")
+        if not any(c.isalpha() for c in (text or "")):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        blocks = [raw[i : i + profile.block] for i in range(0, len(raw), profile.block)]
+
+        def sizes(level, times, of):
+            out = {}
+            for lang in of:
+                compress = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(own[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress
+                out[lang] = sum(len(compress(b * times)) for b in blocks)
+            return out
+
+        by_lang = sizes(profile.level, 1, own)
+        least = [lang for lang, n in by_lang.items() if n == min(by_lang.values())]
+        if len(least) > 1:
+            ties += 1
+            by_lang = sizes(profile.finer, profile.times, least)
+        first, second = sorted(by_lang.values())[:2]
+        assert by_lang[r["lang_pred"]] == first and r["margin"] == (second - first) / second and r["rejected"] == (r["margin"] < profile.narrow)
+        assert r["score"] == 0.5 if first == second else r["score"] > 0.5
+    assert ties < 0.05 * len(rows)
+
+
+def langid_query(spark, sf, queries):
+    return queries.op2(spark, sf).collect()
+
+
+def test_null_id_is_not_held_out_and_clashes_are_refused(spark, tmp_path):
+    import pytest
+
+    from cambium.llm import queries
+
+    rows = [(None, "ein wort und noch eines", "de"), (1, "one word and one other", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["held_out"] for r in queries.op2(spark, str(tmp_path)).collect()}
+    assert got[None] is False and got[1] in (True, False)
+    with pytest.raises(ValueError, match="rename score"):
+        langid.classify(spark.createDataFrame(rows, "score long, text string, lang string"), {}, ["score"])
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(corpus(spark), langid.Profile(languages=2))
+
+
 def test_sample_is_bounded(spark):
     docs = spark.range(5000).select(F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
     own = langid.learn(docs, langid.Profile(texts=10))
