@@ -22,16 +22,14 @@ def _let(value: Column, body) -> Column:
 def sketch(text: Column, k: int = 5, share: int = 8) -> Column:
     """Ascending distinct 64-bit hashes, under a 1 / share part of the range, of text's shingles of k words; fewer words are one shingle, no word none.
 
-    A word is a run of characters other than space and \\x09-\\x0D, A-Z lower-cased. Where words leave no hash under the bound, one of them all, without the sign
-    bit and so over the bound, stands in: short texts are then alike only if they are equal.
+    A word is a run of characters other than space and \\x09-\\x0D, A-Z lower-cased. A short text may have no hash under the bound; its sketch is then empty.
     """
     words = F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
     def shingles(h: Column) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
         every = F.transform(places, lambda i: F.when(F.size(h) >= k, F.xxhash64(*[F.get(h, i + j) for j in range(k)])).when(F.size(h) > 0, F.xxhash64(h)))
-        kept = F.sort_array(F.array_distinct(F.filter(every, lambda x: _under(x, share))))
-        return _let(kept, lambda own: F.when((F.size(own) > 0) | (F.size(h) == 0), own).otherwise(F.array(F.xxhash64(h).bitwiseAND(F.lit(2**63 - 1)))))
+        return F.sort_array(F.array_distinct(F.filter(every, lambda x: _under(x, share))))
 
     return _let(F.transform(words, lambda w: F.xxhash64(w)), shingles)
 
@@ -46,20 +44,26 @@ def hexadecimal(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles; two empty sketches, of texts without a word, are alike."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+def common(a: Column, b: Column) -> Column:
+    """How many hashes two sketches share."""
+    return F.size(F.array_intersect(a, b))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; null if a's sketch is empty."""
-    return F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0))
+def likeness(a: Column, b: Column, shared: Column | None = None) -> Column:
+    """Estimated share of common shingles; two empty sketches are alike. shared: common(a, b), where it is known."""
+    n = common(a, b) if shared is None else shared
+    union = F.size(a) + F.size(b) - n
+    return F.when(union == 0, F.lit(1.0)).otherwise(n / F.nullif(union, F.lit(0)))
 
 
-def merged(sketches: Column, share: int = 8) -> Column:
-    """An aggregate: the sketch of all rows' shingles together. Hashes that only stood in for an empty sketch go."""
-    return F.sort_array(F.array_distinct(F.filter(F.flatten(F.collect_set(sketches)), lambda x: _under(x, share))))
+def containment(a: Column, b: Column, shared: Column | None = None) -> Column:
+    """Estimated share of a's shingles that b has, whatever the two sizes are; null if a's sketch is empty."""
+    return (common(a, b) if shared is None else shared) / F.nullif(F.size(a), F.lit(0))
+
+
+def merged(sketches: Column) -> Column:
+    """An aggregate: the sketch, with the same share, of all rows' shingles together."""
+    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(sketches))))
 
 
 #: Ranges of doc_id that documents are dealt into, at most; so many numbers are sent with the plan.
@@ -97,7 +101,8 @@ def with_next(docs: DataFrame, k: int, share: int) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, k: int = 5, share: int = 1) -> DataFrame:
-    """A row for each row of docs (doc_id long, text string; other columns are ignored): n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """A row for each row of docs (doc_id long, text string; other columns are ignored): n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next, and contained_edited, contained_next, the shares of the text's shingles that the edited text and the next document have (null without a hash).
 
     The edited text is the text with its last floor(n_chars / 4) characters replaced by the first as many (or all) of the next document, in ascending
     doc_id, after the last the first. Null text is empty. The next document is that with the smallest larger doc_id, of several rows there
@@ -117,8 +122,10 @@ def fingerprints(docs: DataFrame, k: int = 5, share: int = 1) -> DataFrame:
     n = F.char_length("text")
     own = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring("next_text", F.lit(1), F.floor(n / 4).cast("int"))))
     own = own.withColumn("edited_sketch", sketch(F.col("edited"), k, share))
+    own = own.withColumn("with_edited", common(F.col("sketch"), F.col("edited_sketch"))).withColumn("with_next", common(F.col("sketch"), F.col("next_sketch")))
+    pairs = {"edited": (F.col("sketch"), F.col("edited_sketch"), F.col("with_edited")), "next": (F.col("sketch"), F.col("next_sketch"), F.col("with_next"))}
     return own.select(
         F.nullif(F.col("k"), least).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
         hexadecimal(F.col("sketch")).alias("fingerprint"), hexadecimal(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        *(likeness(*x).alias(f"near_{n}") for n, x in pairs.items()), *(containment(*x).alias(f"contained_{n}") for n, x in pairs.items()),
     )

@@ -77,14 +77,33 @@ def test_error_by_length_against_whole_sets(spark, sf):
         own, want = shingles(text), shingles(text[: len(text) - n] + after[:n])
         errors.setdefault(min(len(text.split()) // 10, 10), []).append(abs(r["near_edited"] - alike(own, want)))
         assert len(r["fingerprint"]) == 16 * len(own)
+        other = shingles(after)
+        assert abs(r["near_next"] - alike(own, other)) < 1e-12
+        for name, x in (("contained_edited", want), ("contained_next", other)):
+            assert r[name] is None if not own else abs(r[name] - len(own & x) / len(own)) < 1e-12
         if 10 <= len(text.split()) < 30 and alike(own, want) >= 0.3:
             short, near = short + 1, near + (r["near_edited"] >= 0.3)
     assert {1, 2} <= set(errors) and max(max(e) for e in errors.values()) < 1e-12 and near == short > 0
 
 
+def test_sketch_is_the_hashes_under_the_bound(spark):
+    """Of every shingle's hash, one by one, those under the bound; none stands in where none is."""
+    texts = [" ".join(f"w{i * 7 + j}" for j in range(i % 40)) for i in range(120)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", fingerprints.sketch(F.col("t"), share=8).alias("s")).collect()
+    every = sorted({w for t in texts for w in t.split()})
+    of_word = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    sets = [(i, [of_word[w] for w in s]) for i, t in enumerate(texts) for s in shingles(t)]
+    hashed = spark.createDataFrame(sets, "i long, h array<long>").select("i", F.when(F.size("h") < 5, F.xxhash64("h")).otherwise(F.xxhash64(*[F.get("h", j) for j in range(5)])).alias("x")).collect()
+    want = {i: [] for i in range(len(texts))}
+    for i, x in hashed:
+        if x < -(2**63) + 2**61:
+            want[i].append(x)
+    assert {i: s for i, s in rows} == {i: sorted(x) for i, x in want.items()} and any(not s for _, s in rows) and any(s for _, s in rows)
+
+
 def test_whole_sketches_merge(spark):
     row = spark.createDataFrame([("a b c d e f", "e f g h i j k"), ("one two", "")], "a string, b string").select(F.explode(F.array(*[fingerprints.sketch(F.col(x), share=1) for x in "ab"])).alias("s"))
-    parts, made = [set(r["s"]) for r in row.collect()], row.agg(fingerprints.merged(F.col("s"), 1).alias("m")).first()["m"]
+    parts, made = [set(r["s"]) for r in row.collect()], row.agg(fingerprints.merged(F.col("s")).alias("m")).first()["m"]
     assert made == sorted(set().union(*parts)) and len(made) == 2 + 3 + 1
 
 
