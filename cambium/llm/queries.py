@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,12 +46,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-#: A secret in production; the session's setting comes first.
+#: The session's setting that has the key, a secret.
 PII_KEY = "cambium.pii.key"
+_drawn = secrets.token_hex(32)
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The session's key. Where there is none, one drawn for this application: nobody can undo its pseudonyms, and another run's are others."""
+    return spark.conf.get(PII_KEY, "") or _drawn
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, PII_KEY), ["doc_id"])
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii_key(spark), ["doc_id"])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
