@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.llm import bpe, decontaminate, langid, minhash, pii
-from cambium.llm.queries import PII_KEY, TOKENIZERS, table
+from cambium.llm.queries import TOKENIZERS, pii_key, table
 from cambium.scratch import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,7 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.take(1):
         return kept
-    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row"))
+    rest = F.struct(*[c for c in docs.columns if c != "doc_id"])  # maps can't be compared, their JSON can
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(rest, F.struct("text", F.to_json(rest))).alias("_row"))
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("doc_id", "_row.*").select(*docs.columns))
 
 
@@ -51,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms; n_chars follows the text."""
-    made = pii.pseudonymize(_whole(docs), spark.conf.get(PII_KEY, PII_KEY), ["_row"])
+    made = pii.pseudonymize(_whole(docs), pii_key(spark), ["_row"])
     chars = F.char_length("text").cast("long").alias("n_chars")
     return made.select(*[chars if c == "n_chars" else F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
