@@ -2,7 +2,7 @@ import hashlib
 
 import corpus_pipeline
 from cambium.llm import bpe, decontaminate, langid, pii
-from cambium.llm.queries import PII_KEY, TOKENIZERS
+from cambium.llm.queries import TOKENIZERS, pii_key
 from tests.llm.test_minhash import brute
 
 
@@ -21,7 +21,7 @@ def test_stages_against_plain_versions(spark, sf):
 
     rows = [r for r, found in zip(rows, bench.judge(pa.array([r[1] for r in rows])), strict=True) if not any(c[0] >= 0.5 for c in found)]
     frame = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
-    texts = {r["doc_id"]: r["text"] for r in pii.pseudonymize(frame, PII_KEY, ["doc_id"]).collect()}
+    texts = {r["doc_id"]: r["text"] for r in pii.pseudonymize(frame, pii_key(spark), ["doc_id"]).collect()}
     with open(f"{TOKENIZERS}/byte_bpe_50k.json", "rb") as f:
         encoder = bpe.Transducer(f.read())
     want = {}
@@ -32,6 +32,13 @@ def test_stages_against_plain_versions(spark, sf):
     assert got == want and len(got) < 200
 
 
+def test_repeated_ids_with_maps(spark, sf):
+    rows = [(1, "one two three four five six", {"b": 1}), (1, "one two three four five six", {"a": 2}), (2, "other words", None), (2, "other words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    got = {r["doc_id"]: r["m"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    assert got == {1: {"a": 2}, 2: None}
+
+
 def test_columns_nulls_repeats_and_clashes(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double, rejected string, kept int, coverage int, item_id int, _row int"
     clean = [(i, f"Then the weather of morning {'and the other ' * i}was in it", "en", "s", 9, 1.0, "r", 1, 2, 3, 4) for i in range(1, 9)]
