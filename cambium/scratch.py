@@ -25,6 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own}"
 
 
+def posix_dir(spark: SparkSession, name: str) -> str | None:
+    """A folder in the shared one as a path that files can be mapped from; None where the shared one isn't a mounted file system. It goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if "://" in path and not path.startswith("file:///") or path.startswith("file:") and not path.startswith("file:/"):
+        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getScheme() != "file":
+        return None
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: a lost executor then costs a read, not the work before. It goes when the application ends."""
     spark = df.sparkSession
