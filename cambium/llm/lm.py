@@ -1,10 +1,12 @@
-"""Scores of texts under an interpolated bigram model whose counts, of all training texts, lie in sharded Elias-Fano tries.
+"""Scores of texts under an interpolated trigram model whose counts, of all training texts, lie in sharded Elias-Fano tries.
 
-P(w | u) = max(c(u w) - d, 0) / c(u) + d t(u) / c(u) P(w): c counts training tokens, t(u) the distinct tokens after u, d is a fixed discount, and
-P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), so an unknown word has a share of its own. A text's first token comes after a sign of its own, its last is the end.
+P(w | u v) = (c(u v w) + m P(w | v)) / (c(u v) + m) and P(w | v) = (c(v w) + m P(w)) / (c(v) + m), c being counts in training texts and m the weight of the lower
+order (a Dirichlet prior); P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), so an unknown word has a share of its own. A text's first token comes after a sign of its own
+and has no longer context, its last is the end.
 
-Documents are read in chunks. A chunk sends each of its distinct n-grams once, with its count, to the n-gram's shard; a shard merges them, makes its trie and
-answers each chunk; chunks then add up their texts' scores. Contexts with more than a fair share of all tokens are dealt over several shards by the word after them.
+Documents are read in chunks. Distinct words of chunks are counted and numbered by their shards, the frequent ones first. A chunk then sends each of its distinct
+pairs and triples once, as numbers with counts, to the pair's shard, which merges them, makes its trie and answers each chunk; chunks add up their texts' scores.
+The triples of a pair that may be in more than a fair share of all tokens are dealt over several shards by their last word.
 """
 
 from __future__ import annotations
@@ -21,15 +23,18 @@ from pyspark.sql import functions as F
 from cambium.llm import words
 from cambium.llm.frames import in_arrow
 from cambium.llm.trie import Trie, probabilities
-from cambium.scratch import written
+from cambium.scratch import posix_dir, written
 
 _U = np.uint64
 #: Bytes of text in a chunk; a longer text is a chunk by itself.
 CHUNK = 4 << 20
-DISCOUNT = 0.75
-#: Hashes of the end of a text and of the sign before its first word.
-END, START = 0x5DEECE66D1234567, 0x2545F4914F6CDD1D
-_HALF = _U((1 << 48) - 1)
+#: Tokens a shard has on average, so that shards follow the data.
+SHARD = 2_000_000
+#: Tokens that the lower order's distribution counts as.
+WEIGHT = 50.0
+#: Hash of the end of a text.
+END = 0x5DEECE66D1234567
+_SPREAD = _U(0x9E3779B97F4A7C15)
 
 
 def _binary(x: np.ndarray, kind: type) -> bytes:
@@ -37,12 +42,15 @@ def _binary(x: np.ndarray, kind: type) -> bytes:
 
 
 def _packed(x: np.ndarray, kind: type) -> bytes:
-    """Small numbers, which fill few of their bytes; hashes don't shrink."""
-    return zstandard.ZstdCompressor(level=1).compress(_binary(x, kind))
+    """Small numbers, which fill few of their bytes: all first bytes, then all second ones and so on. Hashes don't shrink."""
+    raw = np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
 def _unpacked(raw: pa.Buffer | bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def _chunk(part: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int]], name: int) -> pa.RecordBatch:
@@ -68,9 +76,9 @@ def _chunk(part: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int]],
         [
             pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([_packed(size, np.int64)], pa.binary()), pa.array([_packed(held, np.uint8)], pa.binary()),
             pa.array([_binary(distinct, np.uint64)], pa.binary()), pa.array([_packed(count, np.int64)], pa.binary()), pa.array([_packed(token, np.int32)], pa.binary()),
-            pa.array([int(size[~held].sum())], pa.int64()), pa.array([int((~held).sum())], pa.int64()),
+            pa.array([int(size[~held].sum())], pa.int64()), pa.array([int((~held).sum())], pa.int64()), pa.array([len(token)], pa.int64()),
         ],
-        names=["chunk", "doc_id", "size", "held", "words", "counts", "tokens", "n", "texts"],
+        names=["chunk", "doc_id", "size", "held", "words", "counts", "tokens", "n", "texts", "every"],
     )
 
 
@@ -132,167 +140,190 @@ def _reply(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _word_shards(batches: Iterator[pa.RecordBatch], frequent: float) -> Iterator[pa.RecordBatch]:
-    """For each chunk its words' counts; for the shard, in a row without a chunk, how many words it has and those that are frequent."""
-    names, kinds = ["chunk", "shard", "counts", "distinct", "frequent", "times"], (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+def _word_shards(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """For each chunk its words' counts and numbers, from 1, the smallest for frequent words; for the shard, in a row without a chunk, how many words it has."""
+    names, kinds = ["chunk", "shard", "counts", "numbers", "distinct"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
     for shard, rows in _by_shard(batches):
         distinct, place = np.unique(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]), return_inverse=True)
         count = np.zeros(len(distinct), np.int64)
         np.add.at(count, place, np.concatenate([_unpacked(r[3], np.int64) for r in rows]))
-        hot = np.flatnonzero(count > frequent)
-        at, out = 0, [(None, shard, None, int((count > 0).sum()), distinct[hot].view(np.int64).tolist(), count[hot].tolist())]
+        number = np.empty(len(distinct), np.int64)
+        number[np.argsort(-count, kind="stable")] = np.arange(len(distinct)) * shards + shard + 1
+        at, out = 0, [(None, shard, None, None, int((count > 0).sum()))]
         for r in rows:
-            n = len(r[2]) // 8
-            out.append((r[0], shard, _packed(count[place[at : at + n]], np.int64), None, None, None))
-            at += n
+            own = place[at : at + len(r[2]) // 8]
+            out.append((r[0], shard, _packed(count[own], np.int64), _packed(number[own], np.int64), None))
+            at += len(own)
         yield _reply(out, kinds, names)
 
 
 class Dealer:
-    """The distinct bigrams of a chunk, and the shard of each. frequent: times of words, in training, that are dealt over several shards."""
-
-    def __init__(self, batch: pa.RecordBatch, i: int, shards: int, frequent: dict[int, int], fair: float):
-        self.words = np.append(_column(batch, "words", i, np.uint64), _U(START))
-        self.token = _column(batch, "tokens", i, np.int32).astype(np.int64)
-        self.size = _column(batch, "size", i, np.int64)
-        self.held = _column(batch, "held", i, np.uint8).astype(bool)
-        before = np.empty_like(self.token)
-        before[1:] = self.token[:-1]
-        before[np.concatenate([[0], np.cumsum(self.size)[:-1]])] = len(self.words) - 1
-        self.keys, self.bigram = np.unique(before * len(self.words) + self.token, return_inverse=True)
-        self.context, self.word = np.divmod(self.keys, len(self.words))
-        salt = np.zeros(len(self.keys), np.uint64)
-        for h, times in frequent.items():
-            j = int(np.searchsorted(self.words[:-1], _U(h)))
-            j = len(self.words) - 1 if h == START else j if j < len(self.words) - 1 and self.words[j] == _U(h) else -1
-            if j >= 0:
-                own = slice(*np.searchsorted(self.context, [j, j + 1]))
-                salt[own] = words.mix(self.words[self.word[own]]) % _U(int(times / fair) + 1) + _U(1)
-        self.shard = (words.mix(self.words[self.context] + salt * _U(0x9E3779B97F4A7C15)) % _U(shards)).astype(np.int64)
-        self.shards = shards
-
-    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
-        return _dealt(self.shard, self.shards)
-
-
-def _bigram_requests(batches: Iterator[pa.RecordBatch], shards: int, frequent: dict[int, int], fair: float) -> Iterator[pa.RecordBatch]:
-    """Contexts with the sizes of their runs, the last 48 bits of the words after them, counts: for each shard."""
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    """The distinct pairs and triples of a chunk, and the shard of each. Words go by their place in the order of their numbers; place 0 is the sign before a text."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, shards: int, fair: float, texts: int):
+        hashes, token = _column(batch, "words", i, np.uint64), _column(batch, "tokens", i, np.int32).astype(np.int64)
+        self.size, self.held, self.shards = _column(batch, "size", i, np.int64), _column(batch, "held", i, np.uint8).astype(bool), shards
+        count, number = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        answers = {a["shard"]: a for a in batch.column("of_words")[i].as_py()}
+        for s, at in _dealt(_word_shard(hashes, shards), shards):
+            count[at], number[at] = _unpacked(answers[s]["counts"], np.int64), _unpacked(answers[s]["numbers"], np.int64)
+        order = np.argsort(number)
+        place = np.empty(len(hashes), np.int64)
+        place[order] = np.arange(1, len(hashes) + 1)
+        self.number, self.count = np.append(0, number[order]).astype(np.uint64), np.append(texts, count[order])
+        self.token, n = place[token], len(self.number)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+        first = np.zeros(len(token), bool)
+        first[self.begin] = True
+        before = np.append(0, self.token[:-1])[: len(token)]
+        before[first] = 0
+        self.pairs, self.pair = np.unique(before * n + self.token, return_inverse=True)
+        self.u, self.v = np.divmod(self.pairs, n)
+        self.later = np.flatnonzero(~first)  # tokens that have two before them, the sign included
+        triples, self.triple = np.unique(self.pair[self.later - 1] * n + self.token[self.later], return_inverse=True)
+        self.context, self.w = np.divmod(triples, n)
+        self.train = np.repeat(~self.held, self.size)
+        # neither word is in more tokens than the pair, so both are looked at to see whether it may be too frequent for one shard
+        spread = (np.minimum(self.count[self.u], self.count[self.v]) / fair).astype(np.uint64) + _U(1)
+        key = words.mix(self.number[self.u] * _SPREAD + self.number[self.v])
+        salt = words.mix(self.number[self.w] + _U(1)) % spread[self.context]
+        self.pair_shard = (key % _U(shards)).astype(np.int64)
+        self.triple_shard = np.where(salt > 0, words.mix(key[self.context] + salt * _SPREAD) % _U(shards), key[self.context] % _U(shards)).astype(np.int64)
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Shard; pairs that are asked there, or whose triples are; which of them are; triples, in order of their pairs."""
+        by_pair, by_triple = dict(_dealt(self.pair_shard, self.shards)), dict(_dealt(self.triple_shard, self.shards))
+        none = np.zeros(0, np.int64)
+        for s in sorted(by_pair.keys() | by_triple.keys()):
+            own, triples = by_pair.get(s, none), by_triple.get(s, none)
+            every = np.union1d(own, self.context[triples])
+            yield s, every, np.isin(every, own, assume_unique=True), triples
+
+
+def _numbers(x: np.ndarray) -> tuple[bytes, int]:
+    size = 4 if not len(x) or int(x.max()) < 1 << 32 else 8
+    return _packed(x, np.uint32 if size == 4 else np.uint64), size
+
+
+def _pair_requests(batches: Iterator[pa.RecordBatch], shards: int, fair: float, texts: int) -> Iterator[pa.RecordBatch]:
+    """Pairs as steps from first word to first word, and second words; their counts and 1, or 0 where only triples are asked; how many triples each has; third words, counts."""
+    names = ["chunk", "shard", "bytes", "first", "second", "times", "sizes", "third", "counts"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), *(pa.binary(),) * 6)
     for batch in batches:
         for i in range(batch.num_rows):
-            own = Dealer(batch, i, shards, frequent, fair)
-            count = np.bincount(own.bigram[np.repeat(~own.held, own.size)], minlength=len(own.keys))
+            own = Dealer(batch, i, shards, fair, texts)
+            times = np.bincount(own.pair[own.train], minlength=len(own.pairs))
+            counts = np.bincount(own.triple[own.train[own.later]], minlength=len(own.w))
             rows = []
-            for s, at in own.parts():
-                context = own.context[at]
-                edge = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                word = np.ascontiguousarray((own.words[own.word[at]] & _HALF).view(np.uint8).reshape(-1, 8)[:, :6])
-                rows.append((batch.column("chunk")[i].as_py(), s, _binary(own.words[context[edge]], np.uint64), _packed(np.diff(np.append(edge, len(context))), np.int32), word.tobytes(), _packed(count[at], np.int32)))
+            for s, pairs, asked, triples in own.parts():
+                u = own.number[own.u[pairs]]
+                sizes = np.bincount(np.searchsorted(pairs, own.context[triples]), minlength=len(pairs))
+                (first, a), (second, b), (third, c) = _numbers(np.diff(u, prepend=_U(0))), _numbers(own.number[own.v[pairs]]), _numbers(own.number[own.w[triples]])
+                rows.append((batch.column("chunk")[i].as_py(), s, a | b << 8 | c << 16, first, second, _packed(np.where(asked, times[pairs] + 1, 0), np.int32), _packed(sizes, np.int32), third, _packed(counts[triples], np.int32)))
+                if len(rows) == 64:
+                    yield _reply(rows, kinds, names)
+                    rows = []
             if rows:
-                yield _reply(rows, kinds, ["chunk", "shard", "contexts", "sizes", "words", "counts"])
-
-
-def _six(raw: pa.Buffer) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, :6] = part
-    return out.view(np.uint64).reshape(-1)
-
-
-def shard_trie(contexts: np.ndarray, words_: np.ndarray, counts: np.ndarray, discount: float, frequent: dict[int, int]) -> Trie:
-    """From n-grams in any order, some of them several times."""
+                yield _reply(rows, kinds, names)
+
+
+class Asked:
+    """One chunk's question to a shard."""
+
+    def __init__(self, row: tuple):
+        self.chunk = row[0]
+        kind = lambda shift: np.uint32 if row[2] >> shift & 255 == 4 else np.uint64
+        self.u = np.cumsum(_unpacked(row[3], kind(0)).astype(np.uint64), dtype=np.uint64)
+        self.v, self.w = _unpacked(row[4], kind(8)).astype(np.uint64), _unpacked(row[7], kind(16)).astype(np.uint64)
+        times = _unpacked(row[5], np.int32)
+        self.asked, self.times = times > 0, np.maximum(times - 1, 0)
+        self.sizes, self.counts = _unpacked(row[6], np.int32), _unpacked(row[8], np.int32)
+
+
+def shard_trie(asked: list[Asked], total: int) -> Trie:
+    """Of all that chunks told: the pairs and triples that training texts have."""
+    u, v, times, sizes = (np.concatenate([getattr(a, x) for a in asked]) for x in ("u", "v", "times", "sizes"))
+    w, counts = np.concatenate([a.w for a in asked]), np.concatenate([a.counts for a in asked])
+    order = np.lexsort((v, u))
+    new = np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])])[: len(u)]
+    pair = np.empty(len(u), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    u, v = u[order][new], v[order][new]
+    times = np.bincount(pair, times, minlength=len(u)).astype(np.int64)
+    of = np.repeat(pair, sizes)
     seen = counts > 0
-    contexts, words_, counts = contexts[seen], words_[seen], counts[seen]
-    order = np.lexsort((words_, contexts))
-    contexts, words_, counts = contexts[order], words_[order], counts[order]
-    edge = np.flatnonzero(np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (words_[1:] != words_[:-1])])) if len(contexts) else np.zeros(0, np.int64)
-    counts = np.add.reduceat(counts, edge) if len(edge) else counts
-    return Trie.build(contexts[edge], words_[edge], counts.astype(np.int64), discount, frequent)
-
-
-def _bigram_shards(batches: Iterator[pa.RecordBatch], discount: float, frequent: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """For each chunk the codes of its bigrams; for the shard, in a row without a chunk, the successors that frequent contexts have here."""
-    names, kinds = ["chunk", "shard", "shares", "rests", "frequent", "fanout"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    hot = np.array(sorted(frequent), np.uint64)
+    of, w, counts = of[seen], w[seen], counts[seen]
+    order = np.lexsort((w, of))
+    of, w, counts = of[order], w[order], counts[order]
+    edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (w[1:] != w[:-1])])) if len(w) else np.zeros(0, np.int64)
+    counts = np.add.reduceat(counts.astype(np.int64), edge) if len(edge) else counts[:0]
+    of, w = of[edge], w[edge]
+    sizes = np.bincount(of, minlength=len(u))
+    known = (times > 0) | (sizes > 0)
+    return Trie.build(u[known], v[known], times[known], sizes[known], w, counts, total)
+
+
+def _pair_shards(batches: Iterator[pa.RecordBatch], total: int, folder: str | None) -> Iterator[pa.RecordBatch]:
+    """For each chunk the codes of its pairs and triples."""
     for shard, rows in _by_shard(batches):
-        contexts, sizes = [np.frombuffer(r[2], np.uint64) for r in rows], [_unpacked(r[3], np.int32) for r in rows]
-        after = [_six(r[4]) for r in rows]
-        trie = shard_trie(np.concatenate([np.repeat(c, n) for c, n in zip(contexts, sizes, strict=True)]), np.concatenate(after), np.concatenate([_unpacked(r[5], np.int32) for r in rows]).astype(np.int64), discount, frequent)
-        fanout = trie.fanout(hot)
-        yield _reply([(None, shard, None, None, hot[fanout > 0].view(np.int64).tolist(), fanout[fanout > 0].tolist())], kinds, names)
-        for r, c, n, w in zip(rows, contexts, sizes, after, strict=True):
-            share, rest = trie.query(c, n, w)
-            yield _reply([(r[0], shard, _packed(share, np.uint16), _packed(rest, np.uint16), None, None)], kinds, names)
+        asked = [Asked(r) for r in rows]
+        trie = shard_trie(asked, total).mapped(folder)
+        for a in asked:
+            pairs, triples = trie.query(a.u, a.v, a.sizes, a.w)
+            yield _reply([(a.chunk, shard, _packed(pairs[a.asked], np.uint16), _packed(triples, np.uint16))], (pa.int64(), pa.int32(), pa.binary(), pa.binary()), ["chunk", "shard", "pairs", "triples"])
 
 
-def _scores(batches: Iterator[pa.RecordBatch], shards: int, frequent: dict[int, int], fair: float, rest_of: dict[int, float], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], shards: int, fair: float, texts: int, total: int, distinct: int, weight: float) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     for batch in batches:
         for i in range(batch.num_rows):
-            own = Dealer(batch, i, shards, frequent, fair)
-            count = np.zeros(len(own.words), np.int64)
-            answers = {a["shard"]: a["counts"] for a in batch.column("of_words")[i].as_py()}
-            for s, at in _dealt(_word_shard(own.words[:-1], shards), shards):
-                count[at] = _unpacked(answers[s], np.int64)
-            base = (count + 0.5) / (total + 0.5 * (distinct + 1))
-            share, rest = np.zeros(len(own.keys), np.uint16), np.zeros(len(own.keys), np.uint16)
-            answers = {a["shard"]: a for a in batch.column("of_bigrams")[i].as_py()}
-            for s, at in own.parts():
-                share[at], rest[at] = _unpacked(answers[s]["shares"], np.uint16), _unpacked(answers[s]["rests"], np.uint16)
-            left = probabilities(rest)
-            for h, r in rest_of.items():
-                j = np.flatnonzero(own.words == _U(h))
-                if len(j):
-                    left[slice(*np.searchsorted(own.context, [j[-1], j[-1] + 1]))] = r
-            p = np.log10(probabilities(share) + left * base[own.word])
-            begin = np.concatenate([[0], np.cumsum(own.size)[:-1]])
-            add = lambda x: np.add.reduceat(x, begin) if len(begin) else x[:0]
-            n = len(own.size)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id")[i].values, pa.array(own.held), pa.array(own.size), pa.array(add((count[own.token] > 0).astype(np.int64))), pa.array(np.full(n, total, np.int64)),
-                    pa.array(add(np.log10(base)[own.token])), pa.array(add(p[own.bigram])),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-
-def score(docs: DataFrame, held_out: str, discount: float = DISCOUNT) -> DataFrame:
+            own = Dealer(batch, i, shards, fair, texts)
+            base = (own.count + 0.5) / (total + 0.5 * (distinct + 1))
+            pair, triple = np.zeros(len(own.pairs), np.uint16), np.zeros(len(own.w), np.uint16)
+            answers = {a["shard"]: a for a in batch.column("of_pairs")[i].as_py()}
+            for s, pairs, asked, triples in own.parts():
+                pair[pairs[asked]], triple[triples] = _unpacked(answers[s]["pairs"], np.uint16), _unpacked(answers[s]["triples"], np.uint16)
+            times, counts = (np.rint(probabilities(x) * total) for x in (pair, triple))  # exact up to some thousands
+            second = (times + weight * base[own.v]) / (own.count[own.u] + weight)
+            p = second[own.pair]
+            third = (counts[own.triple] + weight * p[own.later]) / (times[own.context][own.triple] + weight)
+            p[own.later] = third
+            add = lambda x: np.add.reduceat(x, own.begin) if len(own.begin) else x[:0]  # noqa: B023, E731
+            columns = [own.held, own.size, add((own.count[own.token] > 0).astype(np.int64)), np.full(len(own.size), total, np.int64), add(np.log10(base[own.token])), add(np.log10(p))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i].values, *map(pa.array, columns)], names=names)
+
+
+def score(docs: DataFrame, held_out: str, weight: float = WEIGHT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id long, text string and a boolean column named by held_out; others are ignored).
 
     Rows where held_out is false are learned from, each as often as it is there; null counts as true. Null text is empty: its one token is the end. base_score and score
     are log10 probabilities of the whole text under P(w) and under the model. With nothing to learn from all words are unknown, with probability 1. An empty
     table gives an empty result; a null doc_id stays null.
 
-    Nothing is pruned, so what is counted and shuffled grows with the input. No task gets more than a shard, a chunk, or one text.
+    Nothing is pruned, so what is counted and shuffled grows with the input, and so do the shards. No task gets more than some shards of about SHARD tokens, a
+    chunk, or one text. Words are told apart by 64-bit hashes, then by numbers; nothing is collected but three sums.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(held_out), F.lit(True)).alias("held"), F.col("text").cast("string").alias("text"))
-    chunks = written(in_arrow(rows, _chunks, "chunk long, doc_id array<long>, size binary, held binary, words binary, counts binary, tokens binary, n long, texts long"), "chunks")
-    total, texts = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
-    fair = max(1.0, total / (4 * shards))
+    schema = "chunk long, doc_id array<long>, size binary, held binary, words binary, counts binary, tokens binary, n long, texts long, every long"
+    chunks = written(in_arrow(rows, _chunks, schema), "chunks")
+    total, texts, every = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "texts", "every"))).first()
+    shards = max(1, -(-every // SHARD))
+    fair = SHARD / 4
 
     asked = in_arrow(chunks.select("chunk", "words", "counts"), lambda b: _word_requests(b, shards), "chunk long, shard int, words binary, counts binary")
     of_words = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "chunk")
-    of_words = written(in_arrow(of_words, lambda b: _word_shards(b, fair), "chunk long, shard int, counts binary, distinct long, frequent array<long>, times array<long>"), "words")
-    told = of_words.where("chunk is null").select("distinct", "frequent", "times").collect()  # a row a shard, and all in all less than four frequent words a shard
-    distinct = sum(r["distinct"] for r in told)
-    frequent = {h & 0xFFFFFFFFFFFFFFFF: n for r in told for h, n in zip(r["frequent"], r["times"], strict=True)}
-    frequent.pop(END, None)
-    if texts > fair:
-        frequent[START] = texts
-
-    parts = chunks.select("chunk", "size", "held", "words", "tokens")
-    asked = in_arrow(parts, lambda b: _bigram_requests(b, shards, frequent, fair), "chunk long, shard int, contexts binary, sizes binary, words binary, counts binary")
-    of_bigrams = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "chunk")
-    of_bigrams = written(in_arrow(of_bigrams, lambda b: _bigram_shards(b, discount, frequent), "chunk long, shard int, shares binary, rests binary, frequent array<long>, fanout array<long>"), "bigrams")
-    fanout: dict[int, int] = {}
-    for r in of_bigrams.where("chunk is null").select("frequent", "fanout").toLocalIterator():
-        for h, n in zip(r["frequent"], r["fanout"], strict=True):
-            fanout[h & 0xFFFFFFFFFFFFFFFF] = fanout.get(h & 0xFFFFFFFFFFFFFFFF, 0) + n
-    rest_of = {h: discount * fanout.get(h, 0) / n for h, n in frequent.items()}
-
-    by = lambda df, name, *cols: df.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("shard", *cols)).alias(name))
-    whole = chunks.select("chunk", "doc_id", "size", "held", "words", "tokens").join(by(of_words, "of_words", "counts"), "chunk").join(by(of_bigrams, "of_bigrams", "shares", "rests"), "chunk")
+    of_words = written(in_arrow(of_words, lambda b: _word_shards(b, shards), "chunk long, shard int, counts binary, numbers binary, distinct long"), "words")
+    distinct = of_words.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+
+    def by(answers: DataFrame, name: str, *columns: str) -> DataFrame:
+        return answers.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("shard", *columns)).alias(name))
+
+    parts = chunks.select("chunk", "doc_id", "size", "held", "words", "tokens").join(by(of_words, "of_words", "counts", "numbers"), "chunk")
+    asked = in_arrow(parts, lambda b: _pair_requests(b, shards, fair, texts), "chunk long, shard int, bytes int, first binary, second binary, times binary, sizes binary, third binary, counts binary")
+    folder = posix_dir(spark, "tries")
+    of_pairs = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "chunk")
+    of_pairs = written(in_arrow(of_pairs, lambda b: _pair_shards(b, total, folder), "chunk long, shard int, pairs binary, triples binary"), "pairs")
+
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return in_arrow(whole, lambda b: _scores(b, shards, frequent, fair, rest_of, total, distinct), schema)
+    return in_arrow(parts.join(by(of_pairs, "of_pairs", "pairs", "triples"), "chunk"), lambda b: _scores(b, shards, fair, texts, total, distinct, weight), schema)

@@ -1,10 +1,14 @@
-"""A two-level n-gram trie in Elias-Fano code: words, contexts, monotone pointers, successors, and quantised probabilities beside them.
+"""A three-level n-gram trie in Elias-Fano code: first words, second words, third words, monotone pointers between them, and quantised probabilities beside them.
 
-All levels are views of one buffer, which can be a memory-mapped file; queries are answered for many n-grams at once.
+All levels are views of one buffer, a memory map; queries are answered for many n-grams at once.
 """
 
 from __future__ import annotations
 
+import mmap
+import os
+import uuid
+
 import numpy as np
 
 _U = np.uint64
@@ -97,81 +101,118 @@ class EliasFano:
         return np.where(good, first, -1)
 
 
+    def successor(self, first: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Index of each x among the numbers from first to end - 1, by bisection for the first that isn't smaller; -1 if it isn't there."""
+        low, high = first.copy(), end.copy()
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_]) // 2
+            less = self[mid] < x[open_]
+            low[open_] = np.where(less, mid + 1, low[open_])
+            high[open_] = np.where(less, high[open_], mid)
+        good = np.flatnonzero(low < end)
+        good = good[self[low[good]] == x[good]]
+        out = np.full(len(x), -1)
+        out[good] = low[good]
+        return out
+
+
 _PARTS = ("low", "high", "ones")
 
 
+def _rising(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Ascending runs, each from begin[i] on, as one ascending sequence: to a run's numbers the last number of the sequence before it is added, and 1."""
+    if not len(values):
+        return values
+    end = np.append(begin[1:], len(values))
+    last = values[end - 1] + _U(1)
+    return values + np.repeat(np.concatenate([np.zeros(1, np.uint64), np.cumsum(last)[:-1]]), end - begin)
+
+
 class Trie:
-    """Contexts with their successors. A successor of a context has the share of the context's occurrences that its own, less a discount, make up; a context
-    has the weight that is left for a distribution of lower order."""
+    """Pairs of words and their third words, with the probability of each pair and of each triple among all tokens.
 
-    def __init__(self, words: EliasFano, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, shares: np.ndarray, rests: np.ndarray):
-        self.words, self.contexts, self.pointers, self.successors, self.shares, self.rests = words, contexts, pointers, successors, shares, rests
+    A number of the second or third level is told relative to its context: the words after a context lie between two pointers and rise from the number before them,
+    so a search for a successor never leaves the context's own range.
+    """
+
+    def __init__(self, levels: list[EliasFano], pairs: np.ndarray, triples: np.ndarray):
+        (self.first, self.to_second, self.second, self.to_third, self.third), self.pairs, self.triples = levels, pairs, triples
 
     @classmethod
-    def build(cls, context: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float, totals: dict[int, int]) -> Trie:
-        """From n-grams in ascending order of (context, word) with their counts over 0. totals: occurrences of contexts that have more successors elsewhere; their rest isn't known here and is 0."""
-        vocabulary = np.unique(word)
-        edge = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-        own, sizes = context[edge], np.diff(np.append(edge, len(context)))
-        total = np.add.reduceat(count, edge).astype(np.float64) if len(edge) else np.zeros(0)
-        rest = discount * sizes / np.maximum(total, 1)
-        for h, t in totals.items():
-            i = np.searchsorted(own, _U(h))
-            if i < len(own) and own[i] == _U(h):
-                total[i], rest[i] = t, 0.0
-        index = np.repeat(np.arange(len(edge), dtype=np.uint64), sizes)
-        keys = index * _U(max(1, len(vocabulary))) + np.searchsorted(vocabulary, word).astype(np.uint64)
-        shares = (count - discount) / np.repeat(total, sizes) if len(count) else np.zeros(0)
+    def build(cls, u: np.ndarray, v: np.ndarray, times: np.ndarray, sizes: np.ndarray, w: np.ndarray, counts: np.ndarray, total: int) -> Trie:
+        """From distinct pairs in ascending order with their times (0 where they aren't told here) and numbers of third words; those in ascending order in each pair, with their counts."""
+        edge = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        some = begin[:-1][sizes > 0]
         build = EliasFano.build
-        return cls(build(vocabulary), build(own), build(np.append(edge, len(context)).astype(np.uint64)), build(keys), quantised(shares), quantised(rest))
-
-    def query(self, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of share and rest for each n-gram; context has one entry for each run of n-grams, of those sizes, that share it. Unknown contexts have the whole weight left."""
-        at = self.contexts.find(context)
-        rest = np.where(at >= 0, self.rests[at] if len(self.rests) else 0, 1).astype(np.uint16)
-        of = np.repeat(at, sizes)
-        share = np.zeros(len(word), np.uint16)
-        ask = np.flatnonzero(of >= 0)
-        w = self.words.find(word[ask])
-        ask, w = ask[w >= 0], w[w >= 0]
+        levels = [build(u[edge]), build(np.append(edge, len(u)).astype(np.uint64)), build(_rising(v, edge)), build(begin.astype(np.uint64)), build(_rising(w, some))]
+        return cls(levels, quantised(times / max(total, 1)), quantised(counts / max(total, 1)))
+
+    @staticmethod
+    def _under(level: EliasFano, first: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Places of words in the ranges of their contexts."""
+        base = np.zeros(len(first), np.uint64)
+        inner = np.flatnonzero((first > 0) & (first < end))
+        base[inner] = level[first[inner] - 1] + _U(1)
+        return level.successor(first, end, x + base)
+
+    def query(self, u: np.ndarray, v: np.ndarray, sizes: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of each pair, and of each triple; sizes: how many third words each pair has here. 0 if it isn't known."""
+        pairs, triples = np.zeros(len(u), np.uint16), np.zeros(len(w), np.uint16)
+        edge = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+        at = np.repeat(self.first.find(u[edge]), np.diff(np.append(edge, len(u))))  # askers come sorted, so a first word is sought once
+        ask = np.flatnonzero(at >= 0)
         if len(ask):
-            # the successors of a context lie between two pointers; searched for relative to it, a word can only be found there
-            i = self.successors.find(of[ask].astype(np.uint64) * _U(self.words.n) + w.astype(np.uint64))
-            share[ask[i >= 0]] = self.shares[i[i >= 0]]
-        return share, np.repeat(rest, sizes)
-
-    def fanout(self, context: np.ndarray) -> np.ndarray:
-        """Successors of each context: the distance of its two pointers; 0 if it isn't known."""
-        at = self.contexts.find(context)
-        out = np.zeros(len(context), np.int64)
-        own = np.flatnonzero(at >= 0)
-        if len(own):
-            out[own] = self.pointers[at[own] + 1].astype(np.int64) - self.pointers[at[own]].astype(np.int64)
-        return out
+            found = self._under(self.second, self.to_second[at[ask]].astype(np.int64), self.to_second[at[ask] + 1].astype(np.int64), v[ask])
+            ask, found = ask[found >= 0], found[found >= 0]
+            pairs[ask] = self.pairs[found]
+            place = np.full(len(u), -1)
+            place[ask] = found
+            of = np.repeat(place, sizes)
+            ask = np.flatnonzero(of >= 0)
+            if len(ask) and self.third.n:
+                begin, end = np.full(len(u), 0), np.full(len(u), 0)
+                known = np.flatnonzero(place >= 0)
+                begin[known], end[known] = self.to_third[place[known]].astype(np.int64), self.to_third[place[known] + 1].astype(np.int64)
+                found = self._under(self.third, np.repeat(begin, sizes)[ask], np.repeat(end, sizes)[ask], w[ask])
+                triples[ask[found >= 0]] = self.triples[found[found >= 0]]
+        return pairs, triples
 
     def _levels(self) -> list[EliasFano]:
-        return [self.words, self.contexts, self.pointers, self.successors]
-
-    def arrays(self) -> list[np.ndarray]:
-        return [np.array([x for s in self._levels() for x in (s.n, s.bits)], np.int64), *(getattr(s, a) for s in self._levels() for a in _PARTS), self.shares, self.rests]
+        return [self.first, self.to_second, self.second, self.to_third, self.third]
 
-    def save(self, path: str) -> None:
-        """One file: array by array, each with its length and filled up to 8 bytes."""
-        with open(path, "wb") as f:
-            for a in self.arrays():
-                raw = a.tobytes()
-                f.write(np.array([len(raw)], np.int64).tobytes() + raw + b"\0" * (-len(raw) % 8))
+    def image(self) -> bytes:
+        """Array by array, each with its length and filled up to 8 bytes."""
+        arrays = [np.array([x for s in self._levels() for x in (s.n, s.bits)], np.int64), *(getattr(s, a) for s in self._levels() for a in _PARTS), self.pairs, self.triples]
+        return b"".join(np.array([a.nbytes], np.int64).tobytes() + a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
 
     @classmethod
     def view(cls, buffer: np.ndarray) -> Trie:
-        """On the bytes of a saved trie, such as np.memmap(path, np.uint8, 'r'); nothing is copied."""
+        """On the bytes of an image; nothing is copied."""
         at, raw = 0, []
         while at < len(buffer):
             n = int(buffer[at : at + 8].view(np.int64)[0])
             raw.append(buffer[at + 8 : at + 8 + n])
             at += 8 + n + -n % 8
         head, levels = raw[0].view(np.int64), []
-        for k in range(4):
+        for k in range(5):
             low, high, ones = raw[1 + 3 * k : 4 + 3 * k]
             levels.append(EliasFano(int(head[2 * k]), int(head[2 * k + 1]), low.view(np.uint64), high.view(np.uint64), ones.view(np.uint32)))
-        return cls(*levels, raw[13].view(np.uint16), raw[14].view(np.uint16))
+        return cls(levels, raw[16].view(np.uint16), raw[17].view(np.uint16))
+
+    def mapped(self, folder: str | None) -> Trie:
+        """The same on a memory map: of a file in folder, whose name goes at once, so that a lost executor leaves nothing there; without a folder, of memory that has no name."""
+        image = self.image()
+        if folder is None:
+            held = mmap.mmap(-1, len(image))
+            held.write(image)
+            return Trie.view(np.frombuffer(held, np.uint8))
+        os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, uuid.uuid4().hex)
+        try:
+            with open(path, "wb") as f:
+                f.write(image)
+            return Trie.view(np.memmap(path, np.uint8, "r"))
+        finally:
+            if os.path.exists(path):
+                os.unlink(path)
