@@ -7,7 +7,7 @@ container with the largest score, reached from the body through nodes at least a
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -34,15 +34,20 @@ _ENDS_P = _BLOCK - frozenset("body html head td th tr tbody thead tfoot caption
 #: Elements that are never part of the article.
 _NOISE = frozenset("head script style noscript template textarea title xmp noembed noframes iframe nav footer aside form button select input menu dialog svg object audio video canvas search datalist".split())
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-_NOISE_NAME = re.compile(
-    r"(?:^|[_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination"
-    r"|popup|promos?|promotions?|related|replies|reply|respond|share|sharing|sidebar|side-bar|signup|skip|social|sponsors?|sponsored|subscribe|subscription|toolbar|widgets?)(?=$|[_-])",
-    re.I,
+def _named(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[_-])(?:{words})(?=$|[_-])", re.I)
+
+
+_NOISE_NAME = _named(
+    "ads?|adverts?|advertisements?|advertising|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|nav|navbar|navigation|newsletter|pager|pagination|popup|replies|reply|respond"
+    "|signup|sponsors?|sponsored|subscribe|subscription"
 )
+#: Names of the layout as much as of noise: what holds most of a page's text isn't noise for being called so.
+_LAYOUT_NAME = _named("banners?|header|masthead|menu|modal|notices?|promos?|promotions?|related|share|sharing|sidebar|side-bar|skip|social|toolbar|widgets?")
 #: Words of a class that tell of something else's presence, and names that within an article are its own.
 _ABOUT, _OWN_NAME = re.compile(r"(?:no|with|without|has|is|js)[_-]", re.I), re.compile(r"(?:^|[_-])(?:header|masthead)(?=$|[_-])", re.I)
-#: How a node is noise: as what it is, or only by its name, which doesn't count if the page's first article lies in it.
-SURE, BY_NAME = 2, 1
+#: How a node is noise: as what it is, or only by its name, which doesn't count if the page's first article lies in it, or by a name that other nodes have as well.
+SURE, BY_NAME, BY_LAYOUT = 3, 2, 1
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -68,77 +73,107 @@ def noisy(tag: str, attributes: str, in_article: bool) -> int:
     if tag in ("article", "main"):
         return 0
     names = unescape(f"{own.get('class', '')} {own.get('id', '')}").split()
-    return BY_NAME * any(_NOISE_NAME.search(n) and not _ABOUT.match(n) and not (in_article and _OWN_NAME.search(n)) for n in names)
+    names = [n for n in names if not _ABOUT.match(n) and not (in_article and _OWN_NAME.search(n))]
+    return BY_NAME if any(map(_NOISE_NAME.search, names)) else BY_LAYOUT if any(map(_LAYOUT_NAME.search, names)) else 0
+
+
+class _Open:
+    """The open elements, and for each tag, and for blocks, where in their stack they are: no search walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack: list[Node] = [root]
+        self.places: dict[str, list[int]] = {root.tag: [0]}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in _BLOCK or node.tag == "p":
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost open element of a tag is; 0 if there is none but the root."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def close(self, i: int) -> None:
+        """Ends the element at i and all in it."""
+        while len(self.stack) > i:
+            self.places[self.stack.pop().tag].pop()
+        while self.blocks and self.blocks[-1] >= i:
+            self.blocks.pop()
+
+    def ended(self, these: frozenset[str], within: frozenset[str]) -> int:
+        """The outermost open element of these inside the innermost of the others; 0 if there is none."""
+        edge = max(map(self.last, within))
+        found = [own[i] for own in (self.places.get(t, []) for t in these) if (i := bisect_right(own, edge)) < len(own)]
+        return min(found, default=0)
 
 
 def parse(html: str) -> Node:
     """The page's tree. Elements that were left open end with the element around them; a tag, comment or reference cut off by the end of the page is none."""
     root = Node("html", None, 0)
-    open_, at, count, first = [root], 0, Counter(["html"]), True
-
-    def close(i: int) -> None:
-        count.subtract(n.tag for n in open_[i:])
-        del open_[i:]
-
+    open_, at, first = _Open(root), 0, True
     while m := _TAG.search(html, at):
         if m.start() > at:
-            open_[-1].children.append(unescape(html[at : m.start()]))
+            open_.stack[-1].children.append(unescape(html[at : m.start()]))
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                open_[-1].children.append(m[0][9:].removesuffix("]]>"))
+                open_.stack[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
-            if count[tag] > 0 and tag != "html":
-                close(next(i for i in range(len(open_) - 1, 0, -1) if open_[i].tag == tag))
+            if i := open_.last(tag):
+                open_.close(i)
             continue
-        if tag in ("html", "body", "head") and count[tag] > 0:
+        if tag == "html" or tag in ("body", "head") and open_.last(tag):
             continue
-        if tag == "body" or open_[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
-            if count["head"] > 0:
-                close(next(i for i, n in enumerate(open_) if n.tag == "head"))
-        if tag in _ENDS_P:
-            inner = next((i for i in range(len(open_) - 1, 0, -1) if open_[i].tag == "p" or open_[i].tag in _BLOCK), 0)
-            if open_[inner].tag == "p":
-                close(inner)
-        if tag in _ENDS:
-            these, within = _ENDS[tag]
-            last = 0
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in within:
-                    break
-                if open_[i].tag in these:
-                    last = i
-            if last:
-                close(last)
+        if tag == "body" or open_.stack[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
+            if i := open_.last("head"):
+                open_.close(i)
+        if tag in _ENDS_P and open_.blocks and open_.stack[open_.blocks[-1]].tag == "p":
+            open_.close(open_.blocks[-1])
+        if tag in _ENDS and (i := open_.ended(*_ENDS[tag])):
+            open_.close(i)
         if first and tag in ("article", "main"):
             first = False
-            for n in open_:
+            for n in open_.stack:
                 n.noise = n.noise if n.noise == SURE else 0
-        node = Node(tag, open_[-1], noisy(tag, m[3], count["article"] > 0))
-        open_[-1].children.append(node)
+        node = Node(tag, open_.stack[-1], noisy(tag, m[3], bool(open_.places.get("article"))))
+        open_.stack[-1].children.append(node)
         if tag in _RAW:
             end = _RAW[tag].search(html, at)
             at = html.find(">", end.start()) + 1 or len(html)
         elif tag not in _VOID:
-            open_.append(node)
-            count[tag] += 1
+            open_.push(node)
     if at < len(html):
-        open_[-1].children.append(unescape(html[at:]))
+        open_.stack[-1].children.append(unescape(html[at:]))
     return root
 
 
-def nodes(root: Node) -> list[Node]:
-    """All that aren't noise, parents before children."""
+def nodes(root: Node, noise: int = 0) -> list[Node]:
+    """All that aren't noise, or no surer noise than that, parents before children."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.noise]
+        todo += [c for c in reversed(node.children) if isinstance(c, Node) and c.noise <= noise]
     return out
 
 
+def pardon(root: Node) -> None:
+    """Nodes that are noise by a layout's name, but have half or more of the page's text outside links, aren't noise."""
+    own = nodes(root, BY_LAYOUT)
+    if not any(n.noise for n in own):
+        return
+    for node in reversed(own):
+        node.chars = 0 if node.tag == "a" else sum(len("".join(c.split())) if isinstance(c, str) else c.chars if c.noise <= BY_LAYOUT else 0 for c in node.children)
+    for node in own:
+        if node.noise and 2 * node.chars >= root.chars > 0:
+            node.noise = 0
+
+
 def weigh(root: Node) -> list[Node]:
     """Densities and scores of all nodes that aren't noise."""
     own = nodes(root)
@@ -162,6 +197,7 @@ def weigh(root: Node) -> list[Node]:
 
 def article(root: Node) -> Node | None:
     """The container with the largest sum, of equal ones the outermost first in the page, among those the body leads to through nodes not thinner than the thinnest on the way to the largest sum of all."""
+    pardon(root)
     own = weigh(root)
     if not root.chars:
         return None
