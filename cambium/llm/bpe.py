@@ -1,7 +1,8 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and its decoder.
 
 A sequence of tokens is what the merge list makes of a text exactly if each two neighbours are what it makes of their own text. So each prefix has one
-last token, found from shorter prefixes' last tokens; a token is emitted once every prefix that a later token can start from has it.
+last token: the one of those that end there which fits the last token of the prefix before it. A byte that comes later can change a token only within the merge list's
+lookahead; so much is read ahead, and a token is emitted once every prefix that a later token can start from has it.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ import codecs
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,13 +25,12 @@ from cambium.llm.memory import REMEMBERED, Memory, kept
 
 #: White_Space of Unicode, as the tokenizer's own pattern takes \s.
 _S = "\t-\r \x85\xa0  -     　"
-#: A token never spans the end of a run of other characters and white space after it.
-_RUN = re.compile(f"[{_S}]*[^{_S}]+|[{_S}]+")
+#: Where white space begins after something else. No piece spans that.
+_EDGE = re.compile(f"(?<=[^{_S}])(?=[{_S}])")
+#: Characters of a text that are encoded at once; more, up to the next such place.
+SEGMENT = 1 << 14
 #: The split pattern that belongs to this kind of vocabulary file.
 _PIECE = regex.compile(rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+""")
-#: Bytes of a piece up to which it is encoded at once.
-SHORT = 256
-
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in vocabulary files: itself if visible, else the next unused one from U+0100."""
@@ -55,17 +56,15 @@ class Transducer:
         self.lookahead = self._lookahead()
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.whole = {t: i for t, i in self.ids.items() if self.merged(t) == [t]}
-        lengths: dict[bytes, set[int]] = {}
-        for t in self.whole:
-            lengths.setdefault(t[-2:], set()).add(len(t))
-        self.by_end = {b: sorted(n | {1}, reverse=True) for b, n in lengths.items()}
-        by_start: dict[bytes, set[int]] = {}
-        for t in self.whole:
-            by_start.setdefault(t[:3], set()).add(len(t))
-        self.starts: Memory = Memory(lambda start: tuple(sorted(by_start.get(start, set()) | {n for n in (1, 2) if start[:n] in self.whole and n <= len(start)}, reverse=True)))
+        #: All tokens that end at a byte, the longest first.
+        self.machine = ahocorasick.Automaton()
+        for t, i in self.whole.items():
+            self.machine.add_word(t.decode("latin-1"), (i, len(t)))
+        self.machine.make_automaton()
+        self.shift = len(self.bytes).bit_length()
         self.parts = {a + b: (a, b) for (a, b), _ in sorted(self.rank.items(), key=lambda m: -m[1])}
         self.made = {t: self.rank[x] for t, x in self.parts.items()}
-        self.fits: Memory = Memory(lambda pair: self._fits(self.bytes[pair >> 20], self.bytes[pair & 0xFFFFF]), remembered)
+        self.fits: Memory = Memory(lambda pair: self._fits(self.bytes[pair >> self.shift], self.bytes[pair & ((1 << self.shift) - 1)]), remembered)
         self.pieces: Memory = Memory(self._piece, remembered)
         self.shown = list(map(str, range(len(self.bytes))))
 
@@ -112,87 +111,102 @@ class Transducer:
                 return True
 
     def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
-        """Token ids of one piece that comes in blocks. Held at any time: as many bytes as the lookahead, and one last token for each."""
-        whole, fits, longest, by_end = self.whole, self.fits, self.longest, self.by_end
-        held, last, size, base, check = bytearray(), [0], [0], 0, 2 * longest
-        for byte in chain.from_iterable(blocks):
-            held.append(byte)
-            i = len(last)
-            for n in by_end.get(bytes(held[-2:]), (1,)):
-                if n <= i - base and (t := whole.get(bytes(held[i - n : i]))) is not None and (i - n == base or fits[last[i - n] << 20 | t]):
-                    last.append(t)
-                    size.append(n)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-            if i >= check:
-                ends = set(range(max(base, i - longest + 1), i + 1))
-                while len(ends) > 1:  # back from the latest end till all meet
-                    top = max(ends)
-                    ends.remove(top)
-                    ends.add(top - size[top] if top > base else base)
-                if (settled := ends.pop()) > base:
-                    yield from self._back(last, size, settled, base)
+        """Token ids of one piece that comes in blocks. Held at any time: a block, twice the lookahead in bytes, and the last token of each prefix that ends there."""
+        fits, shift, longest, ahead = self.fits, self.shift, self.longest, self.lookahead
+        last, size, base, found = [0], [0], 0, None
+        for block in blocks:
+            for at in range(0, len(block), ahead):
+                part = block[at : at + ahead].decode("latin-1")
+                start, offset, ended = len(last), len(last) - 1 + base, base + len(last) - 1
+                last += [-1] * len(part)
+                size += [0] * len(part)
+                if found is None:
+                    found = self.machine.iter(part)
+                else:
+                    found.set(part)  # goes on where the part before ended
+                for end, (t, n) in found:
+                    if end < ended:
+                        continue
+                    begin = end + 1 - n - base
+                    if begin >= 0 and last[begin + n] < 0 and (end + 1 == n or last[begin] >= 0 and fits[last[begin] << shift | t]):
+                        last[begin + n], size[begin + n] = t, n
+                        ended = end + 1
+                if -1 in last[start:]:
+                    raise ValueError("the vocabulary lacks a byte")
+                top = len(last) - 1
+                if top < 2 * ahead:
+                    continue
+                # all that was read more than the lookahead ago is settled: back from all prefixes that a later token can follow they meet
+                ends = set(range(max(0, top - longest + 1), top + 1))
+                while len(ends) > 1:
+                    latest = max(ends)
+                    ends.remove(latest)
+                    ends.add(latest - size[latest] if latest else 0)
+                if (settled := ends.pop()) > 0:
+                    out = self._back(last, size, settled)
+                    yield from out if base == 0 else out[1:]
                     # what was emitted goes; the last token before the cut stays, to judge neighbours
                     cut = settled - size[settled]
-                    held, last, size, base = held[cut:], last[cut:], size[cut:], settled - cut
-                check = len(last) + longest
-        yield from self._back(last, size, len(last) - 1, base)
+                    last, size, base = last[cut:], size[cut:], base + cut
+                    last[0], size[0] = 0, 0
+        out = self._back(last, size, len(last) - 1)
+        yield from out if base == 0 else out[1:]
 
-    def _back(self, last: list[int], size: list[int], end: int, base: int) -> list[int]:
+    @staticmethod
+    def _back(last: list[int], size: list[int], end: int) -> list[int]:
         out = []
-        while end > base:
+        while end > 0:
             out.append(last[end])
             end -= size[end]
         return out[::-1]
 
     def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one piece. One no longer than the lookahead is settled only by its end: the longest tokens that fit are tried from the left; a place
-        that can't be left again isn't tried twice, as the tokens that lead to it are always the same."""
+        """Ids of one piece. In one no longer than the lookahead nothing is settled before its end, so it needs no cuts."""
         text = piece.encode()
         if (t := self.whole.get(text)) is not None:
             return [t]
-        if len(text) > SHORT:
+        if len(text) > self.lookahead:
             return list(self.stream([text]))
-        get, fits, starts, end = self.whole.get, self.fits, self.starts, len(text)
-        out, at, dead, i, before = [], [], set(), 0, -1
-        sizes = iter(starts[text[:3]])
-        while i < end:
-            for n in sizes:
-                if (k := i + n) <= end and (t := get(text[i:k])) is not None and (before < 0 or fits[before | t]) and k not in dead:
-                    break
-            else:
-                dead.add(i)
-                out.pop()
-                before = out[-1] << 20 if out else -1
-                i, sizes = at.pop()
-                continue
-            out.append(t)
-            before = t << 20
-            at.append((i, sizes))
-            i = k
-            sizes = iter(starts[text[i : i + 3]])
-        return out
+        fits, shift = self.fits, self.shift
+        last, size, ended = [-1] * (len(text) + 1), [0] * (len(text) + 1), 0
+        for end, (t, n) in self.machine.iter(text.decode("latin-1")):
+            begin = end + 1 - n
+            if end >= ended and (begin == 0 or fits[last[begin] << shift | t]):
+                ended = end + 1
+                last[ended], size[ended] = t, n
+        if -1 in last[1:]:
+            raise ValueError("the vocabulary lacks a byte")
+        return self._back(last, size, len(text))
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
         ids = tuple(self.encode_piece(piece))
         return ids, ",".join(map(self.shown.__getitem__, ids))
 
-    def encode(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids, and the same as text, of each piece. The strings of special tokens in a text become those tokens."""
-        out = []
+    def segments(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
+        """Ids, and the same as text, of each piece, some thousand characters at a time. The strings of special tokens in a text become those tokens."""
+        pieces, most = self.pieces, self.lookahead // 4  # characters that are no more bytes than that
         for part in self.specials.split(text) if self.specials and any(s in text for s in self.special) else (text,):
             if part in self.special:
-                out.append(((self.special[part],), str(self.special[part])))
-            elif pieces := _PIECE.findall(part):
-                out += map(self.pieces.__getitem__, pieces) if max(map(len, pieces)) <= SHORT else [self.pieces[p] if len(p) <= SHORT else self._piece(p) for p in pieces]
-        return out
+                yield [((self.special[part],), str(self.special[part]))]
+                continue
+            at = 0
+            while at < len(part):
+                edge = _EDGE.search(part, at + SEGMENT) if len(part) - at > SEGMENT else None
+                end = edge.start() if edge else len(part)
+                own = _PIECE.findall(part, at, end) if at or end < len(part) else _PIECE.findall(part)
+                at = end
+                if own:
+                    yield list(map(pieces.__getitem__, own)) if max(map(len, own)) <= most else [pieces[p] if len(p) <= most else self._piece(p) for p in own]
+
+    def encode(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """All segments' pieces."""
+        return list(chain.from_iterable(self.segments(text)))
 
-    def decode(self, ids: Sequence[int], block: int = 4096) -> Iterator[str]:
+    def decode(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
         """Text, block by block. The state between blocks is the bytes of one unfinished character; what isn't UTF-8 becomes U+FFFD."""
-        machine, of = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes.__getitem__
-        for i in range(0, len(ids), block):
-            yield machine.decode(b"".join(map(of, ids[i : i + block])))
+        machine, of, own = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes.__getitem__, iter(ids)
+        while part := list(islice(own, block)):
+            yield machine.decode(b"".join(map(of, part)))
         yield machine.decode(b"", True)
 
 
@@ -203,19 +217,26 @@ def transducer(source: bytes, remembered: int = REMEMBERED) -> Transducer:
 
 def _tokens(batches: Iterator[pa.RecordBatch], source: bytes, keep: bool, remembered: int = REMEMBERED) -> Iterator[pa.RecordBatch]:
     own = transducer(source, remembered)
+    of = own.bytes.__getitem__
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             count, digest, decoded, kept = [], [], [], []
             for text in part.column(1).to_pylist():
-                by_run, shown = zip(*own.encode(text), strict=True) if text else ((), ())
-                ids = list(chain.from_iterable(by_run))
-                count.append(len(ids))
-                digest.append(hashlib.sha256(",".join(shown).encode()).hexdigest())
-                back = hashlib.sha256()
-                for block in own.decode(ids):
-                    back.update(block.encode())
-                decoded.append(back.hexdigest())
+                # a segment's tokens are all that is held of a text, unless its ids are asked for
+                n, of_ids, of_text, back, ids = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace"), []
+                for segment in own.segments(text or ""):
+                    by_piece, shown = zip(*segment, strict=True)
+                    some = list(chain.from_iterable(by_piece))
+                    of_ids.update(("," * (n > 0) + ",".join(shown)).encode())
+                    of_text.update(back.decode(b"".join(map(of, some))).encode())
+                    n += len(some)
+                    if keep:
+                        ids += some
+                of_text.update(back.decode(b"", True).encode())
+                count.append(n)
+                digest.append(of_ids.hexdigest())
+                decoded.append(of_text.hexdigest())
                 if keep:
                     kept.append(ids)
             columns = [part.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
