@@ -25,6 +25,8 @@ GRAM = 32
 SORTED, MANY = 1 << 20, 4096
 #: Texts, 16 bytes each, that may be broadcast to pick out those to read again.
 BROADCAST_TEXTS = 200_000
+#: Runs of one context from which it counts as frequent; at least so many that no more contexts than BROADCAST_TEXTS do.
+FREQUENT = 10_000
 #: Windows whose anchors are sought at once; places among them take PLACE bits of a sort key.
 BLOCK, PLACE = 1 << 20, 22
 _U = np.uint64
@@ -276,7 +278,13 @@ def without_repeats(docs: DataFrame, keep: list[str], width: int = 200) -> DataF
     runs = written(runs.join(twice, "anchor"), "runs")
     contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("t0", "t1", "low", "size")))
     contexts = written(contexts, "contexts")
-    settled = runs.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(*key, "low", F.col("size").cast("long").alias("size"))
+    # runs of very frequent contexts, which are few, don't meet them in the one task that has a key's rows
+    frequent = max(FREQUENT, (contexts.agg(F.sum("n")).first()[0] or 0) // max(1, BROADCAST_TEXTS))
+    same = ["anchor", "context"]
+    hot = written(contexts.where(F.col("n") > frequent).select(*same), "frequent")
+    again = contexts.where(F.col("n").between(2, frequent)).select(*same)
+    settled = runs.join(F.broadcast(hot), same, "left_semi").unionByName(runs.join(F.broadcast(hot), same, "left_anti").join(again, same, "left_semi"))
+    settled = settled.select(*key, "low", F.col("size").cast("long").alias("size"))
     open_ = contexts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
     open_ = contexts.join(open_, "anchor").select(*key, F.struct("low", "size", "anchor", (F.col("m") > MANY).alias("many")).alias("asked"))
     asked = written(open_.groupBy(*key).agg(F.collect_list("asked").alias("asked")), "asked")

@@ -36,6 +36,15 @@ def test_repeats(spark):
     assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == repeats_brute(rows, 200)
 
 
+def test_repeats_with_frequent_contexts(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BROADCAST_TEXTS", 10**6)
+    monkeypatch.setattr(suffixes, "FREQUENT", 2)
+    own = texts(7, 40)
+    rows = list(enumerate([*own, *(f"{i} {own[3]}" for i in range(9)), own[3]]))
+    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == repeats_brute(rows, 200)
+
+
 def test_languages(spark):
     docs = corpus(spark)
     with_broadcast = langid.Profile()
