@@ -37,10 +37,6 @@ END = 0x5DEECE66D1234567
 _SPREAD = _U(0x9E3779B97F4A7C15)
 
 
-def _binary(x: np.ndarray, kind: type) -> bytes:
-    return np.ascontiguousarray(x, kind).tobytes()
-
-
 def _packed(x: np.ndarray, kind: type) -> bytes:
     """Small numbers, which fill few of their bytes: all first bytes, then all second ones and so on. Hashes don't shrink."""
     raw = np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize)
@@ -53,8 +49,18 @@ def _unpacked(raw: pa.Buffer | bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def _rising(x: np.ndarray) -> bytes:
+    """Ascending numbers, as the steps between them."""
+    return _packed(np.diff(x, prepend=x.dtype.type(0)), x.dtype)
+
+
+def _risen(raw: pa.Buffer | bytes, kind: type) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, kind), dtype=kind)
+
+
 def _chunk(part: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int]], name: int) -> pa.RecordBatch:
-    """One row for several runs of documents: distinct tokens, tokens by their place among those, and for each text its row, size and whether it is learned from."""
+    """One row for several runs of documents: hashes of distinct tokens, their first halves, how often each is there and in training; tokens, by their places in the
+    order of how often they are there; for each text its row, size and whether it is learned from."""
     hashes, sizes, held = [], [], []
     for batch, data, at, first, n in part:
         own, rows = words.word_hashes(data, at)
@@ -70,15 +76,17 @@ def _chunk(part: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int]],
         held.append(batch.column(1).slice(first, n).to_numpy(zero_copy_only=False).astype(bool))
     distinct, token = np.unique(np.concatenate(hashes), return_inverse=True)
     size, held = np.concatenate(sizes), np.concatenate(held)
-    count = np.bincount(token[np.repeat(~held, size)], minlength=len(distinct))
+    count, uses = np.bincount(token[np.repeat(~held, size)], minlength=len(distinct)), np.bincount(token, minlength=len(distinct))
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.argsort(-uses, kind="stable")] = np.arange(len(distinct))
     ids = pa.concat_arrays([b.column(0).slice(first, n) for b, _, _, first, n in part])
     return pa.RecordBatch.from_arrays(
         [
             pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([_packed(size, np.int64)], pa.binary()), pa.array([_packed(held, np.uint8)], pa.binary()),
-            pa.array([_binary(distinct, np.uint64)], pa.binary()), pa.array([_packed(count, np.int64)], pa.binary()), pa.array([_packed(token, np.int32)], pa.binary()),
+            *(pa.array([x], pa.binary()) for x in (_rising(distinct), _rising((distinct >> _U(32)).astype(np.uint32)), _packed(uses, np.int32), _packed(count, np.int64), _packed(rank[token], np.int32))),
             pa.array([int(size[~held].sum())], pa.int64()), pa.array([int((~held).sum())], pa.int64()), pa.array([len(token)], pa.int64()),
         ],
-        names=["chunk", "doc_id", "size", "held", "words", "counts", "tokens", "n", "texts", "every"],
+        names=["chunk", "doc_id", "size", "held", "words", "halves", "uses", "counts", "tokens", "n", "texts", "every"],
     )
 
 
@@ -96,8 +104,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _column(batch: pa.RecordBatch, name: str, i: int, kind: type) -> np.ndarray:
-    raw = batch.column(name)[i].as_buffer()
-    return np.frombuffer(raw, kind) if name == "words" else _unpacked(raw, kind)
+    return (_risen if name in ("words", "halves") else _unpacked)(batch.column(name)[i].as_buffer(), kind)
 
 
 def _dealt(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -109,17 +116,13 @@ def _dealt(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
             yield s, order[edge[s] : edge[s + 1]]
 
 
-def _word_shard(distinct: np.ndarray, shards: int) -> np.ndarray:
-    return (words.mix(distinct.copy()) % _U(shards)).astype(np.int64)
-
-
 def _word_requests(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             chunk, distinct, count = batch.column("chunk")[i].as_py(), _column(batch, "words", i, np.uint64), _column(batch, "counts", i, np.int64)
-            rows = [(chunk, s, _binary(distinct[at], np.uint64), _packed(count[at], np.int64)) for s, at in _dealt(_word_shard(distinct, shards), shards)]
+            rows = [(chunk, s, _rising(distinct[at]), _packed(count[at], np.int64)) for s, at in _dealt((distinct >> _U(32)).astype(np.int64) % shards, shards)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "shard", "words", "counts"])
+                yield _reply(rows, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), ["chunk", "shard", "words", "counts"])
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -144,14 +147,15 @@ def _word_shards(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
     """For each chunk its words' counts and numbers, from 1, the smallest for frequent words; for the shard, in a row without a chunk, how many words it has."""
     names, kinds = ["chunk", "shard", "counts", "numbers", "distinct"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
     for shard, rows in _by_shard(batches):
-        distinct, place = np.unique(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]), return_inverse=True)
+        asked = [_risen(r[2], np.uint64) for r in rows]
+        distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
         count = np.zeros(len(distinct), np.int64)
         np.add.at(count, place, np.concatenate([_unpacked(r[3], np.int64) for r in rows]))
         number = np.empty(len(distinct), np.int64)
         number[np.argsort(-count, kind="stable")] = np.arange(len(distinct)) * shards + shard + 1
         at, out = 0, [(None, shard, None, None, int((count > 0).sum()))]
-        for r in rows:
-            own = place[at : at + len(r[2]) // 8]
+        for r, a in zip(rows, asked, strict=True):
+            own = place[at : at + len(a)]
             out.append((r[0], shard, _packed(count[own], np.int64), _packed(number[own], np.int64), None))
             at += len(own)
         yield _reply(out, kinds, names)
@@ -161,15 +165,16 @@ class Dealer:
     """The distinct pairs and triples of a chunk, and the shard of each. Words go by their place in the order of their numbers; place 0 is the sign before a text."""
 
     def __init__(self, batch: pa.RecordBatch, i: int, shards: int, fair: float, texts: int):
-        hashes, token = _column(batch, "words", i, np.uint64), _column(batch, "tokens", i, np.int32).astype(np.int64)
+        halves, uses, ranked = _column(batch, "halves", i, np.uint32), _column(batch, "uses", i, np.int32), _column(batch, "tokens", i, np.int32)
+        token = np.argsort(-uses, kind="stable")[ranked]
         self.size, self.held, self.shards = _column(batch, "size", i, np.int64), _column(batch, "held", i, np.uint8).astype(bool), shards
-        count, number = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        count, number = np.zeros(len(halves), np.int64), np.zeros(len(halves), np.int64)
         answers = {a["shard"]: a for a in batch.column("of_words")[i].as_py()}
-        for s, at in _dealt(_word_shard(hashes, shards), shards):
+        for s, at in _dealt(halves.astype(np.int64) % shards, shards):
             count[at], number[at] = _unpacked(answers[s]["counts"], np.int64), _unpacked(answers[s]["numbers"], np.int64)
         order = np.argsort(number)
-        place = np.empty(len(hashes), np.int64)
-        place[order] = np.arange(1, len(hashes) + 1)
+        place = np.empty(len(halves), np.int64)
+        place[order] = np.arange(1, len(halves) + 1)
         self.number, self.count = np.append(0, number[order]).astype(np.uint64), np.append(texts, count[order])
         self.token, n = place[token], len(self.number)
         self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
@@ -240,37 +245,56 @@ class Asked:
         self.sizes, self.counts = _unpacked(row[6], np.int32), _unpacked(row[8], np.int32)
 
 
-def shard_trie(asked: list[Asked], total: int) -> Trie:
-    """Of all that chunks told: the pairs and triples that training texts have."""
-    u, v, times, sizes = (np.concatenate([getattr(a, x) for a in asked]) for x in ("u", "v", "times", "sizes"))
-    w, counts = np.concatenate([a.w for a in asked]), np.concatenate([a.counts for a in asked])
-    order = np.lexsort((v, u))
-    new = np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])])[: len(u)]
-    pair = np.empty(len(u), np.int64)
-    pair[order] = np.cumsum(new) - 1
-    u, v = u[order][new], v[order][new]
-    times = np.bincount(pair, times, minlength=len(u)).astype(np.int64)
-    of = np.repeat(pair, sizes)
-    seen = counts > 0
-    of, w, counts = of[seen], w[seen], counts[seen]
-    order = np.lexsort((w, of))
-    of, w, counts = of[order], w[order], counts[order]
-    edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (w[1:] != w[:-1])])) if len(w) else np.zeros(0, np.int64)
-    counts = np.add.reduceat(counts.astype(np.int64), edge) if len(edge) else counts[:0]
-    of, w = of[edge], w[edge]
-    sizes = np.bincount(of, minlength=len(u))
-    known = (times > 0) | (sizes > 0)
-    return Trie.build(u[known], v[known], times[known], sizes[known], w, counts, total)
+def _keyed(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of couples of numbers where the distinct ones are, in ascending order, and which of those each is. Chunks' runs come sorted, which a merging sort makes use of."""
+    if not len(high):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if max(int(high.max()), int(low.max())) < 1 << 32:
+        order = np.argsort(high.astype(np.uint64) << _U(32) | low, kind="stable")
+    else:
+        order = np.lexsort((low, high))
+    new = np.concatenate([[True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])])
+    which = np.empty(len(high), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+class Merged:
+    """All that chunks ask a shard and tell it: distinct pairs, distinct triples in order of their pairs, counts; which of them each chunk's are."""
+
+    def __init__(self, asked: list[Asked]):
+        u, v, times, sizes = (np.concatenate([getattr(a, x) for a in asked]) for x in ("u", "v", "times", "sizes"))
+        w, counts = np.concatenate([a.w for a in asked]), np.concatenate([a.counts for a in asked])
+        first, self.pair = _keyed(u, v)
+        self.u, self.v = u[first], v[first]
+        self.times = np.bincount(self.pair, times, minlength=len(first)).astype(np.int64)
+        of = np.repeat(self.pair, sizes)
+        first, self.triple = _keyed(of, w)
+        self.of, self.w = of[first], w[first]
+        self.counts = np.bincount(self.triple, counts, minlength=len(first)).astype(np.int64)
+
+    def sizes(self, some: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of[some], minlength=len(self.u))
+
+    def trie(self, total: int) -> Trie:
+        """Of the pairs and triples that training texts have."""
+        seen = self.counts > 0
+        sizes = self.sizes(seen)
+        known = (self.times > 0) | (sizes > 0)
+        return Trie.build(self.u[known], self.v[known], self.times[known], sizes[known], self.w[seen], self.counts[seen], total)
 
 
 def _pair_shards(batches: Iterator[pa.RecordBatch], total: int, folder: str | None) -> Iterator[pa.RecordBatch]:
-    """For each chunk the codes of its pairs and triples."""
+    """For each chunk the codes of its pairs and triples. What several chunks ask is sought once."""
     for shard, rows in _by_shard(batches):
         asked = [Asked(r) for r in rows]
-        trie = shard_trie(asked, total).mapped(folder)
+        merged = Merged(asked)
+        pairs, triples = merged.trie(total).mapped(folder).query(merged.u, merged.v, merged.sizes(np.ones(len(merged.of), bool)), merged.w)
+        i = j = 0
         for a in asked:
-            pairs, triples = trie.query(a.u, a.v, a.sizes, a.w)
-            yield _reply([(a.chunk, shard, _packed(pairs[a.asked], np.uint16), _packed(triples, np.uint16))], (pa.int64(), pa.int32(), pa.binary(), pa.binary()), ["chunk", "shard", "pairs", "triples"])
+            own, after = merged.pair[i : i + len(a.u)], merged.triple[j : j + len(a.w)]
+            i, j = i + len(a.u), j + len(a.w)
+            yield _reply([(a.chunk, shard, _packed(pairs[own[a.asked]], np.uint16), _packed(triples[after], np.uint16))], (pa.int64(), pa.int32(), pa.binary(), pa.binary()), ["chunk", "shard", "pairs", "triples"])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], shards: int, fair: float, texts: int, total: int, distinct: int, weight: float) -> Iterator[pa.RecordBatch]:
@@ -305,7 +329,7 @@ def score(docs: DataFrame, held_out: str, weight: float = WEIGHT) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(held_out), F.lit(True)).alias("held"), F.col("text").cast("string").alias("text"))
-    schema = "chunk long, doc_id array<long>, size binary, held binary, words binary, counts binary, tokens binary, n long, texts long, every long"
+    schema = "chunk long, doc_id array<long>, size binary, held binary, words binary, halves binary, uses binary, counts binary, tokens binary, n long, texts long, every long"
     chunks = written(in_arrow(rows, _chunks, schema), "chunks")
     total, texts, every = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "texts", "every"))).first()
     shards = max(1, -(-every // SHARD))
@@ -319,7 +343,7 @@ def score(docs: DataFrame, held_out: str, weight: float = WEIGHT) -> DataFrame:
     def by(answers: DataFrame, name: str, *columns: str) -> DataFrame:
         return answers.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("shard", *columns)).alias(name))
 
-    parts = chunks.select("chunk", "doc_id", "size", "held", "words", "tokens").join(by(of_words, "of_words", "counts", "numbers"), "chunk")
+    parts = chunks.select("chunk", "doc_id", "size", "held", "halves", "uses", "tokens").join(by(of_words, "of_words", "counts", "numbers"), "chunk")
     asked = in_arrow(parts, lambda b: _pair_requests(b, shards, fair, texts), "chunk long, shard int, bytes int, first binary, second binary, times binary, sizes binary, third binary, counts binary")
     folder = posix_dir(spark, "tries")
     of_pairs = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "chunk")

@@ -101,21 +101,6 @@ class EliasFano:
         return np.where(good, first, -1)
 
 
-    def successor(self, first: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Index of each x among the numbers from first to end - 1, by bisection for the first that isn't smaller; -1 if it isn't there."""
-        low, high = first.copy(), end.copy()
-        while (open_ := np.flatnonzero(low < high)).size:
-            mid = (low[open_] + high[open_]) // 2
-            less = self[mid] < x[open_]
-            low[open_] = np.where(less, mid + 1, low[open_])
-            high[open_] = np.where(less, high[open_], mid)
-        good = np.flatnonzero(low < end)
-        good = good[self[low[good]] == x[good]]
-        out = np.full(len(x), -1)
-        out[good] = low[good]
-        return out
-
-
 _PARTS = ("low", "high", "ones")
 
 
@@ -149,33 +134,30 @@ class Trie:
         return cls(levels, quantised(times / max(total, 1)), quantised(counts / max(total, 1)))
 
     @staticmethod
-    def _under(level: EliasFano, first: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Places of words in the ranges of their contexts."""
+    def _under(level: EliasFano, first: np.ndarray, end: np.ndarray, sizes: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Places of words in the ranges of their contexts, each context having so many words here: the successor of a word, told relative to its context; -1 if it is another or lies outside."""
         base = np.zeros(len(first), np.uint64)
         inner = np.flatnonzero((first > 0) & (first < end))
         base[inner] = level[first[inner] - 1] + _U(1)
-        return level.successor(first, end, x + base)
+        at = level.find(x + np.repeat(base, sizes))
+        return np.where((at >= np.repeat(first, sizes)) & (at < np.repeat(end, sizes)), at, -1)
 
     def query(self, u: np.ndarray, v: np.ndarray, sizes: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of each pair, and of each triple; sizes: how many third words each pair has here. 0 if it isn't known."""
+        """Codes of each pair, in ascending order, and of each triple; sizes: how many third words each pair has here. 0 if it isn't known."""
         pairs, triples = np.zeros(len(u), np.uint16), np.zeros(len(w), np.uint16)
-        edge = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
-        at = np.repeat(self.first.find(u[edge]), np.diff(np.append(edge, len(u))))  # askers come sorted, so a first word is sought once
-        ask = np.flatnonzero(at >= 0)
-        if len(ask):
-            found = self._under(self.second, self.to_second[at[ask]].astype(np.int64), self.to_second[at[ask] + 1].astype(np.int64), v[ask])
-            ask, found = ask[found >= 0], found[found >= 0]
-            pairs[ask] = self.pairs[found]
-            place = np.full(len(u), -1)
-            place[ask] = found
-            of = np.repeat(place, sizes)
-            ask = np.flatnonzero(of >= 0)
-            if len(ask) and self.third.n:
-                begin, end = np.full(len(u), 0), np.full(len(u), 0)
-                known = np.flatnonzero(place >= 0)
-                begin[known], end[known] = self.to_third[place[known]].astype(np.int64), self.to_third[place[known] + 1].astype(np.int64)
-                found = self._under(self.third, np.repeat(begin, sizes)[ask], np.repeat(end, sizes)[ask], w[ask])
-                triples[ask[found >= 0]] = self.triples[found[found >= 0]]
+        if not len(u) or not self.first.n:
+            return pairs, triples
+        edge = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        at, many = self.first.find(u[edge]), np.diff(np.append(edge, len(u)))
+        first, end = (np.where(at >= 0, self.to_second[np.maximum(at, 0) + i].astype(np.int64), 0) for i in (0, 1))
+        place = self._under(self.second, first, end, many, v)
+        known = np.flatnonzero(place >= 0)
+        pairs[known] = self.pairs[place[known]]
+        if self.third.n and len(w):
+            first, end = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+            first[known], end[known] = self.to_third[place[known]].astype(np.int64), self.to_third[place[known] + 1].astype(np.int64)
+            at = self._under(self.third, first, end, sizes, w)
+            triples[at >= 0] = self.triples[at[at >= 0]]
         return pairs, triples
 
     def _levels(self) -> list[EliasFano]:
