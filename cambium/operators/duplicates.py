@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -51,36 +54,48 @@ def hash_of_hex(c: Column | str) -> Column:
     return F.conv(S.col(c), 16, -10).cast("long")
 
 
-def bands(bits: int, threshold: int) -> list[tuple[int, int]]:
-    """(shift, width) of threshold + 1 bands: codes within threshold agree in one of them."""
-    n = threshold + 1
+def blocks(bits: int, n: int) -> list[tuple[int, int]]:
+    """(shift, width) of n blocks that make up a code."""
     edges = [bits * i // n for i in range(n + 1)]
     return [(edges[i], edges[i + 1] - edges[i]) for i in range(n)]
 
 
+def agreeing(bits: int, threshold: int, rows: int) -> int:
+    """How many of threshold + r blocks codes within threshold are made to agree in, r: that with the least work for so many codes, keys made and pairs expected to meet. At most 2,000 keys a code."""
+    work = {r: (n := comb(threshold + r, r)) * (rows + rows * rows / 2 ** (r * bits / (threshold + r) + 1)) for r in range(1, 5) if comb(threshold + r, r) <= 2000}
+    return min(work, key=work.__getitem__)
+
+
 def _low(width: int) -> int:
     """A long whose width lowest bits are set."""
     return -1 if width == 64 else (1 << width) - 1
 
 
 def near_pairs(codes: DataFrame, threshold: int, code: str = "code", bits: int = 64) -> DataFrame:
-    """(id, code) to (a, b, distance) for all a < b within threshold bits, without comparing all with all: by the pigeonhole principle they agree in one of
-    threshold + 1 bands. Equal codes are compared once: pairs are found between distinct codes, and then given to their ids.
+    """(id, code) to (a, b, distance) for all a < b within threshold bits, without comparing all with all. Of threshold + r blocks of a code those within threshold agree
+    in r at least, by the pigeonhole principle: codes meet by each r of their blocks. r follows the number of codes, so that keys get longer as codes get more.
+    Equal codes are compared once: pairs are found between distinct codes, and then given to their ids.
 
-    A pair that agrees in several bands is taken in the first. Null codes have no pairs.
+    A pair that agrees in more blocks is taken by the first r of them. Null codes have no pairs.
     """
     own = codes.where(F.col(code).isNotNull())
-    distinct = own.select(F.col(code).alias("code")).distinct()
-    parts = [F.shiftrightunsigned(F.col("code"), s).bitwiseAND(F.lit(_low(w))) for s, w in bands(bits, threshold)]
-    placed = distinct.select("code", F.posexplode(F.array(*parts)).alias("band", "part"))
+    distinct = written(own.select(F.col(code).alias("code")).distinct(), "codes")
+    r = agreeing(bits, threshold, distinct.count())
+    parts = blocks(bits, threshold + r)
+    kept = [sum(1 << i for i in own_) for own_ in combinations(range(len(parts)), r)]
+    wide = {m: reduce(int.__or__, (_low(w) << at for i, (at, w) in enumerate(parts) if m >> i & 1)) for m in kept}
+    signed = lambda x: (x & (2**64 - 1)) - (x >> 63 & 1) * 2**64
+    masks = F.lit(",".join(f"{m}:{signed(wide[m])}" for m in kept))
+    placed = distinct.select("code", F.explode(F.split(masks, ",")).alias("m")).select("code", F.substring_index("m", ":", 1).cast("int").alias("blocks"), F.col("code").bitwiseAND(F.substring_index("m", ":", -1).cast("long")).alias("part"))
     x, y = placed.alias("x"), placed.alias("y")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.code") < F.col("y.code"))
+    same = (F.col("x.blocks") == F.col("y.blocks")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.code") < F.col("y.code"))
     distance = hamming(F.col("x.code"), F.col("y.code"))
     diff = F.col("x.code").bitwiseXOR(F.col("y.code"))
-    earlier = F.lit(False)
-    for i, (s, w) in enumerate(bands(bits, threshold)):
-        earlier = earlier | ((F.col("x.band") > i) & (F.shiftrightunsigned(diff, s).bitwiseAND(F.lit(_low(w))) == 0))
-    apart = x.join(y, same & (distance <= threshold) & ~earlier).select(F.col("x.code").alias("p"), F.col("y.code").alias("q"), distance.alias("distance"))
+    # blocks that agree, before the last of those met by, all belong to them
+    agree = reduce(lambda a, b: a + b, (F.when(diff.bitwiseAND(F.lit(signed(_low(w) << at))) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, (at, w) in enumerate(parts)))
+    upto = reduce(lambda a, i: a.bitwiseOR(F.shiftright(a, i)), (1, 2, 4, 8, 16), F.col("x.blocks"))
+    first = agree.bitwiseAND(upto) == F.col("x.blocks")
+    apart = x.join(y, same & (distance <= threshold) & first).select(F.col("x.code").alias("p"), F.col("y.code").alias("q"), distance.alias("distance"))
     left, right = own.select(F.col("id").alias("i"), F.col(code).alias("p")), own.select(F.col("id").alias("j"), F.col(code).alias("q"))
     unequal = apart.join(left, "p").join(right, "q").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
     equal = left.join(right, (F.col("p") == F.col("q")) & (F.col("i") < F.col("j"))).select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("distance"))
@@ -115,6 +130,23 @@ def evidence(frame: DataFrame, policy: Policy, rejected: DataFrame | None = None
     return exact.unionByName(near).unionByName(lineage).groupBy("a", "b").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+def links(frame: DataFrame, policy: Policy, rejected: DataFrame | None = None) -> DataFrame:
+    """(a, b, kind): edges that make the same groups, of the same kinds, as evidence, without a group's pairs. Equal images and lineage tokens are stars; of the
+    samples of an image one is held against others' codes, as are those that are in rejected (a, b), which lose their near evidence, or have no image digest."""
+    listed = rejected.select(F.explode(F.array("a", "b")).alias("sample_id"), F.lit(True).alias("listed")).distinct() if rejected is not None else None
+    own = frame.select("sample_id", F.col("image_sha256").alias("sha"), F.col("perceptual_hash").alias("code")).where("code is not null")
+    own = own.withColumn("listed", F.lit(False)) if listed is None else own.join(listed, "sample_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    alone = F.when(F.col("listed") | F.col("sha").isNull(), F.col("sample_id"))
+    some = written(own.groupBy("code", "sha", alone.alias("alone")).agg(F.min("sample_id").alias("id")), "samples")
+    near = near_pairs(some.select("id", "code"), policy.threshold).select("a", "b")
+    sha = some.select("id", "sha")
+    near = near.join(sha.toDF("a", "sha_a"), "a").join(sha.toDF("b", "sha_b"), "b").where(~F.col("sha_a").eqNullSafe(F.col("sha_b"))).select("a", "b", F.lit("perceptual").alias("kind"))
+    if rejected is not None:
+        near = near.join(rejected.select("a", "b"), ["a", "b"], "left_anti")
+    token = frame.select("sample_id", F.explode("lineage").alias("token"))
+    return star(frame, F.col("image_sha256"), "exact").unionByName(near).unionByName(star(token, F.col("token"), "source_lineage"))
+
+
 def grouped(frame: DataFrame, edges: DataFrame, name: str, prefix: str) -> DataFrame:
     """(sample_id, name): an id made of the members of each component of edges (a, b)."""
     label = components(edges).withColumnRenamed("node", "sample_id")
@@ -130,12 +162,12 @@ def analyze(frame: DataFrame, policy: Policy, decisions: DataFrame | None = None
     Samples that any evidence or a common group_id links share a leakage group, named after the group_id where there is only one.
     """
     frame = frame.withColumn("before", F.col("include"))
-    pairs = written(evidence(frame, policy, rejected), "evidence")
+    pairs = written(links(frame, policy, rejected), "links")
     group = written(grouped(frame, pairs.select("a", "b"), "duplicate_group_id", "DUPLICATE"), "groups")
-    kinds = pairs.join(group.withColumnRenamed("sample_id", "a"), "a").groupBy("duplicate_group_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"))
+    kinds = pairs.join(group.withColumnRenamed("sample_id", "a"), "a").groupBy("duplicate_group_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     kinds = kinds.withColumn("duplicate_match_type", F.when(F.size("kinds") == 1, F.element_at("kinds", 1)).otherwise("mixed"))
-    links = pairs.select("a", "b").unionByName(star(frame, F.col("group_id"), "group").select("a", "b"))
-    leak = components(links).withColumnRenamed("node", "sample_id")
+    edges = pairs.select("a", "b").unionByName(star(frame, F.col("group_id"), "group").select("a", "b"))
+    leak = components(edges).withColumnRenamed("node", "sample_id")
     spread = leak.join(frame.select("sample_id", "group_id"), "sample_id").groupBy("label").agg(
         F.count_distinct("group_id").alias("n"), F.min("group_id").alias("only"), S.members_id("LEAKAGE", F.collect_list("sample_id")).alias("made")
     )
@@ -145,7 +177,7 @@ def analyze(frame: DataFrame, policy: Policy, decisions: DataFrame | None = None
     if decisions is None:
         decisions = frame.limit(0).select("image_sha256", F.col("sample_id").alias("canonical_sample_id"))
     out = frame.join(same.where("copies > 1"), "image_sha256", "left").join(decisions, "image_sha256", "left")
-    order = W.partitionBy("image_sha256").orderBy((~F.col("include")).cast("int"), rank_in([*policy.contributors, *policy.external], F.col("dataset_id")), rank_in(EVIDENCE, F.col("diagnosis_basis")), "sample_id")
+    order = W.partitionBy(F.coalesce("image_sha256", F.concat(F.lit("\u0000"), "sample_id"))).orderBy((~F.col("include")).cast("int"), rank_in([*policy.contributors, *policy.external], F.col("dataset_id")), rank_in(EVIDENCE, F.col("diagnosis_basis")), "sample_id")
     out = out.withColumn("place", F.when(F.col("copies") > 1, F.row_number().over(order)))
     out = out.join(group, "sample_id", "left").join(kinds, "duplicate_group_id", "left").join(leak, "sample_id", "left")
     conflict, reviewed = F.col("labels") > 1, F.col("canonical_sample_id").isNotNull()

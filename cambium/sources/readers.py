@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from cambium.functions import scalars as S
 
+# The fields of a reference diagnosis.
 DIAGNOSIS = T.StructType(
     [
         T.StructField("disease_original", T.StringType(), False),
@@ -25,15 +26,55 @@ DIAGNOSIS = T.StructType(
         T.StructField("source", T.StringType(), False),
     ]
 )
-#: Fields of a manifest in order; those ending in ! are never null.
-MANIFEST_FIELDS = (
-    "schema_version! sample_id! dataset_id! dataset_version! original_image_id! original_case_id patient_id group_id! image_uri! disease_original canonical_source_label disease_id reference_diagnoses! "
-    "mapping_status! diagnosis_basis! diagnosis_gradable! taxonomy_id! taxonomy_version! age_years age_group_source age_group_standardized age_source sex_or_gender sex_or_gender_system sex_or_gender_source "
-    "race_ethnicity race_ethnicity_source skin_tone_system skin_tone skin_tone_source image_sha256 perceptual_hash perceptual_hash_algorithm duplicate_group_id duplicate_match_type deduplication_status! "
-    "leakage_group_id! license_id! split split_version include! exclusion_reason source_metadata!"
-).split()
-_KINDS = {"reference_diagnoses": T.ArrayType(DIAGNOSIS, False), "diagnosis_gradable": T.BooleanType(), "include": T.BooleanType(), "age_years": T.IntegerType()}
-MANIFEST = T.StructType([T.StructField(f.rstrip("!"), _KINDS.get(f.rstrip("!"), T.StringType()), not f.endswith("!")) for f in MANIFEST_FIELDS])
+# The fields of a manifest in order, and which are never null.
+MANIFEST = T.StructType(
+    [
+        T.StructField("schema_version", T.StringType(), False),
+        T.StructField("sample_id", T.StringType(), False),
+        T.StructField("dataset_id", T.StringType(), False),
+        T.StructField("dataset_version", T.StringType(), False),
+        T.StructField("original_image_id", T.StringType(), False),
+        T.StructField("original_case_id", T.StringType()),
+        T.StructField("patient_id", T.StringType()),
+        T.StructField("group_id", T.StringType(), False),
+        T.StructField("image_uri", T.StringType(), False),
+        T.StructField("disease_original", T.StringType()),
+        T.StructField("canonical_source_label", T.StringType()),
+        T.StructField("disease_id", T.StringType()),
+        T.StructField("reference_diagnoses", T.ArrayType(DIAGNOSIS, False), False),
+        T.StructField("mapping_status", T.StringType(), False),
+        T.StructField("diagnosis_basis", T.StringType(), False),
+        T.StructField("diagnosis_gradable", T.BooleanType(), False),
+        T.StructField("taxonomy_id", T.StringType(), False),
+        T.StructField("taxonomy_version", T.StringType(), False),
+        T.StructField("age_years", T.IntegerType()),
+        T.StructField("age_group_source", T.StringType()),
+        T.StructField("age_group_standardized", T.StringType()),
+        T.StructField("age_source", T.StringType()),
+        T.StructField("sex_or_gender", T.StringType()),
+        T.StructField("sex_or_gender_system", T.StringType()),
+        T.StructField("sex_or_gender_source", T.StringType()),
+        T.StructField("race_ethnicity", T.StringType()),
+        T.StructField("race_ethnicity_source", T.StringType()),
+        T.StructField("skin_tone_system", T.StringType()),
+        T.StructField("skin_tone", T.StringType()),
+        T.StructField("skin_tone_source", T.StringType()),
+        T.StructField("image_sha256", T.StringType()),
+        T.StructField("perceptual_hash", T.StringType()),
+        T.StructField("perceptual_hash_algorithm", T.StringType()),
+        T.StructField("duplicate_group_id", T.StringType()),
+        T.StructField("duplicate_match_type", T.StringType()),
+        T.StructField("deduplication_status", T.StringType(), False),
+        T.StructField("leakage_group_id", T.StringType(), False),
+        T.StructField("license_id", T.StringType(), False),
+        T.StructField("split", T.StringType()),
+        T.StructField("split_version", T.StringType()),
+        T.StructField("include", T.BooleanType(), False),
+        T.StructField("exclusion_reason", T.StringType()),
+        T.StructField("source_metadata", T.StringType(), False),
+    ]
+)
+MANIFEST_FIELDS = tuple(MANIFEST.names)
 
 
 def relaxed(kind: T.DataType) -> T.DataType:

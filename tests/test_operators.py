@@ -88,6 +88,33 @@ def test_reports(spark):
     assert total["all_datasets"]["sample_count"] == 3 and total["all_datasets"]["perceptual_candidate_count"] == 3 and total["a"]["cross_dataset_duplicate_sample_count"] == 2
 
 
+@pytest.mark.parametrize("rejecting", [False, True])
+def test_links_make_the_groups_of_all_pairs(spark, rejecting):
+    rng = random.Random(3)
+    codes = [rng.getrandbits(62) for _ in range(25)]
+    rows = []
+    for i in range(60):
+        code = rng.choice(codes) ^ (1 << rng.randrange(60) if rng.random() < 0.4 else 0)
+        rows.append(sample(i, rng.choice([None, f"i{rng.randrange(45)}"]), rng.choice([None, code]), lineage=[f"t{rng.randrange(90)}"] if rng.random() < 0.3 else []))
+    frame = spark.createDataFrame(rows, FRAME)
+    pairs = D.evidence(frame, D.Policy()).collect()
+    rejected = spark.createDataFrame([(r["a"], r["b"]) for r in pairs if "perceptual" in r["kinds"]][::3], "a string, b string") if rejecting else None
+    of = lambda edges: {r["node"]: r["label"] for r in components(edges.select("a", "b")).collect()}
+    whole = D.evidence(frame, D.Policy(), rejected)
+    stars = D.links(frame, D.Policy(), rejected)
+    label = of(whole)
+    assert of(stars) == label and len(set(label.values())) > 3
+    kinds = lambda rows: {(label[a], k) for a, ks in rows for k in ks}
+    assert kinds((r["a"], [r["kind"]]) for r in stars.collect()) == kinds((r["a"], r["kinds"]) for r in whole.collect())
+
+
+def test_blocks_get_longer_as_codes_get_more(spark, monkeypatch):
+    assert [D.agreeing(64, 4, n) for n in (100, 10**5, 10**7, 10**9)] == sorted(D.agreeing(64, 4, n) for n in (100, 10**5, 10**7, 10**9)) and D.agreeing(64, 4, 10**9) > D.agreeing(64, 4, 100)
+    for r in (2, 3):
+        monkeypatch.setattr(D, "agreeing", lambda *_, r=r: r)
+        test_near_pairs_against_all_pairs(spark, 4)
+
+
 @pytest.mark.parametrize("threshold", [0, 2, 4, 9])
 def test_near_pairs_against_all_pairs(spark, threshold):
     rng = random.Random(threshold)
@@ -303,6 +330,9 @@ EVIDENCE = '{"findings": [{"finding_id": "F1", "concept_id": "papule", "confiden
     ('["F1"]', "[]", ["differential_0_supporting_finding_count_invalid"], ["every_diagnosis_must_cite_evidence"]),
     ('"a papule"', '" "', [], ["clinical_description_must_not_be_blank"]),
     ('"high"}', '"high", "x": 1}', ["root_fields_invalid"], []),
+    ('"a"', '"zz"', ["differential_0_disease_id_unknown"], []),
+    ('"rank": 1', '"rank": 2', ["differential_0_rank_invalid"], ["ranks_must_be_consecutive"]),
+    ('"a papule"', "7", ["clinical_description_must_be_string"], ["clinical_description_must_not_be_blank"]),
     ("0.9", "NaN", None, []),
 ])
 def test_evidence_contract(old, new, shape, agrees):
@@ -312,6 +342,29 @@ def test_evidence_contract(old, new, shape, agrees):
         assert not raw
     else:
         assert raw and wrong == shape and contradicts == agrees and schema == (not shape) and semantic == (not agrees)
+        fenced = P.check_evidence(f"```json\n{text}\n```", {"a"}, {"papule"}, 1, lambda t: P.concepts_in(t, {"papule": ["papule"]}), lambda t: False)
+        assert fenced == (False, schema, semantic, wrong, contradicts)
+
+
+def test_evidence_that_is_no_object():
+    check = lambda text: P.check_evidence(text, set(), set(), 1, lambda t: set(), lambda t: False)
+    assert check("[1]") == (True, False, False, ["root_must_be_object"], []) and check("```json\n[1]\n```")[3] == ["invalid_json:wrapped_in_single_json_fence", "root_must_be_object"]
+    assert check("nonsense")[:3] == (False, False, False) and check(None)[3] == ["invalid_json:null"]
+
+
+WORDS = {"erythema": ["erythematous"], "plaque": ["plaque"], "scale": ["scale"], "yellow": ["yellow"], "white_hypopigmentation": ["white"], "salmon": ["salmon"], "macule": ["macule"]}
+
+
+@pytest.mark.parametrize(("text", "concepts"), [
+    ("A salmon-pink erythematous macule is partially obscured by a white measuring device.", {"salmon", "erythema", "macule"}),
+    ("An erythematous plaque with scale and yellow crust.", {"erythema", "plaque", "scale", "yellow"}),
+    ("An erythematous plaque with adherent white scale.", {"erythema", "plaque", "scale"}),
+    ("An erythematous plaque without scale.", {"erythema", "plaque"}),
+    ("A plaque, not raised or thick, with scale", {"plaque", "scale"}),
+    ("A white ruler beside the plaque", {"plaque"}), ("white patch of skin", {"white_hypopigmentation"}), ("a yellow sky", set()), ("", set()),
+])
+def test_concepts_negation_and_colours(text, concepts):
+    assert P.concepts_in(text, WORDS) == concepts
 
 
 def test_flat_contract_and_expressions(spark):
