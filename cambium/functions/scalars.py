@@ -74,8 +74,9 @@ def decomposed(values: pd.Series) -> pd.Series:
 
 
 def label(c: Column | str) -> Column:
-    """plain_label of any text. Only rows with other than ASCII characters would need Python; all go, in Arrow batches."""
-    return plain_label(decomposed(col(c)))
+    """plain_label of any text. Only texts with other than ASCII characters go through Python; for the rest it is sent nulls."""
+    ascii = col(c).rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii, plain_label(c)).otherwise(plain_label(decomposed(F.when(~ascii, col(c)))))
 
 
 def letters_and_digits(c: Column | str) -> Column:

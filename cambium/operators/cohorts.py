@@ -128,9 +128,9 @@ def greedy_assignment(groups: Iterable[tuple[str, Sequence[tuple[str, float]]]],
     return out
 
 
-def greedy_split(features: DataFrame, group: str, ratios: Mapping[str, float], seed: object, block: int = 200_000) -> DataFrame:
+def greedy_split(features: DataFrame, group: str, ratios: Mapping[str, float], seed: object, block: int) -> DataFrame:
     """(group, split) by greedy_assignment. Each choice depends on all before it, so groups are dealt by digest into blocks of about block groups, and each block is split by
-    itself in one task; up to block groups that is the one global assignment."""
+    itself in one task; up to block groups that is the one global assignment. block is what one task may hold, and the caller's to choose, as results depend on it."""
     blocks = max(1, -(-features.count() // block))
     own = features.withColumn("_block", F.pmod(F.xxhash64(group), F.lit(blocks)).cast("int")).withColumn("_g", F.col(group).cast("string"))
 
@@ -159,20 +159,25 @@ def exact_subset(sizes: Mapping[str, int], target: int, seed: object) -> set[str
 
 
 def matching(wishes: Mapping[str, Sequence[str]]) -> dict[str, str]:
-    """A partner of its own for each, from its list in order of preference, by augmenting paths; those without one are left out."""
+    """A partner of its own for each, from its list in order of preference, by augmenting paths of any length; those without one are left out."""
     taken: dict[str, str] = {}
-
-    def place(who: str, seen: set[str]) -> bool:
-        for other in wishes[who]:
-            if other not in seen:
-                seen.add(other)
-                if other not in taken or place(taken[other], seen):
-                    taken[other] = who
-                    return True
-        return False
-
     for who in wishes:
-        place(who, set())
+        seen: set[str] = set()
+        path = [(who, iter(wishes[who]), "")]  # who seeks, what is left of its list, and what it would give up
+        while path:
+            seeker, rest, _ = path[-1]
+            other = next((x for x in rest if x not in seen), None)
+            if other is None:
+                path.pop()
+                continue
+            seen.add(other)
+            if other in taken:
+                path.append((taken[other], iter(wishes[taken[other]]), other))
+                continue
+            for seeker, _, given_up in reversed(path):
+                taken[other] = seeker
+                other = given_up
+            break
     return {who: other for other, who in taken.items()}
 
 

@@ -35,7 +35,9 @@ def select_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.join(F.broadcast(ranked), "conv_id")
 
 
-@catalog.add()
+@catalog.add("""
+WITH r AS (SELECT conv_id, row_number() OVER (ORDER BY sha256('release-1' || chr(0) || '42' || chr(0) || conv_id), conv_id) AS unit_rank FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT conv_id, turn, CAST(unit_rank AS INT) AS unit_rank FROM conversations JOIN r USING (conv_id) WHERE unit_rank <= 20""")
 def select_units_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.select_units(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 20, 42, "release-1").select("conv_id", "turn", "unit_rank")
 
@@ -101,13 +103,24 @@ def downsample_to_rarest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.downsampled(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id", 42).select("event_id", "event_type", F.col("place").cast("long").alias("place"))
 
 
-@catalog.add()
+@catalog.add("""
+WITH e AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY sha256('42:' || event_id), event_id) - 1 AS n FROM events),
+d AS (SELECT * FROM e WHERE n < (SELECT min(c) FROM (SELECT count(*) AS c FROM events GROUP BY event_type))),
+l AS (SELECT list_sort(list(DISTINCT event_type)) AS every FROM d),
+p AS (SELECT d.*, every, list_filter(every, lambda x: x <> event_type) AS rest, 'PAIR_' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 16) AS pair_id FROM d, l),
+t AS (SELECT *, 'TASK_' || substr(sha256(pair_id || ':' || difficulty), 1, 16) AS task_id,
+  CASE WHEN difficulty = 'low' THEN [event_type, rest[n * 2 % len(rest) + 1], rest[(n * 2 + 1) % len(rest) + 1]] ELSE every END AS given FROM p, (VALUES ('low'), ('high')) v(difficulty))
+SELECT pair_id, task_id, event_id, event_type, difficulty, CAST(len(given) AS SMALLINT) AS candidate_count,
+  array_to_string(list_transform(list_sort(list_transform(given, lambda c: {'k': sha256('42:' || task_id || ':' || c), 'c': c})), lambda x: x.c), ',') AS candidates FROM t""")
 def paired_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = C.paired_tasks(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type", 42)
     return own.select("pair_id", "task_id", "event_id", "event_type", "difficulty", F.array_join("candidates", ",").alias("candidates"), "candidate_count")
 
 
-@catalog.add()
+@catalog.add("""
+WITH c AS (SELECT event_type, count(*) AS s FROM events GROUP BY event_type),
+r AS (SELECT a.event_type, b.event_type AS distractor, a.s, row_number() OVER (PARTITION BY a.event_type ORDER BY b.event_type) - 1 AS j, count(*) OVER (PARTITION BY a.event_type) AS k FROM c a JOIN c b ON a.event_type <> b.event_type)
+SELECT event_type, distractor, s // k + CAST(j < s % k AS BIGINT) AS used FROM r WHERE s // k + CAST(j < s % k AS BIGINT) > 0""")
 def balanced_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each label is the wrong choice for each other one."""
     own = C.distractors(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type", 42)
@@ -119,7 +132,7 @@ def greedy_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers into splits, balanced by status, priority and, at a quarter, by clerkless month."""
     orders = table(spark, sf_dir, "orders")
     features = C.group_features(orders, "o_custkey", {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "both": F.concat_ws(":", "o_orderstatus", "o_orderpriority")}, {"quarter": F.quarter("o_orderdate").cast("string")})
-    return C.greedy_split(features, "o_custkey", RATIOS, 42)
+    return C.greedy_split(features, "o_custkey", RATIOS, 42, block=200_000)
 
 
 @catalog.add()
@@ -131,7 +144,10 @@ def subset_sum_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(int(k), own[k]) for k in sorted(chosen)], "conv_id long, turns long")
 
 
-@catalog.add()
+@catalog.add("""
+WITH t AS (SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_brand, sha256('42:' || p_partkey), p_partkey) - 1 AS at, count(*) OVER () AS total FROM part),
+m AS (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM part GROUP BY p_brand))
+SELECT a.p_partkey, CASE WHEN a.p_brand <> b.p_brand THEN b.p_partkey END AS donor FROM t a CROSS JOIN m JOIN t b ON b.at = (a.at + m.most) % a.total""")
 def donor_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part of another brand for each part."""
     return C.matched(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey", "p_brand", 42)

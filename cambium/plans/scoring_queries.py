@@ -214,7 +214,10 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.alias("reply"))
 
 
-@catalog.add()
+@catalog.add("""
+SELECT event_id, event_id % 6 NOT IN (1, 3) AS raw_valid, event_id % 6 <> 3 AS recoverable, CASE WHEN event_id % 6 = 1 THEN 'single_json_fence' END AS recovery,
+  CASE event_id % 6 WHEN 2 THEN '{"predictions": ["' || event_type || '", "other"]}' WHEN 3 THEN NULL WHEN 5 THEN props
+    ELSE '{"predictions": [{"disease_id": "' || event_type || '", "rank": 1}, {"disease_id": "' || CASE WHEN event_id % 6 = 4 THEN 'unheard' ELSE 'other' END || '", "rank": 2}]}' END AS value FROM events""")
 def strict_json_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = variants(spark, sf_dir).select("event_id", P.strict_json("reply").alias("j"))
     return own.select("event_id", "j.raw_valid", "j.recoverable", "j.recovery", "j.value")

@@ -124,7 +124,10 @@ def open_ended_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return task.score(own, Setting())
 
 
-@catalog.add()
+@catalog.add("""
+SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'finding_0_concept_id_unknown' ELSE '' END AS schema_errors,
+  concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'description_concepts_must_be_declared_findings' END, CASE WHEN o_orderkey % 7 = 0 THEN 'case_confidence_must_match_top_confidence' END) AS semantic_errors, count(*) AS n
+FROM orders GROUP BY ALL""")
 def evidence_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with findings, made from orders, by what is wrong with them."""
     finding = F.format_string('{"finding_id": "F1", "concept_id": "%s", "confidence": 0.9}', F.when(F.col("o_orderkey") % 5 == 0, "unheard").otherwise("ring"))

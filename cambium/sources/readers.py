@@ -74,7 +74,6 @@ MANIFEST = T.StructType(
         T.StructField("source_metadata", T.StringType(), False),
     ]
 )
-MANIFEST_FIELDS = tuple(MANIFEST.names)
 
 
 def relaxed(kind: T.DataType) -> T.DataType:

@@ -207,7 +207,7 @@ def split_frame(spark, n=30):
 def test_greedy_split(spark):
     frame = split_frame(spark)
     ratios = {"train": 0.6, "validation": 0.2, "test": 0.2}
-    run = lambda f: {r[0]: r[1] for r in C.greedy_split(C.group_features(f, "leakage_group_id", {"disease": F.col("disease_id"), "dataset": F.col("dataset_id")}, {"age": F.col("age")}), "leakage_group_id", ratios, 42).collect()}
+    run = lambda f: {r[0]: r[1] for r in C.greedy_split(C.group_features(f, "leakage_group_id", {"disease": F.col("disease_id"), "dataset": F.col("dataset_id")}, {"age": F.col("age")}), "leakage_group_id", ratios, 42, block=200_000).collect()}
     got = run(frame)
     assert len(got) == 30 and Counter(got.values()) == {"train": 18, "validation": 6, "test": 6} and run(frame.orderBy(F.rand(3)).repartition(7)) == got
 
@@ -394,3 +394,13 @@ def test_report_operators(spark):
     assert pd.DataFrame(R.balance(frame, frame.where("k = 'a'"), ["c"]).collect()).shape == (2, 6)
     status, reasons = R.support(F.lit(20), F.lit(1), 100, 2)
     assert list(one(spark, status, reasons, *R.support(F.lit(100), F.lit(2), 100, 2))) == ["unsupported", "insufficient_groups;insufficient_datasets", "supported", None]
+
+
+def test_matching_by_long_paths():
+    """Each wants its own number and the next, in an order that makes every new one push all before it on."""
+    n = 5000
+    wishes = {str(i): [str(i + 1), str(i)] for i in range(n)}
+    wishes = dict(reversed(wishes.items())) | {"last": [str(n)]}
+    got = C.matching(wishes)
+    assert len(got) == n + 1 and len(set(got.values())) == n + 1 and all(got[w] in wishes[w] for w in wishes)
+    assert C.matching({"a": ["x"], "b": ["x"]}) in ({"a": "x"}, {"b": "x"}) and C.matching({"a": ["x", "y"], "b": ["x"]}) == {"a": "y", "b": "x"}
