@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from hashlib import sha256
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cambium.functions import scalars as S
+from cambium.scratch import written
 
 
 def hashed(seed: object, value: object) -> str:
@@ -41,10 +43,29 @@ def representatives(frame: DataFrame, group: str, label: str, evidence: Column,
     return one_per_group(frame.join(support, label), group, "label_support", evidence, S.digest(seed, sample), sample)
 
 
+#: Runs of equal labels in partitions, a few numbers each, that may be broadcast.
+BROADCAST_RUNS = 100_000
+
+
+def placed(frame: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """frame with each row's place from 1 among those with its values of by, in an order without ties. Rows are dealt by ranges of by and order, so a value that most rows have
+    fills as many tasks as it needs; what the ranges before hold of it is added. Nulls of by are a value."""
+    keyed = frame.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    names = [*by, *(f"_o{i}" for i in range(len(order)))]
+    dealt = keyed.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    dealt = written(dealt.drop(*names[len(by) :]), "placed")
+    runs = dealt.groupBy("_part", *by).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = written(runs.withColumn("_shift", before - F.col("_first") + 1).drop("_first", "_n"), "runs").toDF("_p", *(f"_b{i}" for i in range(len(by))), "_shift")
+    same = reduce(lambda x, y: x & y, (dealt[c].eqNullSafe(runs[f"_b{i}"]) for i, c in enumerate(by)), dealt["_part"] == runs["_p"])
+    own = dealt.join(F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs, same)
+    return own.select(*[dealt[c] for c in frame.columns], (F.col("_row") + F.col("_shift")).alias(name))
+
+
 def downsampled(frame: DataFrame, label: str, row_id: str, seed: object) -> DataFrame:
     """As many rows of each label as the rarest has, the first by digest, with their place."""
     rarest = frame.groupBy(label).count().agg(F.min("count").alias("_rarest"))
-    own = frame.withColumn("place", F.row_number().over(W.partitionBy(label).orderBy(S.digest(seed, row_id), row_id)))
+    own = placed(frame, [label], [S.digest(seed, row_id), F.col(row_id)], "place")
     return own.crossJoin(F.broadcast(rarest)).where("place <= _rarest").drop("_rarest")
 
 
@@ -73,7 +94,7 @@ def capacities(total: int, ratios: Mapping[str, float]) -> dict[str, int]:
 def balanced_order(units: DataFrame, unit: str, stratum: str, source: str, seed: object, release: str) -> DataFrame:
     """units with position: strata take turns, within a stratum its sources do, and within a source hashes order; any prefix is a nested cohort."""
     key = lambda *parts: S.score(F.lit(release), F.lit(str(seed)), *[F.col(p) for p in parts])
-    own = units.withColumn("turn", F.row_number().over(W.partitionBy(stratum, source).orderBy(key(unit), unit)))
+    own = placed(units, [stratum, source], [key(unit), F.col(unit)], "turn")
     own = own.withColumn("turn_of_stratum", F.row_number().over(W.partitionBy(stratum).orderBy("turn", key(stratum, source), source)))
     return own.withColumn("stratum_key", key(stratum))
 
@@ -187,8 +208,9 @@ def matched(frame: DataFrame, row_id: str, label: str, seed: object) -> DataFram
     sizes = frame.groupBy(label).agg(F.count("*").alias("_size"))
     start = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(W.orderBy(label).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     total = sizes.agg(F.sum("_size").alias("_total"), F.max("_size").alias("_most"))
-    own = frame.select(row_id, label).join(F.broadcast(start), label).crossJoin(F.broadcast(total))
-    own = own.withColumn("_at", F.col("_start") + F.row_number().over(W.partitionBy(label).orderBy(S.digest(seed, row_id), row_id)) - 1)
+    own = placed(frame.select(row_id, label).where(F.col(label).isNotNull()), [label], [S.digest(seed, row_id), F.col(row_id)], "_place")
+    own = own.join(F.broadcast(start) if start.count() <= BROADCAST_RUNS else start, label).crossJoin(F.broadcast(total))
+    own = own.withColumn("_at", F.col("_start") + F.col("_place") - 1)
     donors = own.select(F.col(row_id).alias("donor"), F.col(label).alias("_donor_label"), F.pmod(F.col("_at") - F.col("_most"), F.col("_total")).alias("_at"))
     return own.join(donors, "_at").select(row_id, F.when(F.col("_donor_label") != F.col(label), F.col("donor")).alias("donor"))
 
@@ -196,8 +218,8 @@ def matched(frame: DataFrame, row_id: str, label: str, seed: object) -> DataFram
 def distractors(frame: DataFrame, row_id: str, label: str, seed: object, others: int = 1) -> DataFrame:
     """frame's rows with distractors: others of the remaining labels, dealt in turn in hash order, so each is used as often as any other, give or take one, for a label's rows."""
     labels = frame.select(label).distinct().agg(F.array_sort(F.collect_set(label)).alias("_labels"))
-    own = frame.crossJoin(F.broadcast(labels)).withColumn("_rest", F.array_except("_labels", F.array(label)))
-    own = own.withColumn("_n", F.row_number().over(W.partitionBy(label).orderBy(S.digest(seed, row_id), row_id)) - 1)
+    own = placed(frame, [label], [S.digest(seed, row_id), F.col(row_id)], "_n").withColumn("_n", F.col("_n") - 1)
+    own = own.crossJoin(F.broadcast(labels)).withColumn("_rest", F.array_except("_labels", F.array(label)))
     pick = F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda i: F.get(F.col("_rest"), F.pmod(F.col("_n") * others + i, F.size("_rest")).cast("int")))
     return own.withColumn("distractors", pick).drop("_labels", "_rest", "_n")
 
@@ -216,8 +238,6 @@ def paired_tasks(frame: DataFrame, row_id: str, label: str, seed: object, others
 def chunked(frame: DataFrame, n: int, *order: str) -> DataFrame:
     """frame with batch: runs of n rows in a total order, numbered without a single sorting task, by counts over a range partitioning."""
     dealt = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    from cambium.scratch import written
-
     dealt = written(dealt, "ordered")
     sizes = dealt.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     own = dealt.join(F.broadcast(sizes.drop("count")), "_part").withColumn("_at", F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy("_row")) - 1)

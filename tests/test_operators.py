@@ -404,3 +404,18 @@ def test_matching_by_long_paths():
     got = C.matching(wishes)
     assert len(got) == n + 1 and len(set(got.values())) == n + 1 and all(got[w] in wishes[w] for w in wishes)
     assert C.matching({"a": ["x"], "b": ["x"]}) in ({"a": "x"}, {"b": "x"}) and C.matching({"a": ["x", "y"], "b": ["x"]}) == {"a": "y", "b": "x"}
+
+
+def test_places_within_labels(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, "x"])) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "i long, label string, other string")
+    want = {}
+    for i, label, other in sorted(rows, key=lambda r: C.hashed(1, r[0])):
+        want.setdefault((label, other), []).append(i)
+    for limit in (C.BROADCAST_RUNS, 0):
+        monkeypatch.setattr(C, "BROADCAST_RUNS", limit)
+        out = C.placed(frame, ["label", "other"], [D.S.digest(1, "i"), F.col("i")], "place")
+        got = {(r["label"], r["other"], r["place"]): r["i"] for r in out.collect()}
+        assert out.columns == ["i", "label", "other", "place"] and got == {(*k, n): i for k, own in want.items() for n, i in enumerate(own, 1)}
+    assert C.placed(frame.limit(0), ["label"], [F.col("i")], "place").count() == 0
