@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.functions import scalars as S
+from cambium.operators import audits as A
 from cambium.operators import duplicates as D
 from cambium.operators import reports as R
 from cambium.operators.graph import components
@@ -248,6 +249,38 @@ def whole_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = hits.join(text, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & F.contains(F.col("own"), F.col("passage"))).select("x.doc_id", "item_id").distinct()
     return found.groupBy("doc_id").agg(F.count("*").alias("items"), F.min("item_id").alias("first_item"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("reasons"))
 
+@catalog.add(f"""
+WITH d AS (SELECT *, {SHA} AS sha, CASE doc_id % 5 WHEN 0 THEN 'f17k/' || doc_id || '.JPG' WHEN 1 THEN 'scin/' || doc_id || '.png' WHEN 2 THEN 'pad/PAT_' || n_chars || '_' || doc_id || '.png' WHEN 3 THEN 'isic/' || doc_id || '.jpg' ELSE 'other/' || doc_id END AS image FROM documents),
+t AS (SELECT sha, source, CASE source WHEN 'src1' THEN CAST(doc_id + 10 AS VARCHAR) WHEN 'src2' THEN 'pat_' || n_chars || '_' || (doc_id + 1) || '.png' ELSE '' END AS id,
+  CASE WHEN source = 'src3' THEN 'CASE_' || (doc_id // 10) WHEN source = 'src2' THEN 'PAD_UFES_20_PATIENT_PAT_' || n_chars ELSE 'PATIENT_' || (doc_id // 7) END AS grp FROM d WHERE source IN ('src1', 'src2', 'src3')),
+e AS (SELECT * FROM d WHERE source NOT IN ('src1', 'src2', 'src3')),
+r AS (SELECT image, 'exact_image_sha256' AS reason FROM e WHERE sha IN (SELECT sha FROM t)
+  UNION ALL SELECT image, 'fitzpatrick17k_c_source_image_id' FROM e WHERE doc_id % 5 = 0 AND CAST(doc_id AS VARCHAR) IN (SELECT id FROM t WHERE source = 'src1')
+  UNION ALL SELECT image, 'scin_case_group' FROM e WHERE doc_id % 5 = 1 AND 'CASE_' || (doc_id // 10) IN (SELECT grp FROM t)
+  UNION ALL SELECT image, 'pad_ufes_20_source_image_id' FROM e WHERE doc_id % 5 = 2 AND lower('PAT_' || n_chars || '_' || doc_id || '.png') IN (SELECT id FROM t WHERE source = 'src2')
+  UNION ALL SELECT image, 'pad_ufes_20_patient_group' FROM e WHERE doc_id % 5 = 2 AND 'PAD_UFES_20_PATIENT_PAT_' || n_chars IN (SELECT grp FROM t)
+  UNION ALL SELECT image, 'hiba_patient_group' FROM e WHERE doc_id % 5 = 3 AND 'PATIENT_' || (doc_id // 7) IN (SELECT grp FROM t))
+SELECT e.image, e.sha AS image_sha256, coalesce(string_agg(reason, ',' ORDER BY reason), '') AS reasons FROM e LEFT JOIN r USING (image) GROUP BY ALL""")
+def image_contamination_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as images in five folders, held against those of three sources as training data by digest, source id, case and patient."""
+    k = F.col("doc_id")
+    paths = {0: F.concat(F.lit("f17k/"), k, F.lit(".JPG")), 1: F.concat(F.lit("scin/"), k, F.lit(".png")), 2: F.concat(F.lit("pad/PAT_"), "n_chars", F.lit("_"), k, F.lit(".png")), 3: F.concat(F.lit("isic/"), k, F.lit(".jpg"))}
+    image = F.concat(F.lit("other/"), k)
+    for i, path in paths.items():
+        image = F.when(k % 5 == i, path).otherwise(image)
+    docs = hashed(spark, sf_dir).withColumn("image", image).withColumnRenamed("sha", "image_sha256")
+    names = ("src1", "src2", "src3")
+    source = F.col("source")
+    ids = F.when(source == "src1", (k + 10).cast("string")).when(source == "src2", F.concat(F.lit("PAT_"), "n_chars", F.lit("_"), k + 1, F.lit(".png"))).otherwise("")
+    patient = F.concat(F.lit("PATIENT_"), F.floor(k / 7))
+    case = F.concat(F.lit("CASE_"), F.floor(k / 10))
+    groups = F.when(source == "src3", case).when(source == "src2", F.concat(F.lit("PAD_UFES_20_PATIENT_PAT_"), "n_chars")).otherwise(patient)
+    called = F.when(source == "src1", "fitzpatrick17k_c").when(source == "src2", "pad_ufes_20").otherwise(source)
+    train = docs.where(source.isin(*names)).select("image_sha256", called.alias("source"), ids.alias("source_image_id"), groups.alias("leakage_group_id"))
+    out = A.image_audit(docs.where(~source.isin(*names)), train, A.skin_rules(F.col("image"), case, patient))
+    return out.select("image", "image_sha256", F.array_join("reasons", ",").alias("reasons"))
+
+
 @catalog.add(f"""
 WITH t AS (SELECT doc_id, source, {SHA} AS sha, {FIRST} AS place FROM documents), p AS (SELECT DISTINCT sha FROM t WHERE source = 'src0'), b AS (SELECT DISTINCT sha FROM t WHERE source = 'src1')
 SELECT doc_id, CASE WHEN sha IN (SELECT sha FROM p) THEN 'protected_exact' WHEN sha IN (SELECT sha FROM b) OR n > 1 THEN 'train_exact' ELSE 'kept' END AS screen

@@ -48,6 +48,21 @@ def write_shards(frame: DataFrame, path: str, split: str, order: str, size: int
     return shard_records(own.sparkSession.read.parquet(path), order)
 
 
+def file_records(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, bytes, sha256) of the files under a folder, as they lie there. Files are read whole, one a row, so they must be under 2 GB each, as shards are."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def shard_files(spark: SparkSession, path: str, order: str) -> DataFrame:
+    """(shard, rows, sha256, file, bytes, file_sha256): what shard_records tells of each shard's rows, and file_records of its file. A shard of other than one file is an error."""
+    files = file_records(spark, path).withColumn("shard", F.regexp_extract("path", r"shard=([^/]+)/[^/]*$", 1))
+    if files.groupBy("shard").count().where("count <> 1").limit(1).count():
+        raise ValueError("a shard is not one file")
+    rows = shard_records(spark.read.parquet(path), order)
+    return rows.join(files.select("shard", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("file"), "bytes", F.col("sha256").alias("file_sha256")), "shard")
+
+
 def shard_records(frame: DataFrame, order: str, shard: str = "shard") -> DataFrame:
     """A shard is of bounded size, so its rows' digests are gathered."""
     columns = [c for c in frame.columns if c != shard]

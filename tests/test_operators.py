@@ -419,3 +419,22 @@ def test_places_within_labels(spark, monkeypatch):
         got = {(r["label"], r["other"], r["place"]): r["i"] for r in out.collect()}
         assert out.columns == ["i", "label", "other", "place"] and got == {(*k, n): i for k, own in want.items() for n, i in enumerate(own, 1)}
     assert C.placed(frame.limit(0), ["label"], [F.col("i")], "place").count() == 0
+
+
+def test_benchmark_without_trained_images(spark):
+    from cambium.operators import audits
+
+    images = spark.createDataFrame([("f17k/AB.jpg", "h1"), ("scin/c.png", "h2"), ("pad/PAT_9_1.png", "h3"), ("isic/I1.jpg", "h4"), ("isic/I2.jpg", "h5"), ("f17k/none", None), (".x", "h6")], "image string, image_sha256 string")
+    train = spark.createDataFrame([("h5", "s", "q", "g"), ("x", "fitzpatrick17k_c", "ab", "g2"), ("y", "s", "c.png", "SCIN_CASE_1"), ("z", "pad_ufes_20", "pat_9_1.PNG", "PAD_UFES_20_PATIENT_PAT_9"), (None, "s", None, "HIBA_PATIENT_3")], "image_sha256 string, source string, source_image_id string, leakage_group_id string")
+    case = F.when(audits.name(F.col("image")) == "c.png", "SCIN_CASE_1")
+    patient = F.when(audits.stem(F.col("image")) == "I1", "HIBA_PATIENT_3")
+    audit = audits.image_audit(images, train, audits.skin_rules(F.col("image"), case, patient))
+    got = {r["image"]: r["reasons"] for r in audit.collect()}
+    assert got == {"f17k/AB.jpg": ["fitzpatrick17k_c_source_image_id"], "scin/c.png": ["scin_case_group"], "pad/PAT_9_1.png": ["pad_ufes_20_patient_group", "pad_ufes_20_source_image_id"], "isic/I1.jpg": ["hiba_patient_group"], "isic/I2.jpg": ["exact_image_sha256"], "f17k/none": [], ".x": []}
+    tasks = spark.createDataFrame([("a.json", "1", "f17k/AB.jpg"), ("a.json", "2", ".x"), ("a.json", "2", ".x"), ("a.json", None, "f17k/none"), ("b.json", "1", "isic/I1.jpg")], "file string, task_id string, image string")
+    kept, gone, record = audits.without(tasks, audit)
+    assert {tuple(r) for r in record.collect()} == {("a.json", 4, 1, 3, 1), ("b.json", 1, 1, 0, 0)} and kept.count() == 3 and gone.count() == 2
+    assert audits.filtered_faults(kept, gone, record) == []
+    assert audits.filtered_faults(tasks, gone, record) == ["a.json: counts", "b.json: counts", "a.json: excluded task remains", "b.json: excluded task remains"]
+    with pytest.raises(ValueError, match="audited"):
+        audits.without(tasks, audit.where("image <> '.x'"))

@@ -131,3 +131,20 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert got.count() == events.count()
     batch, live = (sorted(map(tuple, records.status_counts(df, "ts", "event_type").collect()), key=str) for df in (aware, got))
     assert batch == live
+
+
+def test_files_of_shards(spark, tmp_path):
+    import hashlib
+
+    from cambium.sources import release
+
+    path = str(tmp_path / "shards")
+    told = {r["shard"]: r for r in release.write_shards(spark.range(1200).withColumnRenamed("id", "k"), path, "train", "k", 500).collect()}
+    rows = release.shard_files(spark, path, "k").collect()
+    assert len(rows) == 3 and sum(r["rows"] for r in rows) == 1200
+    for r in rows:
+        raw = (tmp_path / "shards" / r["file"]).read_bytes()
+        assert r["bytes"] == len(raw) and r["file_sha256"] == hashlib.sha256(raw).hexdigest() and told[r["shard"]]["sha256"] == r["sha256"]
+    spark.range(3).write.parquet(f"{path}/shard=x")
+    with pytest.raises(ValueError, match="one file"):
+        release.shard_files(spark, path, "k")
