@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cambium import catalog
 from cambium.functions import responses as P
 from cambium.functions import scalars as S
 from cambium.functions import stats
@@ -17,6 +18,8 @@ from cambium.operators import reports as R
 from cambium.operators import scoring as M
 from cambium.operators.graph import components
 from cambium.plans import duplicate_queries as Q
+from tests.conftest import SF
+from tests.oracle import TABLES, expected, got
 
 
 def one(spark, *columns, rows=((0,),), schema="x int"):
@@ -212,6 +215,19 @@ def test_greedy_split(spark):
     assert len(got) == 30 and Counter(got.values()) == {"train": 18, "validation": 6, "test": 6} and run(frame.orderBy(F.rand(3)).repartition(7)) == got
 
 
+def test_capacities_break_ties_as_sql_does(spark, tmp_path):
+    """2 * 0.7 and 2 * 0.2 both leave 0.4, which binary numbers tell apart; sf0.001 itself has no such tie."""
+    for total, sizes in ((2, (2, 0, 0)), (5, (4, 0, 1)), (8, (6, 1, 1)), (25, (18, 2, 5)), (899942, (629960, 89994, 179988))):
+        assert tuple(C.capacities(total, {"train": 0.7, "validation": 0.1, "test": 0.2}).values()) == sizes
+    for t in TABLES:
+        if t != "orders":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    some = [r[0] for r in orders.select("o_custkey").distinct().orderBy("o_custkey").limit(12).collect()]
+    orders.where(F.col("o_custkey").isin(some)).write.parquet(str(tmp_path / "orders.parquet"))
+    assert got(catalog.QUERIES["split_capacities"](spark, str(tmp_path))) == expected(catalog.ORACLES["split_capacities"], str(tmp_path))
+
+
 def test_capacities_quotas_and_fills(spark):
     assert C.capacities(11, {"a": 0.5, "b": 0.25, "c": 0.25}) == {"a": 5, "b": 3, "c": 3}
     with pytest.raises(ValueError):
