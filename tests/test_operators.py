@@ -1,6 +1,7 @@
 """Golden cases of operators, with fixtures written for them."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -129,6 +130,39 @@ def test_near_pairs_against_all_pairs(spark, threshold):
     assert got == want
 
 
+def code_rows(n, seed=3):
+    """Codes of which many are near others, some equal and one null."""
+    rng = random.Random(seed)
+    codes = [rng.getrandbits(64) for _ in range(n)]
+    codes += [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 20))) for c in codes] + codes[:9]
+    return [(c + 2**63) % 2**64 - 2**63 for c in codes]
+
+
+def test_codes_held_against_all_in_blocks(spark):
+    """Several blocks, of a size that isn't a multiple of eight or of a strip of rows; each pair comes once."""
+    codes = sorted(set(code_rows(60)))
+    frame = spark.createDataFrame([(c,) for c in codes], "code long")
+    want = {(a, b): n for a in codes for b in codes if a < b and (n := bin((a ^ b) % 2**64).count("1")) <= 15}
+    for block in (8192, 37, 9):
+        found = [(min(r["p"], r["q"]), max(r["p"], r["q"]), r["distance"]) for r in D.held_against_all(frame, len(codes), 15, block).collect()]
+        assert len(found) == len(want) > 30 and {(p, q): n for p, q, n in found} == want
+
+
+@pytest.mark.parametrize("threshold", [4, 15])
+def test_near_pairs_broadcast_no_keys_or_pairs(spark, threshold):
+    """Spark judges a table of codes by its files and would broadcast its keys, many for each code, through the driver."""
+    assert D.selective(64, 4, D.agreeing(64, 4, 200)) and not D.selective(64, 15, D.agreeing(64, 15, 10**9))
+    frame = spark.createDataFrame([*enumerate(code_rows(60)), (999, None)], "id long, code long")
+    pairs = D.near_pairs(frame, threshold)
+    codes = [r["code"] for r in frame.orderBy("id").collect()][:-1]
+    want = {(i, j): n for i in range(len(codes)) for j in range(i + 1, len(codes)) if (n := bin((codes[i] ^ codes[j]) % 2**64).count("1")) <= threshold}
+    rows = pairs.collect()
+    assert len(rows) == len(want) and {(r["a"], r["b"]): r["distance"] for r in rows} == want
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"SortMergeJoin \[p#", plan) and not re.search(r"BroadcastHashJoin \[blocks#", plan)
+    assert "FlatMapGroupsInArrow" in plan if threshold == 15 else re.search(r"SortMergeJoin \[blocks#", plan)
+
+
 def test_perceptual_hash_of_shifted_brightness():
     picture = np.random.default_rng(1).normal(100, 20, (32, 32))
     assert D.perceptual_hash(picture) == D.perceptual_hash(picture + 20) and 0 <= D.perceptual_hash(picture) < 2**64
