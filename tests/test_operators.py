@@ -163,6 +163,20 @@ def test_near_pairs_broadcast_no_keys_or_pairs(spark, threshold):
     assert "FlatMapGroupsInArrow" in plan if threshold == 15 else re.search(r"SortMergeJoin \[blocks#", plan)
 
 
+def test_near_components_make_no_pairs_of_copies(spark, tmp_path):
+    """3,000 copies of a vector are tied by 2,999 edges, not by 4,498,500."""
+    vectors = [[1.0] * 64, [1.0] * 54 + [-1.0] * 10, [-1.0] * 64]
+    rows = [(i, vectors[0]) for i in range(3000)] + [(5000, vectors[1]), (5001, vectors[2]), (5002, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    met = []
+    before, Q.components = Q.components, lambda edges: met.append(edges.count()) or before(edges)
+    try:
+        found = {r["node"]: (r["label"], r["members"]) for r in catalog.QUERIES["near_components"](spark, str(tmp_path)).collect()}
+    finally:
+        Q.components = before
+    assert met == [3000] and found == {i: (0, 3001) for i in (*range(3000), 5000)} | {5001: (5001, 1), 5002: (5002, 1)}
+
+
 def test_perceptual_hash_of_shifted_brightness():
     picture = np.random.default_rng(1).normal(100, 20, (32, 32))
     assert D.perceptual_hash(picture) == D.perceptual_hash(picture + 20) and 0 <= D.perceptual_hash(picture) < 2**64
