@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 from collections import Counter
+from math import comb, erfc
 
 import numpy as np
 import pandas as pd
@@ -343,6 +345,18 @@ def test_statistics(spark):
     assert list(one(spark, *stats.set_scores(empty, empty), *stats.set_scores(some, empty), *stats.set_scores(some, F.array(F.lit("a"))))) == [1, 1, 1, 0, 0, 0, 0.5, 1, pytest.approx(2 / 3)]
 
 
+def test_mcnemar_of_many_pairs():
+    """As whole numbers say, to the last digit; 90,000 changed pairs are 45,000 sums of numbers of 90,000 bits that way."""
+    whole = lambda a, b: min(1.0, 2 * sum(comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b))
+    for a, b in ((0, 0), (0, 3), (15, 74), (7, 8), (500, 501), (499, 502), (470, 540), (900, 1100), (30, 1500), (0, 1060), (0, 1074), (1, 1090), (0, 3000), (1500, 1400)):
+        assert stats.mcnemar_p(a, b) == stats.mcnemar_p(b, a) == whole(a, b)
+    began = time.process_time()
+    for n in (45_000, 10**6, 10**9):
+        z = (2 * round(n**0.5) - 1) / (2 * n) ** 0.5  # with the correction for continuity: n - sqrt(n) against n + sqrt(n)
+        assert stats.mcnemar_p(n - round(n**0.5), n + round(n**0.5)) == pytest.approx(erfc(z / 2**0.5), rel=20 / n)
+    assert time.process_time() - began < 5
+
+
 def test_ranking_and_calibration(spark):
     frame = spark.createDataFrame([("g", "a", ["a", "b"]), ("g", "b", ["a", "b"]), ("g", "c", ["a", "b"])], "g string, truth string, ranked array<string>")
     assert tuple(M.ranking_metrics(frame, ["g"], "truth", "ranked", (1, 2)).first()) == ("g", 3, 0.333333, 0.666667, 0.5)
