@@ -8,6 +8,7 @@ lookahead; so much is read ahead, and a token is emitted once every prefix that
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 import re
@@ -29,8 +30,8 @@ _S = "\t-\r \x85\xa0  -     　"
 _EDGE = re.compile(f"(?<=[^{_S}])(?=[{_S}])")
 #: Characters of a text that are encoded at once; more, up to the next such place.
 SEGMENT = 1 << 14
-#: The split pattern that belongs to this kind of vocabulary file.
-_PIECE = regex.compile(rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+""")
+#: The split pattern that belongs to this kind of vocabulary file. Words stand before contractions, as nothing can begin both.
+_PIECE = regex.compile(rf""" ?\p{{L}}++| ?\p{{N}}++|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+""")
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in vocabulary files: itself if visible, else the next unused one from U+0100."""
@@ -66,7 +67,8 @@ class Transducer:
         self.made = {t: self.rank[x] for t, x in self.parts.items()}
         self.fits: Memory = Memory(lambda pair: self._fits(self.bytes[pair >> self.shift], self.bytes[pair & ((1 << self.shift) - 1)]), remembered)
         self.pieces: Memory = Memory(self._piece, remembered)
-        self.shown = list(map(str, range(len(self.bytes))))
+        self.shown = [b"%d," % i for i in range(len(self.bytes))]
+        self.size = list(map(len, self.bytes))
 
     def _lookahead(self) -> int:
         """Bytes after a token that settle it.
@@ -167,27 +169,32 @@ class Transducer:
             return [t]
         if len(text) > self.lookahead:
             return list(self.stream([text]))
-        fits, shift = self.fits, self.shift
-        last, size, ended = [-1] * (len(text) + 1), [0] * (len(text) + 1), 0
+        fits, shift, size = self.fits, self.shift, self.size
+        last, ended = [-1] * (len(text) + 1), 0
         for end, (t, n) in self.machine.iter(text.decode("latin-1")):
-            begin = end + 1 - n
-            if end >= ended and (begin == 0 or fits[last[begin] << shift | t]):
+            if end >= ended and (end + 1 == n or fits[last[end + 1 - n] << shift | t]):
                 ended = end + 1
-                last[ended], size[ended] = t, n
-        if -1 in last[1:]:
+                last[ended] = t
+        if last.count(-1) > 1:
             raise ValueError("the vocabulary lacks a byte")
-        return self._back(last, size, len(text))
+        out, end = [], len(text)
+        while end:
+            out.append(t := last[end])
+            end -= size[t]
+        out.reverse()
+        return out
 
-    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], bytes, bytes]:
         ids = tuple(self.encode_piece(piece))
-        return ids, ",".join(map(self.shown.__getitem__, ids))
+        return ids, b"".join(map(self.shown.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids))
 
-    def segments(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
-        """Ids, and the same as text, of each piece, some thousand characters at a time. The strings of special tokens in a text become those tokens."""
+    def segments(self, text: str) -> Iterator[list[tuple[tuple[int, ...], bytes, bytes]]]:
+        """Ids, the same in digits with a comma after each, and the bytes that they stand for, of each piece, some thousand characters at a time. The strings of special tokens
+        in a text become those tokens."""
         pieces, most = self.pieces, self.lookahead // 4  # characters that are no more bytes than that
         for part in self.specials.split(text) if self.specials and any(s in text for s in self.special) else (text,):
             if part in self.special:
-                yield [((self.special[part],), str(self.special[part]))]
+                yield [((i := self.special[part],), self.shown[i], self.bytes[i])]
                 continue
             at = 0
             while at < len(part):
@@ -198,9 +205,9 @@ class Transducer:
                 if own:
                     yield list(map(pieces.__getitem__, own)) if max(map(len, own)) <= most else [pieces[p] if len(p) <= most else self._piece(p) for p in own]
 
-    def encode(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """All segments' pieces."""
-        return list(chain.from_iterable(self.segments(text)))
+    def encode(self, text: str) -> list[tuple[tuple[int, ...], bytes]]:
+        """All segments' pieces: ids and their bytes."""
+        return [(ids, raw) for ids, _, raw in chain.from_iterable(self.segments(text))]
 
     def decode(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
         """Text, block by block. The state between blocks is the bytes of one unfinished character; what isn't UTF-8 becomes U+FFFD."""
@@ -217,30 +224,35 @@ def transducer(source: bytes, remembered: int = REMEMBERED) -> Transducer:
 
 def _tokens(batches: Iterator[pa.RecordBatch], source: bytes, keep: bool, remembered: int = REMEMBERED) -> Iterator[pa.RecordBatch]:
     own = transducer(source, remembered)
-    of = own.bytes.__getitem__
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            count, digest, decoded, kept = [], [], [], []
-            for text in part.column(1).to_pylist():
-                # a segment's tokens are all that is held of a text, unless its ids are asked for
-                n, of_ids, of_text, back, ids = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace"), []
-                for segment in own.segments(text or ""):
-                    by_piece, shown = zip(*segment, strict=True)
-                    some = list(chain.from_iterable(by_piece))
-                    of_ids.update(("," * (n > 0) + ",".join(shown)).encode())
-                    of_text.update(back.decode(b"".join(map(of, some))).encode())
-                    n += len(some)
+    # nothing here refers to itself, and looking for what does takes time with so much remembered
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                count, digest, decoded, kept = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    # a segment's tokens are all that is held of a text, unless its ids are asked for
+                    n, of_ids, of_text, back, ids = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace"), []
+                    for segment in own.segments(text or ""):
+                        by_piece, shown, raw = zip(*segment, strict=True)
+                        of_ids.update(b"," * (n > 0) + b"".join(shown)[:-1])
+                        of_text.update(back.decode(b"".join(raw)).encode())
+                        n += sum(map(len, by_piece))
+                        if keep:
+                            ids += chain.from_iterable(by_piece)
+                    of_text.update(back.decode(b"", True).encode())
+                    count.append(n)
+                    digest.append(of_ids.hexdigest())
+                    decoded.append(of_text.hexdigest())
                     if keep:
-                        ids += some
-                of_text.update(back.decode(b"", True).encode())
-                count.append(n)
-                digest.append(of_ids.hexdigest())
-                decoded.append(of_text.hexdigest())
-                if keep:
-                    kept.append(ids)
-            columns = [part.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep)
+                        kept.append(ids)
+                columns = [part.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep)
+    finally:
+        if collecting:
+            gc.enable()
 
 
 def tokenize(docs: DataFrame, path: str, ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:

@@ -1,6 +1,8 @@
+import gc
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -86,3 +88,22 @@ def test_query_edges(spark, library):
 def test_documents(own, library, spark, sf):
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert [ids(own, t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_piece_is_decoded_once(own, library):
+    """Bytes and digits are kept with a piece's ids, not gathered token by token of each text; the collector rests meanwhile and is as before afterwards."""
+    text = "Straße, it's 42　é \U0001f600 " * 3 + "thenedes ofaninenon"
+    pieces = [p for run in own.segments(text) for p in run]
+    want = library.encode(text, add_special_tokens=False).ids
+    assert [i for ids, _, _ in pieces for i in ids] == want and b"".join(d for _, d, _ in pieces)[:-1].decode() == ",".join(map(str, want))
+    assert b"".join(raw for _, _, raw in pieces) == text.encode()
+    asked = []
+
+    def batches():
+        for _ in range(2):
+            asked.append(gc.isenabled())
+            yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+
+    with open(PATH, "rb") as f:
+        assert [b.column(1)[0].as_py() for b in bpe._tokens(batches(), f.read(), False)] == [len(want)] * 2
+    assert asked == [False, False] and gc.isenabled()
