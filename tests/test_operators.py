@@ -8,6 +8,7 @@ from math import comb, erfc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +266,45 @@ def test_greedy_split(spark):
     assert len(got) == 30 and Counter(got.values()) == {"train": 18, "validation": 6, "test": 6} and run(frame.orderBy(F.rand(3)).repartition(7)) == got
 
 
+def many_groups(n=500):
+    """Groups with common, rare and no features, one of them null and some past what a double holds."""
+    rng = random.Random(4)
+    keys = [None, *(2**53 + 1 + i for i in range(n - 1))]
+    some = lambda: [(f"primary:a:{x}", 1.0) for x in sorted(rng.sample(range(9), rng.randint(1, 4)))] + [(f"secondary:b:{x}", 0.25) for x in sorted(rng.sample(range(4), rng.randint(0, 2)))]
+    return [(k, [] if i == 7 else [("primary:rare:x", 1.0), *some()] if i % 100 < 2 else some()) for i, k in enumerate(keys)]
+
+
+def test_greedy_split_is_one_assignment_in_any_blocks(spark):
+    """Blocks go on where the one before ended: no block has targets and capacities of its own."""
+    rows, ratios = many_groups(), {"train": 0.7, "validation": 0.1, "test": 0.2}
+    want = C.greedy_assignment([(None if g is None else str(g), f) for g, f in rows], ratios, 42)
+    frame = spark.createDataFrame(rows, "id long, features array<struct<feature: string, weight: double>>")
+    for block in (1000, 90):
+        got = [(r["id"], r["split"]) for r in C.greedy_split(frame.repartition(5), "id", ratios, 42, block=block).collect()]
+        assert len(got) == 500 and {None if g is None else str(g): s for g, s in got} == want
+    assert Counter(want.values()) == C.capacities(500, ratios)
+    assert C.greedy_split(frame.limit(0), "id", ratios, 42, block=90).collect() == []
+    named = C.group_features(frame, "id", {"a": F.lit("b:x"), "a:b": F.lit("x")}, {}).first()["features"]
+    assert [tuple(x) for x in named] == [("primary:a:b:x", 1.0)]
+
+
+def test_greedy_split_holds_a_batch(spark):
+    """The splits of a batch leave before the next batch is read, and a task's memory doesn't grow with its groups."""
+    ratios, taken = {"train": 0.5, "test": 0.5}, []
+    known = C.Features(["primary:a:x"], [4000], [(0, 1.0)])
+
+    def batches():
+        for i in range(40):
+            taken.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(range(i * 100, i * 100 + 100)), pa.array([str(x) for x in range(i * 100, i * 100 + 100)]), pa.array([[0]] * 100, pa.list_(pa.int32()))], ["group", "text", "pairs"])
+
+    room, seen = [2000, 2000], 0
+    for out in known.assigned(batches(), ratios, 1, room, [[0.0], [0.0]]):
+        seen += len(out)
+        assert len(out) == 1 or seen == 100 * len(taken)
+    assert seen == 4001 and out.column("state").to_pylist() == ["[[0, 0], [[2000.0], [2000.0]]]"]
+
+
 def test_capacities_break_ties_as_sql_does(spark, tmp_path):
     """2 * 0.7 and 2 * 0.2 both leave 0.4, which binary numbers tell apart; sf0.001 itself has no such tie."""
     for total, sizes in ((2, (2, 0, 0)), (5, (4, 0, 1)), (8, (6, 1, 1)), (25, (18, 2, 5)), (899942, (629960, 89994, 179988))):
